@@ -13,16 +13,17 @@ HOT_KEY_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="sparkscour-")
-    sc.setCheckpointDir(folder)
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="sparkscour-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def durable(df: DataFrame) -> DataFrame:
 
     The rows survive the loss of any executor, and later jobs all see one fixed version of them.
     """
-    _checkpoint_folder(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
