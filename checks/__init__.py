@@ -35,4 +35,4 @@ def scratch(spark: SparkSession) -> str:
 
 
 def load_all() -> None:
-    from checks import contracts, text  # noqa: F401
+    from checks import contracts, duplicates, patches, rules, splitting, text, validation  # noqa: F401

@@ -78,8 +78,9 @@ NEAR = {
         f"CASE WHEN {K} % 50 = 3 THEN '' "
         f"WHEN {K} % 10 = 1 THEN concat(substring({_PART.format(f'{K} - 1')}, 1, 20), 'zz') "
         f"WHEN {K} % 10 = 2 THEN upper({_PART.format(f'{K} - 2')}) "
-        f"WHEN {K} % 10 = 6 THEN concat('unit ', {_PART.format(f'{K} - 1')}) "
-        f"WHEN {K} % 10 = 5 THEN concat('unit ', {_PART.format(K)}) "
+        f"WHEN {K} % 10 = 6 "
+        f"THEN concat('north unit of ', substring({_PART.format(f'{K} - 1')}, 1, 20), 'zz') "
+        f"WHEN {K} % 10 = 5 THEN concat('north unit of ', {_PART.format(K)}) "
         f"WHEN {K} % 100 = 7 THEN 'shared value of many rows' "
         f"ELSE {_PART.format(K)} END"
     ),

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkscour.functions.text import SPACE_CLASS, as_col
+from sparkscour.functions.text import as_col, collapse_space
 
 STRATEGIES = ("levenshtein", "jaccard", "combined")
 
 
 def words(c: Column | str) -> Column:
     """The distinct words of a text."""
-    return F.array_distinct(F.array_remove(F.split(as_col(c), SPACE_CLASS + "+"), ""))
+    return F.array_distinct(F.array_remove(F.split(collapse_space(c), " "), ""))
 
 
 def overlap(a_words: Column, b_words: Column) -> Column:

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character that counts as white space, as a regex class and as plain text.
-SPACE_CLASS = (
-    r"[\s\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
-)
+# Every character that counts as white space.
 SPACE_CHARS = (
     "\t\n\x0b\x0c\r \u00a0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -81,8 +78,20 @@ def trim_space(c: Column | str) -> Column:
 
 
 def collapse_space(c: Column | str) -> Column:
-    """Turn each run of white space into one blank and trim."""
-    return F.trim(F.regexp_replace(as_col(c), SPACE_CLASS + "+", " "))
+    """Turn each run of white space into one blank and trim.
+
+    The JVM class knows ASCII white space only and is fast; the other kinds are turned into
+    blanks first, where a value has any non-ASCII character.
+    """
+    text = as_col(c)
+    wide = "".join(ch for ch in SPACE_CHARS if not ch.isascii())
+    narrow = F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, wide, " " * len(wide)))
+    return _collapse_ascii_space(narrow.otherwise(text))
+
+
+def _collapse_ascii_space(text: Column) -> Column:
+    # A single blank is left alone, so that it costs no replacement.
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[^\S ]", " "))
 
 
 def spell_ascii(c: Column | str) -> Column:
@@ -97,7 +106,7 @@ def spell_ascii(c: Column | str) -> Column:
 
 def collapse_quotes(c: Column | str) -> Column:
     """Turn each run of double quotes, and each run of single quotes, into one."""
-    return F.regexp_replace(F.regexp_replace(as_col(c), '"{2,}', '"'), "'{2,}", "'")
+    return F.regexp_replace(as_col(c), r"""(["'])\1+""", "$1")
 
 
 def strip_non_ascii(c: Column | str) -> Column:
@@ -108,17 +117,17 @@ def strip_non_ascii(c: Column | str) -> Column:
 def clean_text(c: Column | str) -> Column:
     """White space, then spelling, then quotes, then non-ASCII; NULL and '' stay as they are.
 
-    Most text needs no spelling step, so that step only runs on values with a mapped or
-    non-ASCII character.
+    Most text is ASCII without a mapped character and skips the spelling step.
     """
-    flat = collapse_space(c)
-    spelled = strip_non_ascii(collapse_quotes(spell_ascii(flat)))
-    return F.when(flat.rlike(r"[^\x20-\x7E]|`"), spelled).otherwise(collapse_quotes(flat))
+    text = as_col(c)
+    full = strip_non_ascii(collapse_quotes(spell_ascii(collapse_space(text))))
+    plain = strip_non_ascii(collapse_quotes(_collapse_ascii_space(text)))
+    return F.when(text.rlike(r"[^\x00-\x7F]|`"), full).otherwise(plain)
 
 
 def normalize_key(c: Column | str) -> Column:
     """Lower case words of letters, digits, ``_``, ``'`` and ``-``, with one blank in between."""
-    words = F.regexp_replace(F.lower(as_col(c)), r"[^A-Za-z0-9_'\-]+", " ")
+    words = F.regexp_replace(F.lower(as_col(c)), r"[\W&&[^'\-]]+", " ")
     return F.coalesce(F.trim(words), F.lit(""))
 
 

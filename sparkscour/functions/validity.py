@@ -39,16 +39,22 @@ def jvm_pattern(pattern: str) -> str:
     return "".join(out)
 
 
+# Whether the JVM accepts a pattern never changes, so each is tried once per process.
+_ACCEPTED: dict[str, bool] = {}
+
+
 def usable_pattern(spark: SparkSession, pattern: str | None) -> str | None:
     """The pattern to test with, or None where every value passes (blank, catch-all, invalid)."""
     if not pattern or pattern == ANY_VALUE:
         return None
     ready = jvm_pattern(pattern)
-    try:
-        spark.sql("SELECT '' RLIKE :p AS ok", args={"p": ready}).collect()
-    except PySparkException:
-        return None
-    return ready
+    if ready not in _ACCEPTED:
+        try:
+            spark.sql("SELECT '' RLIKE :p AS ok", args={"p": ready}).collect()
+            _ACCEPTED[ready] = True
+        except PySparkException:
+            _ACCEPTED[ready] = False
+    return ready if _ACCEPTED[ready] else None
 
 
 def matches_contract(

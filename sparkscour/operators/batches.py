@@ -124,15 +124,16 @@ def correct_cells(
             fixed = corrector(cells, context)
         except Exception:
             return empty
-        return pd.DataFrame(
+        patches = pd.DataFrame(
             {
-                "row_id": fixed["row_id"],
+                "row_id": fixed["row_id"].to_numpy(),
                 "column": column,
                 "corrected_value": fixed["corrected_value"],
                 "source": f"{column}_batch_{batch}",
                 "seq": range(1, len(fixed) + 1),
             }
         )
+        return patches.astype({c: object for c in ("column", "corrected_value", "source")})
 
     return calls.groupBy("column", "batch", "call").applyInPandas(one_call, PATCH_SCHEMA)
 

@@ -68,7 +68,7 @@ def claims_from_edges(edges: DataFrame) -> DataFrame:
         )
         rest = join_hot(
             rest, taken.withColumnRenamed("id", "left_id"), "left_id", "left_anti",
-            spread_by=F.col("right_id"),
+            spread_by=F.col("right_id"), measured=open_edges,
         )
         open_edges = durable(rest.select("left_id", "right_id"))
     if claimed is None:
@@ -158,7 +158,9 @@ def leader_groups(
             F.coalesce("similarity", F.lit(1.0)).alias("similarity"),
         )
     )
-    return join_hot(keyed, grouped, "key", spread_by=F.col("row_id")).select(
+    return join_hot(
+        keyed, grouped, "key", spread_by=F.col("row_id"), measured=keys, weight="copies"
+    ).select(
         "leader_id",
         "row_id",
         F.when(F.col("row_id") == F.col("leader_id"), "leader")
@@ -215,10 +217,10 @@ def group_requests(
         F.col("_duplicates") > max_members, F.ceil(F.col("_duplicates") * 2 / max_members)
     ).otherwise(F.lit(1))
     dealt = join_hot(
-        listed.filter(~leads), sizes, "leader_id", spread_by=F.col("row_id")
+        listed.filter(~leads), sizes, "leader_id", spread_by=F.col("row_id"), measured=groups
     ).withColumn("part", F.pmod(F.xxhash64("row_id"), parts.cast("long")) + 1)
     duplicates = F.transform(
-        F.array_sort(F.collect_list(F.struct("row_id", "_line"))), lambda m: m["_line"]
+        F.sort_array(F.collect_list(F.struct("row_id", "_line"))), lambda m: m["_line"]
     )
     texts = dealt.groupBy("leader_id", "part").agg(
         F.first("_leader_line").alias("_leader_line"), duplicates.alias("_lines")

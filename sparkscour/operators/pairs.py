@@ -13,23 +13,54 @@ formula decides.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkscour.functions.similarity import blend, overlap, words
-from sparkscour.session import durable, join_hot
+from sparkscour.session import KEY_BUCKETS, durable, join_hot, key_bucket, salted_join, salts_of
 
 MARGIN = 1e-9
 MAX_GRAM = 8
 # Postings of one gram or word that are compared by one task.
 HOT_POSTINGS = 20_000
-# Frequency statistics are kept per hash bucket, and only for the most common ones.
-FREQUENCY_BUCKETS = 1 << 20
-COMMON_BUCKETS = 4096
-COMMON_CLASSES = 8
+
+
+class Commonness:
+    """How common chunks or words are, as counts per hash bucket.
+
+    It has ``KEY_BUCKETS`` numbers whatever the data, so it can be a constant in the plan. It
+    decides what is indexed first and what is salted, never what is compared.
+    """
+
+    def __init__(self, counts: dict[int, int]) -> None:
+        self.salts = salts_of(counts, HOT_POSTINGS)
+        levels = bytearray(KEY_BUCKETS)
+        for bucket, n in counts.items():
+            levels[bucket] = min(127, int(3 * math.log2(n + 1)))
+        self._levels = bytes(levels)
+
+    @classmethod
+    def of(cls, items: DataFrame) -> Commonness:
+        """Measure a table with one hashed ``item`` per row."""
+        counted = items.groupBy(key_bucket(F.col("item")).alias("bucket")).count().toArrow()
+        return cls(dict(zip(counted["bucket"].to_pylist(), counted["count"].to_pylist())))
+
+    def level(self, item: Column) -> Column:
+        """Three levels per doubling of the count."""
+        byte = F.substring(F.lit(self._levels), key_bucket(item) + 1, F.lit(1))
+        return F.ascii(byte.cast("string"))
+
+    def ranked(self, item: Column) -> Column:
+        """The hash with its level in front, so that numbers sort from rare to common."""
+        rest = item.bitwiseAND(F.lit((1 << 55) - 1))
+        return F.shiftleft(self.level(item).cast("long"), 55).bitwiseOR(rest)
+
+    def join(self, many: DataFrame, one: DataFrame, spread_by: Column) -> DataFrame:
+        bucket = key_bucket(F.col("gram"))
+        return salted_join(many, one, ["gram"], "inner", bucket, self.salts, spread_by)
 
 
 def require_threshold(threshold: float | None) -> float:
@@ -72,49 +103,6 @@ def _gram_size(length: Column, t: float) -> Column:
     return F.least(F.when(whole >= 4, whole - 1).otherwise(whole), F.lit(MAX_GRAM))
 
 
-def _bucket(item: Column) -> Column:
-    return F.pmod(item, F.lit(FREQUENCY_BUCKETS))
-
-
-def _commonness(items: DataFrame) -> list[list[int]]:
-    """Hash buckets of the most common items, in classes from common to very common.
-
-    ``items`` has one hashed ``item`` per row. The counts are combined before the shuffle and
-    only ``COMMON_BUCKETS`` numbers come to the driver.
-    """
-    top = (
-        items.groupBy(_bucket(F.col("item")).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "bucket")
-        .limit(COMMON_BUCKETS)
-        .collect()
-    )
-    step = max(1, len(top) // COMMON_CLASSES)
-    ranked = [r["bucket"] for r in reversed(top)]
-    return [ranked[i : i + step] for i in range(0, len(ranked), step)]
-
-
-def _commonness_class(item: Column, classes: Sequence[Sequence[int]]) -> Column:
-    """0 for items outside the common buckets; any order is correct, rare-first is fast."""
-    bucket = _bucket(item)
-    out = F.lit(0)
-    for level, members in enumerate(classes, start=1):
-        out = F.when(bucket.isin(*members), F.lit(level)).otherwise(out)
-    return out
-
-
-def _rarest(hashes: Column, n: Column, classes: Sequence[Sequence[int]]) -> Column:
-    ranked = F.array_sort(
-        F.transform(
-            hashes,
-            lambda h, i: F.struct(
-                _commonness_class(h, classes).alias("level"), h.alias("item"), i.alias("at")
-            ),
-        )
-    )
-    return F.slice(ranked, F.lit(1), n)
-
-
 # Edit distance
 
 
@@ -125,15 +113,17 @@ def _chunk_hashes(key: Column, length: Column, size: Column) -> Column:
     )
 
 
-def _chunks(keys: DataFrame, t: float, classes: Sequence[Sequence[int]]) -> DataFrame:
+def _chunks(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
     """The shorter side: its rarest chunks, one more than the edits it can take."""
     key, length = F.col("key"), F.length("key")
     sized = keys.select("id", "key", length.alias("len"), _gram_size(length, t).alias("size"))
-    picked = _rarest(
-        _chunk_hashes(key, F.col("len"), F.col("size")),
-        _most_edits_of_shorter(F.col("len"), t) + 1,
-        classes,
+    ranked = F.sort_array(
+        F.transform(
+            _chunk_hashes(key, F.col("len"), F.col("size")),
+            lambda h, i: F.struct(common.ranked(h).alias("rank"), h.alias("item"), i.alias("at")),
+        )
     )
+    picked = F.slice(ranked, F.lit(1), _most_edits_of_shorter(F.col("len"), t) + 1)
     return sized.select("id", "key", "len", "size", F.inline(picked)).select(
         F.col("item").alias("gram"),
         F.col("id").alias("s_id"),
@@ -178,23 +168,19 @@ def _lengths_in_reach(short: DataFrame, long: DataFrame, t: float) -> DataFrame:
         F.explode(F.sequence(reach, length)).alias("gram"), F.col("id").alias("r_id"),
         F.col("key").alias("r_key"), length.alias("r_len"), F.lit(0).alias("r_pos"),
     )
-    return join_hot(left, right, "gram", spread_by=F.col("s_id"), hot_rows=HOT_POSTINGS)
+    return join_hot(
+        left, right, "gram", spread_by=F.col("s_id"), hot_rows=HOT_POSTINGS
+    )
 
 
 def _edit_pairs(
-    short: DataFrame, long: DataFrame, strategy: str, t: float, classes: Sequence[Sequence[int]],
+    short: DataFrame, long: DataFrame, strategy: str, t: float, common: Commonness,
     same_length: Column,
 ) -> DataFrame:
     """Verified pairs of a key of ``short`` and an at least as long key of ``long``."""
     share = edit_share(strategy, t)
     if share > 0.5:
-        met = join_hot(
-            _chunks(short, share, classes),
-            _grams(long, share),
-            "gram",
-            spread_by=F.col("s_id"),
-            hot_rows=HOT_POSTINGS,
-        )
+        met = common.join(_chunks(short, share, common), _grams(long, share), F.col("s_id"))
     else:
         met = _lengths_in_reach(short, long, share)
     edits = _most_edits(F.col("r_len"), share) if share > 0 else F.col("r_len")
@@ -222,11 +208,11 @@ def _edit_pairs(
 # Word overlap
 
 
-def _postings(keys: DataFrame, t: float, classes: Sequence[Sequence[int]], side: str) -> DataFrame:
-    hashes = F.transform(F.col("words"), lambda w: F.xxhash64(w))
+def _postings(keys: DataFrame, t: float, common: Commonness, side: str) -> DataFrame:
     n = F.size("words")
     length = n - F.ceil(n * F.lit(t) - MARGIN).cast("int") + 1
-    rare = F.transform(_rarest(hashes, length, classes), lambda e: e["item"])
+    ranked = F.transform(F.col("words"), lambda w: common.ranked(F.xxhash64(w)))
+    rare = F.slice(F.sort_array(ranked), F.lit(1), length)
     return (
         keys.select("id", n.alias("n"), rare.alias("rare"))
         .select("*", F.explode("rare").alias("gram"))
@@ -235,16 +221,12 @@ def _postings(keys: DataFrame, t: float, classes: Sequence[Sequence[int]], side:
 
 
 def _overlap_pairs(
-    a: DataFrame, b: DataFrame, t: float, classes: Sequence[Sequence[int]], ordered: bool
+    a: DataFrame, b: DataFrame, t: float, common: Commonness, ordered: bool
 ) -> DataFrame:
     a = a.withColumn("words", words("key")).select("id", "words")
     b = b.withColumn("words", words("key")).select("id", "words")
-    met = join_hot(
-        _postings(a, t, classes, "s"),
-        _postings(b, t, classes, "r"),
-        "gram",
-        spread_by=F.col("s_id"),
-        hot_rows=HOT_POSTINGS,
+    met = common.join(
+        _postings(a, t, common, "s"), _postings(b, t, common, "r"), F.col("s_id")
     )
     fewer, more = F.least("s_n", "r_n"), F.greatest("s_n", "r_n")
     met = met.filter(
@@ -255,14 +237,15 @@ def _overlap_pairs(
     ).select("s_id", "r_id")
     left = a.select(F.col("id").alias("s_id"), F.col("words").alias("s_words"))
     right = b.select(F.col("id").alias("r_id"), F.col("words").alias("r_words"))
-    met = join_hot(met, left, "s_id", spread_by=F.col("r_id"))
-    met = join_hot(met, right, "r_id", spread_by=F.col("s_id"))
+    met = durable(met)
+    both = join_hot(met, left, "s_id", spread_by=F.col("r_id"))
+    both = join_hot(both, right, "r_id", spread_by=F.col("s_id"), measured=met)
     score = overlap(F.col("s_words"), F.col("r_words"))
-    return met.select("s_id", "r_id", score.alias("similarity")).filter(F.col("similarity") >= t)
+    return both.select("s_id", "r_id", score.alias("similarity")).filter(F.col("similarity") >= t)
 
 
-def common_items(keys: DataFrame, strategy: str, threshold: float) -> list[list[int]]:
-    """Commonness classes of the chunks or words of ``keys``; reusable for subsets of them."""
+def common_items(keys: DataFrame, strategy: str, threshold: float) -> Commonness:
+    """Commonness of the chunks or words of ``keys``; also good for subsets of them."""
     share = edit_share(strategy, threshold)
     if strategy == "jaccard":
         hashes = F.transform(words("key"), lambda w: F.xxhash64(w))
@@ -270,8 +253,8 @@ def common_items(keys: DataFrame, strategy: str, threshold: float) -> list[list[
         length = F.length("key")
         hashes = _chunk_hashes(F.col("key"), length, _gram_size(length, share))
     else:
-        return []
-    return _commonness(keys.select(F.explode(hashes).alias("item")))
+        return Commonness({})
+    return Commonness.of(keys.select(F.explode(hashes).alias("item")))
 
 
 def _check(strategy: str, t: float, allow_all_pairs: bool) -> None:
@@ -291,7 +274,7 @@ def similarity_pairs(
     strategy: str = "levenshtein",
     threshold: float | None = None,
     allow_all_pairs: bool = False,
-    common: list[list[int]] | None = None,
+    common: Commonness | None = None,
 ) -> DataFrame:
     """All pairs ``(left_id, right_id, similarity)``, left below right, at or above the threshold."""
     t = require_threshold(threshold)
@@ -315,7 +298,7 @@ def similarity_pairs_between(
     b: DataFrame,
     strategy: str,
     threshold: float,
-    common: list[list[int]],
+    common: Commonness,
     allow_all_pairs: bool = False,
 ) -> DataFrame:
     """All pairs ``(a_id, b_id, similarity)`` of a key of ``a`` and a key of ``b``."""

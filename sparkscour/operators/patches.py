@@ -129,7 +129,7 @@ def build_change_log(
         .withColumn("_earlier", F.lag(F.struct("_end")).over(ends))
         .drop("_end")
     )
-    firsts = join_hot(chained, earlier, stretch, spread_by=F.col("seq"))
+    firsts = chained.join(earlier, stretch)
     original = F.create_map(
         *[part for n in names for part in (F.lit(n), as_col(n).cast("string"))]
     )
@@ -140,7 +140,13 @@ def build_change_log(
         .otherwise(F.element_at("_cells", F.col("column")))
     )
     return (
-        join_hot(firsts, originals, "row_id", spread_by=F.struct("column", "source", "seq"))
+        join_hot(
+            firsts,
+            originals,
+            "row_id",
+            spread_by=F.struct("column", "source", "seq"),
+            measured=cell_patches,
+        )
         .select(
             *cell,
             "source",
@@ -153,9 +159,15 @@ def build_change_log(
 
 
 def flag_unresolved(
-    change_log: DataFrame, still_invalid: DataFrame, contract: Contract
+    change_log: DataFrame,
+    still_invalid: DataFrame,
+    contract: Contract,
+    cell_patches: DataFrame | None = None,
 ) -> DataFrame:
-    """Mark entries whose cell is invalid after cleaning; add invalid cells without an entry."""
+    """Mark entries whose cell is invalid after cleaning; add invalid cells without an entry.
+
+    With the ``cell_patches`` behind the log, the log is not computed twice to find hot cells.
+    """
     pattern = F.create_map(
         F.lit(""), F.lit(""), *[F.lit(x) for r in rules_of(contract) for x in (r.name, r.regex)]
     )
@@ -172,7 +184,8 @@ def flag_unresolved(
     )
     cell = ["row_id", "column"]
     marked = join_hot(
-        change_log, failing, cell, "left", spread_by=F.struct("source", "seq")
+        change_log, failing, cell, "left", spread_by=F.struct("source", "seq"),
+        measured=cell_patches,
     ).select(
         *cell,
         "source",

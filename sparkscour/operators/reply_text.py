@@ -204,7 +204,7 @@ def scope_contract(
     )
     lines = contract.select(*keep, F.col("name").alias("column"), "index", line.alias("_line"))
     listed = F.transform(
-        F.array_sort(F.collect_list(F.struct("index", "_line"))), lambda e: e["_line"]
+        F.sort_array(F.collect_list(F.struct("index", "_line"))), lambda e: e["_line"]
     )
     whole = lines.groupBy(*keep).agg(F.array_join(listed, "\n").alias("_whole"))
     own = lines.groupBy(*keep, "column").agg(F.min_by("_line", "index").alias("_own"))

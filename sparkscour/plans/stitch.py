@@ -79,6 +79,6 @@ def stitch(
         table,
         validation_stats(row_patched, rules, mode),
         validation_stats(table, rules, mode),
-        flag_unresolved(log, failing, rules),
+        flag_unresolved(log, failing, rules, cell_patches),
         failing,
     )

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # A join key with more rows than this on the many side is split over several tasks.
 HOT_KEY_ROWS = 1_000_000
-# Upper bound on the table of hot keys that is broadcast (12 bytes per entry).
-MAX_HOT_KEYS = 10_000
+# Keys are measured per hash bucket, so measuring never ships more than this many numbers.
+KEY_BUCKETS = 1 << 16
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -35,8 +35,46 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _as_list(on: str | list[str]) -> list[str]:
-    return [on] if isinstance(on, str) else list(on)
+def key_bucket(item: Column) -> Column:
+    return F.pmod(item, F.lit(KEY_BUCKETS)).cast("int")
+
+
+def salts_of(counts: dict[int, int], hot_rows: int) -> dict[int, list[int]]:
+    """Salts (a power of two) -> buckets, for the buckets that are too large for one task.
+
+    A bucket is hot above ``hot_rows``, and above four times the mean, which any task has to
+    bear anyway.
+    """
+    limit = max(hot_rows, 4 * sum(counts.values()) // KEY_BUCKETS)
+    salts: dict[int, list[int]] = {}
+    for bucket, rows in counts.items():
+        if rows > limit:
+            salts.setdefault(1 << (rows // limit).bit_length(), []).append(bucket)
+    return salts
+
+
+def salted_join(
+    many: DataFrame,
+    one: DataFrame,
+    on: list[str],
+    how: str,
+    bucket: Column,
+    salts: dict[int, list[int]],
+    spread_by: Column,
+) -> DataFrame:
+    """Equality join in which hot buckets of ``many`` are spread over salts.
+
+    The matching rows of ``one`` are copied to each salt. ``how`` may be ``inner``, ``left``,
+    ``left_semi`` or ``left_anti``.
+    """
+    if not salts:
+        return many.join(one, on, how)
+    n = F.lit(1).cast("long")
+    for level, buckets in salts.items():
+        n = F.when(bucket.isin(*buckets), F.lit(level).cast("long")).otherwise(n)
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), n))
+    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def join_hot(
@@ -46,45 +84,20 @@ def join_hot(
     how: str = "inner",
     spread_by: Column | None = None,
     hot_rows: int = HOT_KEY_ROWS,
+    measured: DataFrame | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """Join ``many`` (a key may hold any share of its rows) to ``one`` (keys need not repeat).
+    """Join ``many``, in which one key may hold any share of the rows, to ``one``.
 
-    Keys above ``hot_rows`` are found with a map-side combined count. Their rows on the many side
-    are spread over ``ceil(rows / hot_rows)`` salts and the matching rows of ``one`` are copied to
-    each salt. The table of hot keys is broadcast; ``MAX_HOT_KEYS`` bounds it, and a key that is
-    not among the largest ``MAX_HOT_KEYS`` holds less than that fraction of the rows.
-    ``how`` may be ``inner``, ``left``, ``left_semi`` or ``left_anti``.
+    One small job counts the rows of ``many`` per key bucket, combined before the shuffle; only
+    buckets above ``hot_rows`` are reported. ``measured`` is a cheaper table with the same keys
+    to count on, ``weight`` its column of row counts.
     """
-    keys = _as_list(on)
-    probe = F.xxhash64(*keys)
-    hot = (
-        many.groupBy(probe.alias("_hot_key"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .orderBy(F.desc("_rows"), "_hot_key")
-        .limit(MAX_HOT_KEYS)
-        .select("_hot_key", F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_salts"))
-    )
+    keys = [on] if isinstance(on, str) else list(on)
+    bucket = key_bucket(F.xxhash64(*keys))
+    rows = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counted = (many if measured is None else measured).groupBy(bucket.alias("bucket"))
+    hot = counted.agg(rows.alias("rows")).filter(F.col("rows") > hot_rows).collect()
+    salts = salts_of({r["bucket"]: r["rows"] for r in hot}, hot_rows)
     spread = spread_by if spread_by is not None else F.monotonically_increasing_id()
-    left = (
-        many.withColumn("_hot_key", probe)
-        .join(F.broadcast(hot), "_hot_key", "left")
-        .withColumn(
-            "_salt",
-            F.when(
-                F.col("_salts").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_salts"))
-            ).otherwise(F.lit(0).cast("long")),
-        )
-        .drop("_hot_key", "_salts")
-    )
-    right = (
-        one.withColumn("_hot_key", probe)
-        .join(F.broadcast(hot), "_hot_key", "left")
-        .withColumn(
-            "_salt",
-            F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)).cast("long"),
-        )
-        .withColumn("_salt", F.col("_salt").cast("long"))
-        .drop("_hot_key", "_salts")
-    )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return salted_join(many, one, keys, how, bucket, salts, spread)

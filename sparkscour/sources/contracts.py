@@ -91,7 +91,7 @@ def contract_to_json(contract: DataFrame, *by: str) -> DataFrame:
         ).alias("rule"),
     )
     entries = F.transform(
-        F.array_sort(F.collect_list(entry)),
+        F.sort_array(F.collect_list(entry)),
         lambda e: F.struct(e["original_name"].alias("key"), e["rule"].alias("value")),
     )
     return contract.groupBy(*by).agg(F.to_json(F.map_from_entries(entries)).alias("json"))

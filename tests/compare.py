@@ -30,7 +30,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 def plain(value):
     if isinstance(value, float):
-        return repr(round(value, 9) + 0.0)
+        return repr(value + 0.0)
     if isinstance(value, (list, tuple)):
         return repr([plain(v) for v in value])
     return repr(value)
