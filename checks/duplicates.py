@@ -172,7 +172,7 @@ def _groups_sql(pairs: str) -> str:
       FROM (SELECT DISTINCT leader_id FROM claimed) l JOIN keyed ON keyed.row_id = l.leader_id)"""
 
 
-_GROUPS = (
+GROUPS_SQL = (
     f"WITH RECURSIVE {_NEAR_KEYS}, pairs AS ({_near_pairs(_LEV, 0.85, 0.85)}), "
     f"{_groups_sql('pairs')}"
 )
@@ -184,7 +184,7 @@ def _groups(spark, d) -> DataFrame:
     return durable(leader_groups(_keyed(spark, d)))
 
 
-@query("dup_groups", f"{_GROUPS} SELECT * FROM groups")
+@query("dup_groups", f"{GROUPS_SQL} SELECT * FROM groups")
 def dup_groups(spark, d):
     return leader_groups(_keyed(spark, d))
 
@@ -200,7 +200,7 @@ def dup_groups_documents(spark, d):
 
 @query(
     "group_members",
-    f"""{_GROUPS} SELECT leader_id, row_id, role, round(similarity * 100, 2) AS similarity_pct,
+    f"""{GROUPS_SQL} SELECT leader_id, row_id, role, round(similarity * 100, 2) AS similarity_pct,
     comparison_value FROM groups""",
 )
 def members(spark, d):
@@ -209,7 +209,7 @@ def members(spark, d):
 
 @query(
     "group_sizes",
-    f"""{_GROUPS} SELECT leader_id, count(*) AS members,
+    f"""{GROUPS_SQL} SELECT leader_id, count(*) AS members,
     round(min(similarity) FILTER (role = 'duplicate') * 100, 2) AS lowest_pct,
     round(max(similarity) FILTER (role = 'duplicate') * 100, 2) AS highest_pct
     FROM groups GROUP BY leader_id""",
@@ -236,7 +236,7 @@ _WITHOUT = (
 
 
 def _keep_query(policy: str) -> None:
-    @query(f"dedupe_keep_{policy}", f"{_GROUPS}, keeps AS ({_KEEPS[policy]}) {_WITHOUT}")
+    @query(f"dedupe_keep_{policy}", f"{GROUPS_SQL}, keeps AS ({_KEEPS[policy]}) {_WITHOUT}")
     def build(spark, d):
         return dedupe(near_duplicates(spark, d), RULES, policy=policy).table
 
@@ -259,14 +259,14 @@ def _decisions(spark, d) -> DataFrame:
     )
 
 
-@query("dedupe_decisions", f"{_GROUPS}, {_VALID} {_WITHOUT}")
+@query("dedupe_decisions", f"{GROUPS_SQL}, {_VALID} {_WITHOUT}")
 def dedupe_decisions(spark, d):
     return dedupe(near_duplicates(spark, d), RULES, decisions=_decisions(spark, d)).table
 
 
 @query(
     "decisions_invalid",
-    f"""{_GROUPS}, {_VALID} SELECT leader_id, keep_id FROM decisions
+    f"""{GROUPS_SQL}, {_VALID} SELECT leader_id, keep_id FROM decisions
     EXCEPT SELECT leader_id, keep_id FROM keeps""",
 )
 def decisions_invalid(spark, d):
@@ -275,7 +275,7 @@ def decisions_invalid(spark, d):
 
 @query(
     "removals",
-    f"""{_GROUPS}, {_VALID} SELECT DISTINCT g.row_id FROM groups g JOIN keeps k
+    f"""{GROUPS_SQL}, {_VALID} SELECT DISTINCT g.row_id FROM groups g JOIN keeps k
     ON k.leader_id = g.leader_id WHERE g.row_id <> k.keep_id""",
 )
 def removals(spark, d):
@@ -284,7 +284,7 @@ def removals(spark, d):
 
 @query(
     "dedupe_stats",
-    f"""{_GROUPS}, keeps AS ({_KEEPS['longest']}), removed AS (SELECT g.row_id FROM groups g
+    f"""{GROUPS_SQL}, keeps AS ({_KEEPS['longest']}), removed AS (SELECT g.row_id FROM groups g
     JOIN keeps k ON k.leader_id = g.leader_id WHERE g.row_id <> k.keep_id),
     c AS (SELECT (SELECT count(*) FROM near) AS original_count,
       (SELECT count(DISTINCT leader_id) FROM groups) AS duplicate_groups,
@@ -306,7 +306,7 @@ requests AS (SELECT leader_id, CAST(1 AS BIGINT) AS part, concat('ID,name,note',
   AS text FROM lined GROUP BY leader_id)"""
 
 
-@query("group_requests", f"{_GROUPS}, {_REQUESTS} SELECT * FROM requests")
+@query("group_requests", f"{GROUPS_SQL}, {_REQUESTS} SELECT * FROM requests")
 def requests(spark, d):
     return group_requests(_groups(spark, d), near_duplicates(spark, d))
 
@@ -323,7 +323,7 @@ def _keep_second():
 
 @query(
     "decide_groups",
-    f"""{_GROUPS}, {_REQUESTS} SELECT leader_id, part, concat('<group_', leader_id, '>', chr(10),
+    f"""{GROUPS_SQL}, {_REQUESTS} SELECT leader_id, part, concat('<group_', leader_id, '>', chr(10),
     string_split(text, chr(10))[4], chr(10), '</group_', leader_id, '>') AS text FROM requests""",
 )
 def decided(spark, d):
@@ -333,7 +333,7 @@ def decided(spark, d):
 
 @query(
     "dedupe_decider",
-    f"""{_GROUPS}, keeps AS (SELECT leader_id, min(row_id) AS keep_id FROM groups
+    f"""{GROUPS_SQL}, keeps AS (SELECT leader_id, min(row_id) AS keep_id FROM groups
     WHERE role = 'duplicate' GROUP BY leader_id) {_WITHOUT}""",
 )
 def dedupe_decider(spark, d):

@@ -232,7 +232,7 @@ def totals(spark, d):
     return change_totals(_changes(spark, d))
 
 
-_STITCH = (
+STITCH_SQL = (
     f"WITH {duck.CLEANED}, {_LAST_ROW}, {_LAST_CELL}, fixed AS ({_rows_onto('named')}), "
     f"patched AS ({_cells_onto('fixed')})"
 )
@@ -246,19 +246,19 @@ def _stitched(spark, d):
     return stitch(cleaned, RULES, row_patches(spark, d), cell_patches(spark, d))
 
 
-@query("stitch", f"{_STITCH} SELECT * FROM patched")
+@query("stitch", f"{STITCH_SQL} SELECT * FROM patched")
 def stitched(spark, d):
     return _stitched(spark, d).table
 
 
-@query("stitch_stats_before", f"{_STITCH} {duck.stats_sql('fixed')}")
+@query("stitch_stats_before", f"{STITCH_SQL} {duck.stats_sql('fixed')}")
 def stitched_before(spark, d):
     return _stitched(spark, d).before
 
 
 @query(
     "status_report",
-    f"""{_STITCH}, log AS ({_log_sql('fixed')}), {_flags_sql('patched')},
+    f"""{STITCH_SQL}, log AS ({_log_sql('fixed')}), {_flags_sql('patched')},
     stats AS ({duck.stats_sql('patched')})
     SELECT f.*, s.valid_pct, s.invalid_count FROM final f LEFT JOIN stats s ON s."column" = f."column" """,
 )

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import duck, query, scratch, table
-from checks.inputs import RULES, cell_patches, messy_customers, row_patches
-from checks.patches import _STITCH
+from checks.duplicates import GROUPS_SQL
+from checks.inputs import MESSY, NEAR, RULES, cell_patches, messy_customers, row_patches
+from checks.patches import STITCH_SQL
+from checks.rules import DATE, PHONE
 from checks.validation import named_customers
 from sparkscour.functions import standardize as S
 from sparkscour.operators.batches import correct_cells, plan_batches
@@ -148,16 +150,11 @@ def isolated(spark, d):
     return iso_split(_lines(spark, d), NUMBER_RULES).table
 
 
-@query("run_all_stages_stitched", f"{_STITCH} SELECT * FROM patched")
+@query("run_all_stages_stitched", f"{STITCH_SQL} SELECT * FROM patched")
 def run_stitched(spark, d):
     return _run(spark, d, frozenset({"dedupe", "isosplit", "clean"}))["stitched"]
 
 
-@query("run_all_stages_splits")
-def run_splits(spark, d):
-    return _run(spark, d, frozenset())["splits"]
-
-
 def _run(spark, d, skip: frozenset) -> dict[str, DataFrame]:
     return run(
         messy_customers(spark, d),
@@ -171,6 +168,55 @@ def _run(spark, d, skip: frozenset) -> dict[str, DataFrame]:
     )
 
 
+# All six stages on customers whose names are near duplicates.
+WHOLE = {**NEAR, **{c: MESSY[c] for c in ("Phone", "Signup", "Balance", "raw_data")}}
+WHOLE_RULES = [
+    ColumnRule("name", "key name", is_unique=True, index=1, regex="^[a-z]"),
+    ColumnRule("note", "note", index=2, regex="^.*$"),
+    ColumnRule("Phone", "phone", index=3, regex=RULES[2].regex),
+    ColumnRule("Signup", "signup", index=4, data_type="date", regex=RULES[3].regex),
+    ColumnRule("Balance", "balance", index=5, data_type="float"),
+]
+
+
+def _whole(spark, d) -> dict[str, DataFrame]:
+    customers = table(spark, d, "customer").select(*[F.expr(e).alias(n) for n, e in WHOLE.items()])
+    forms = {"phone": S.phone_e164, "signup": S.iso_date}
+    return run(
+        customers,
+        RunConfig(exclusions=["raw_data"], contract=WHOLE_RULES, standard_forms=forms),
+    )
+
+
+@query("run_all_stages_splits")
+def run_splits(spark, d):
+    return _whole(spark, d)["splits"]
+
+
+_WHOLE_SQL = "SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in WHOLE.items()) + " FROM customer"
+_GONE = GROUPS_SQL + ", gone AS (SELECT row_id FROM groups WHERE role = 'duplicate')"
+_STANDARD = (
+    'SELECT row_id, name, note, "Phone", coalesce(CASE WHEN NOT {e1} THEN {phone} END, "Phone") AS phone2, '
+    '"Signup", coalesce(CASE WHEN NOT {e2} THEN {date} END, "Signup") AS signup2, "Balance" '
+    "FROM whole WHERE row_id NOT IN (SELECT row_id FROM gone)"
+).format(
+    e1=duck.empty('"Phone"', "unified"), e2=duck.empty('"Signup"', "unified"), phone=PHONE, date=DATE
+)
+
+
+@query(
+    "run_all_stages_table",
+    f"""{_GONE}, raw AS ({_WHOLE_SQL}), whole AS (SELECT row_id, {duck.clean('name')} AS name,
+    {duck.clean('note')} AS note, {duck.clean('"Phone"')} AS "Phone",
+    {duck.clean('"Signup"')} AS "Signup", {duck.clean('"Balance"')} AS "Balance" FROM raw),
+    standard AS ({_STANDARD})
+    SELECT row_id, name AS "key name", note, phone2 AS phone, signup2 AS signup,
+      "Balance" AS balance FROM standard""",
+)
+def run_table(spark, d):
+    return _whole(spark, d)["stitched"]
+
+
 @query("stream_clean", f"""WITH d AS (SELECT doc_id AS row_id, {duck.clean('text')} AS body,
     {duck.clean('source')} AS origin FROM documents)
     SELECT row_id, 'body' AS "column", body AS value FROM d

@@ -116,14 +116,14 @@ def correct_cells(
     def one_call(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         column, batch, _ = key
         context = {"rule": rules[column], "batch": int(batch), "instructions": instructions}
-        empty = pd.DataFrame(
-            {"row_id": [], "column": [], "corrected_value": [], "source": [], "seq": []}
+        none = pd.DataFrame(
+            columns=["row_id", "column", "corrected_value", "source", "seq"], dtype=object
         )
         cells = pdf[["row_id", "value"]].sort_values("row_id", ignore_index=True)
         try:
             fixed = corrector(cells, context)
         except Exception:
-            return empty
+            return none
         patches = pd.DataFrame(
             {
                 "row_id": fixed["row_id"].to_numpy(),
