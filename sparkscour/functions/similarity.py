@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sparkscour.functions.text import as_col, collapse_space
 
-STRATEGIES = ("levenshtein", "jaccard", "combined")
 
 
 def words(c: Column | str) -> Column:

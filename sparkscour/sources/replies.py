@@ -15,7 +15,8 @@ def reply_column(file_name: Column) -> Column:
 def read_replies(spark: SparkSession, folder: str) -> DataFrame:
     """``source`` (file name), ``column`` and ``text`` of each reply in a folder."""
     files = spark.read.text(folder, wholetext=True, pathGlobFilter="*_output.txt")
-    name = F.col("_metadata.file_name")
+    # Spark reports the name as in a URI; a plus sign there is just a plus sign.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     return files.select(
         name.alias("source"), reply_column(name).alias("column"), F.col("value").alias("text")
     )
