@@ -1,5 +1,7 @@
 """The full run, the stream, and the shape of the plans."""
 
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ ROWS = [
     (2, "ann lee!", "5551234567", "11"),
     (3, "Bob", "12", "12"),
     (4, "", "null", "9000000"),
-    *[(i, f"Person number {i * 7919}", "+15550000000", str(i % 7)) for i in range(5, 60)],
+    *[(i, f"p{md5(str(i).encode()).hexdigest()}", "+15550000000", str(i % 7)) for i in range(5, 60)],
 ]
 RULES = [
     ColumnRule("Name", "name", is_unique=True, index=1, regex="^[A-Za-z]"),
@@ -65,7 +67,7 @@ def test_run_skips_stages_and_stops_on_errors(spark, table):
 def test_run_proposes_a_contract(spark, table):
     out = run(table, RunConfig(skip=frozenset({"dedupe"})))
     assert {r.name: r.data_type for r in rules_of(out["contract"])} == {
-        "name": "string", "phone": "string", "amount": "int",
+        "name": "string", "phone": "int", "amount": "int",
     }
 
 
