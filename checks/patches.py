@@ -22,7 +22,9 @@ from sparkscour.operators.reply_text import (
     scope_row_patches,
 )
 from sparkscour.operators.validation import invalid_cells
+from sparkscour.plans.preclean import preclean
 from sparkscour.plans.stitch import stitch
+from sparkscour.session import durable
 
 # Replies with corrections: one per nation of suppliers, one line or two per supplier.
 QUOTED = 'Name, ""new""'
@@ -240,9 +242,8 @@ STITCH_SQL = (
 
 def _stitched(spark, d):
     from checks.inputs import messy_customers
-    from sparkscour.plans.preclean import preclean
 
-    cleaned = preclean(messy_customers(spark, d))
+    cleaned = durable(preclean(messy_customers(spark, d)))
     return stitch(cleaned, RULES, row_patches(spark, d), cell_patches(spark, d))
 
 

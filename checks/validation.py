@@ -19,10 +19,12 @@ from sparkscour.operators.validation import (
     validation_summary,
 )
 from sparkscour.plans.preclean import preclean
+from sparkscour.session import durable
 
 
 def named_customers(spark, d) -> DataFrame:
-    return rename_by_contract(preclean(messy_customers(spark, d)), RULES)
+    """The stored result of the text cleaning, as the later stages read it."""
+    return durable(rename_by_contract(preclean(messy_customers(spark, d)), RULES))
 
 
 EMPTY_COLUMNS = ("phone", "balance", "signup", "email")

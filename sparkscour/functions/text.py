@@ -117,10 +117,14 @@ def strip_non_ascii(c: Column | str) -> Column:
 def clean_text(c: Column | str) -> Column:
     """White space, then spelling, then quotes, then non-ASCII; NULL and '' stay as they are.
 
-    Most text is ASCII without a mapped character and skips the spelling step.
+    Most text has no mapped character and skips the spelling step.
     """
     text = as_col(c)
-    full = strip_non_ascii(collapse_quotes(spell_ascii(collapse_space(text))))
+    flat = collapse_space(text)
+    # All mapped characters but the grave accent lie in these ranges; accented letters do not.
+    mapped = text.rlike(r"[`\u00ab-\u00bf\u00d7\u00f7\u2010-\u22ff]")
+    spelled = F.when(mapped, spell_ascii(flat)).otherwise(flat)
+    full = strip_non_ascii(collapse_quotes(spelled))
     plain = strip_non_ascii(collapse_quotes(_collapse_ascii_space(text)))
     return F.when(text.rlike(r"[^\x00-\x7F]|`"), full).otherwise(plain)
 

@@ -7,8 +7,8 @@ Edit distance: if two keys are within ``d`` edits and the shorter one is cut int
 disjoint chunks, some chunk is untouched and occurs in the longer one, moved by at most ``d``
 places. So ``d + 1`` chunks of the shorter key are joined to the grams of the longer one by plain
 equality. Word overlap: two word sets with overlap ``t`` share one of their
-``n - ceil(t n) + 1`` rarest words. Both filters only drop pairs that cannot qualify; the exact
-formula decides.
+``n - ceil(t n) + 1`` rarest words. A combined similarity above 0.7 needs some word overlap, so it
+uses the words too. Both filters only drop pairs that cannot qualify; the exact formula decides.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from sparkscour.session import KEY_BUCKETS, durable, join_hot, key_bucket, salte
 
 MARGIN = 1e-9
 MAX_GRAM = 8
+CHUNK_CHOICES = (0, 1, 2)
 # Postings of one gram or word that are compared by one task.
 STRATEGIES = ("levenshtein", "jaccard", "combined")
 HOT_POSTINGS = 20_000
@@ -36,7 +37,8 @@ class Commonness:
     decides what is indexed first and what is salted, never what is compared.
     """
 
-    def __init__(self, counts: dict[int, int]) -> None:
+    def __init__(self, counts: dict[int, int], shorter: int = 0) -> None:
+        self.shorter = shorter
         self.salts = salts_of(counts, HOT_POSTINGS)
         levels = bytearray(KEY_BUCKETS)
         for bucket, n in counts.items():
@@ -85,6 +87,13 @@ def edit_share(strategy: str, t: float) -> float:
     return (t - 0.3) / 0.7 if strategy == "combined" else t
 
 
+def word_share(strategy: str, t: float) -> float:
+    """The word overlap that a pair needs at least; none where it is not above 0."""
+    if strategy == "jaccard":
+        return t
+    return (t - 0.7) / 0.3 if strategy == "combined" else 0.0
+
+
 def _most_edits(longest: Column, t: float) -> Column:
     return F.floor(longest * F.lit(1 - t) + MARGIN).cast("int")
 
@@ -98,10 +107,14 @@ def _shortest_partner(length: Column, t: float) -> Column:
     return F.greatest(F.ceil(length * F.lit(t) - MARGIN).cast("int"), F.lit(1))
 
 
-def _gram_size(length: Column, t: float) -> Column:
-    """Chunk length: as long as possible, with a spare chunk so that a common one can be left."""
+def _gram_size(length: Column, t: float, shorter: int) -> Column:
+    """Chunk length: the longest that leaves enough chunks, or ``shorter`` less, down to 3.
+
+    Shorter chunks are more common in general, but give more chunks to choose rare ones from.
+    """
     whole = F.floor(length / (_most_edits_of_shorter(length, t) + 1)).cast("int")
-    return F.least(F.when(whole >= 4, whole - 1).otherwise(whole), F.lit(MAX_GRAM))
+    size = F.greatest(whole - shorter, F.least(whole, F.lit(3))) if shorter else whole
+    return F.least(size, F.lit(MAX_GRAM))
 
 
 # Edit distance
@@ -117,7 +130,7 @@ def _chunk_hashes(key: Column, length: Column, size: Column) -> Column:
 def _chunks(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
     """The shorter side: its rarest chunks, one more than the edits it can take."""
     key, length = F.col("key"), F.length("key")
-    sized = keys.select("id", "key", length.alias("len"), _gram_size(length, t).alias("size"))
+    sized = keys.select("id", "key", length.alias("len"), _gram_size(length, t, common.shorter).alias("size"))
     ranked = F.sort_array(
         F.transform(
             _chunk_hashes(key, F.col("len"), F.col("size")),
@@ -134,14 +147,14 @@ def _chunks(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
     )
 
 
-def _grams(keys: DataFrame, t: float) -> DataFrame:
+def _grams(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
     """The longer side: all grams of each size that a partner's chunks can have."""
     key = F.col("key")
     sized = keys.select("id", "key", F.length("key").alias("len"))
     sizes = F.array_distinct(
         F.transform(
             F.sequence(_shortest_partner(F.col("len"), t), F.col("len")),
-            lambda n: _gram_size(n, t),
+            lambda n: _gram_size(n, t, common.shorter),
         )
     )
     spots = sized.select("id", "key", "len", F.explode(sizes).alias("size")).filter(
@@ -181,7 +194,7 @@ def _edit_pairs(
     """Verified pairs of a key of ``short`` and an at least as long key of ``long``."""
     share = edit_share(strategy, t)
     if share > 0.5:
-        met = common.join(_chunks(short, share, common), _grams(long, share), F.col("s_id"))
+        met = common.join(_chunks(short, share, common), _grams(long, share, common), F.col("s_id"))
     else:
         met = _lengths_in_reach(short, long, share)
     edits = _most_edits(F.col("r_len"), share) if share > 0 else F.col("r_len")
@@ -210,52 +223,119 @@ def _edit_pairs(
 
 
 def _postings(keys: DataFrame, t: float, common: Commonness, side: str) -> DataFrame:
+    listed = keys.select("id", F.length("key").alias("len"), words("key").alias("words"))
     n = F.size("words")
     length = n - F.ceil(n * F.lit(t) - MARGIN).cast("int") + 1
     ranked = F.transform(F.col("words"), lambda w: common.ranked(F.xxhash64(w)))
     rare = F.slice(F.sort_array(ranked), F.lit(1), length)
     return (
-        keys.select("id", n.alias("n"), rare.alias("rare"))
+        listed.select("id", "len", n.alias("n"), rare.alias("rare"))
         .select("*", F.explode("rare").alias("gram"))
-        .select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "rare")])
+        .select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "len", "n", "rare")])
     )
 
 
-def _overlap_pairs(
-    a: DataFrame, b: DataFrame, t: float, common: Commonness, ordered: bool
+def _word_pairs(
+    a: DataFrame, b: DataFrame, strategy: str, t: float, common: Commonness, ordered: bool
 ) -> DataFrame:
-    a = a.withColumn("words", words("key")).select("id", "words")
-    b = b.withColumn("words", words("key")).select("id", "words")
+    """Verified pairs found by shared rare words, for ``jaccard`` and ``combined``."""
+    overlap_needed = word_share(strategy, t)
     met = common.join(
-        _postings(a, t, common, "s"), _postings(b, t, common, "r"), F.col("s_id")
+        _postings(a, overlap_needed, common, "s"),
+        _postings(b, overlap_needed, common, "r"),
+        F.col("s_id"),
     )
     fewer, more = F.least("s_n", "r_n"), F.greatest("s_n", "r_n")
+    close = fewer >= F.ceil(more * F.lit(overlap_needed) - MARGIN)
+    if strategy == "combined":
+        longest = F.greatest("s_len", "r_len")
+        close &= F.least("s_len", "r_len") >= F.ceil(longest * F.lit(edit_share(strategy, t)) - MARGIN)
     met = met.filter(
         (F.col("s_id") < F.col("r_id") if ordered else F.col("s_id") != F.col("r_id"))
-        & (fewer >= F.ceil(more * F.lit(t) - MARGIN))
+        & close
         # A pair that shares several rare words is taken at the first of them only.
         & (F.get(F.array_intersect("s_rare", "r_rare"), F.lit(0)) == F.col("gram"))
     ).select("s_id", "r_id")
-    left = a.select(F.col("id").alias("s_id"), F.col("words").alias("s_words"))
-    right = b.select(F.col("id").alias("r_id"), F.col("words").alias("r_words"))
     met = durable(met)
-    both = join_hot(met, left, "s_id", spread_by=F.col("r_id"))
-    both = join_hot(both, right, "r_id", spread_by=F.col("s_id"), measured=met)
-    score = overlap(F.col("s_words"), F.col("r_words"))
-    return both.select("s_id", "r_id", score.alias("similarity")).filter(F.col("similarity") >= t)
+
+    def side(keys: DataFrame, name: str) -> DataFrame:
+        # The words are cut out once per key, not once per pair.
+        carried = ["words", "key"] if strategy == "combined" else ["words"]
+        listed = keys.withColumn("words", words("key"))
+        return listed.select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", *carried)])
+
+    both = join_hot(met, side(a, "s"), "s_id", spread_by=F.col("r_id"))
+    both = join_hot(both, side(b, "r"), "r_id", spread_by=F.col("s_id"), measured=met)
+    scored = both.withColumn("_overlap", overlap(F.col("s_words"), F.col("r_words")))
+    score = F.col("_overlap")
+    if strategy == "combined":
+        # The overlap says how many edits are left.
+        longest = F.greatest(F.length("s_key"), F.length("r_key"))
+        needed = (F.lit(t) - F.lit(0.3) * F.col("_overlap")) / F.lit(0.7)
+        edits = F.floor(longest * (F.lit(1) - needed) + MARGIN).cast("int")
+        distance = F.call_function("levenshtein", F.col("s_key"), F.col("r_key"), F.col("_left"))
+        scored = (
+            scored.withColumn("_left", edits)
+            .filter("_left >= 0")
+            .withColumn("_edits", distance)
+            .filter("_edits >= 0")
+        )
+        score = blend(F.lit(1) - F.col("_edits") / longest, F.col("_overlap"))
+    return scored.select("s_id", "r_id", score.alias("similarity")).filter(F.col("similarity") >= t)
 
 
 def common_items(keys: DataFrame, strategy: str, threshold: float) -> Commonness:
     """Commonness of the chunks or words of ``keys``; also good for subsets of them."""
     share = edit_share(strategy, threshold)
-    if strategy == "jaccard":
+    if _by_words(strategy, threshold):
         hashes = F.transform(words("key"), lambda w: F.xxhash64(w))
-    elif share > 0.5:
-        length = F.length("key")
-        hashes = _chunk_hashes(F.col("key"), length, _gram_size(length, share))
-    else:
+        return Commonness.of(keys.select(F.explode(hashes).alias("item")))
+    if share <= 0.5:
         return Commonness({})
-    return Commonness.of(keys.select(F.explode(hashes).alias("item")))
+    return _cheapest_chunks(keys, share)
+
+
+def _cheapest_chunks(keys: DataFrame, share: float) -> Commonness:
+    """Commonness for the chunk length whose picked chunks meet the fewest others."""
+    length = F.length("key")
+    tagged = [
+        keys.select(
+            F.lit(shorter).alias("shorter"),
+            F.explode(
+                _chunk_hashes(F.col("key"), length, _gram_size(length, share, shorter))
+            ).alias("item"),
+        )
+        for shorter in CHUNK_CHOICES
+    ]
+    counted = (
+        reduce(DataFrame.unionByName, tagged)
+        .groupBy("shorter", key_bucket(F.col("item")).alias("bucket"))
+        .count()
+        .toArrow()
+    )
+    counts: dict[int, dict[int, int]] = {k: {} for k in CHUNK_CHOICES}
+    for k, bucket, n in zip(*(counted[c].to_pylist() for c in ("shorter", "bucket", "count"))):
+        counts[k][bucket] = n
+    choices = [Commonness(counts[k], k) for k in CHUNK_CHOICES]
+    met = [
+        _chunks(keys, share, choice).select(
+            F.lit(i).alias("choice"), choice.level(F.col("gram")).alias("level")
+        )
+        for i, choice in enumerate(choices)
+    ]
+    costs = (
+        reduce(DataFrame.unionByName, met)
+        .groupBy("choice")
+        .agg(F.sum(F.pow(F.lit(2.0), F.col("level") / 3)).alias("cost"))
+        .collect()
+    )
+    best = min(costs, key=lambda r: (r["cost"], r["choice"]), default=None)
+    return choices[best["choice"]] if best else choices[0]
+
+
+def _by_words(strategy: str, t: float) -> bool:
+    # The margin keeps a share that only rounding lifts above 0 on the other path.
+    return word_share(strategy, t) > 1e-6
 
 
 def _check(strategy: str, t: float, allow_all_pairs: bool) -> None:
@@ -283,8 +363,8 @@ def similarity_pairs(
     _check(strategy, t, allow_all_pairs)
     if common is None:
         common = common_items(keys, strategy, t)
-    if strategy == "jaccard":
-        found = _overlap_pairs(keys, keys, t, common, ordered=True)
+    if _by_words(strategy, t):
+        found = _word_pairs(keys, keys, strategy, t, common, ordered=True)
     else:
         found = _edit_pairs(keys, keys, strategy, t, common, F.col("s_id") < F.col("r_id"))
     return found.select(
@@ -305,8 +385,8 @@ def similarity_pairs_between(
     """All pairs ``(a_id, b_id, similarity)`` of a key of ``a`` and a key of ``b``."""
     strategy = known_strategy(strategy)
     _check(strategy, threshold, allow_all_pairs)
-    if strategy == "jaccard":
-        found = [_overlap_pairs(a, b, threshold, common, ordered=False)]
+    if _by_words(strategy, threshold):
+        found = [_word_pairs(a, b, strategy, threshold, common, ordered=False)]
     else:
         found = [
             _edit_pairs(a, b, strategy, threshold, common, F.lit(True)),

@@ -92,7 +92,7 @@ def firsts(keys):
 CASES = [
     *[("levenshtein", t) for t in (0.55, 0.6, 0.75, 0.85, 0.95, 1.0)],
     *[("jaccard", t) for t in (0.3, 0.6, 0.85, 1.0)],
-    *[("combined", t) for t in (0.7, 0.85, 1.0)],
+    *[("combined", t) for t in (0.68, 0.7, 0.75, 0.85, 1.0)],
 ]
 
 
