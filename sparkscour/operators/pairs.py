@@ -235,6 +235,18 @@ def _postings(keys: DataFrame, t: float, common: Commonness, side: str) -> DataF
     )
 
 
+def _shared_needed(sizes: Column, t: float) -> Column:
+    """Shared words that two sets of these sizes together need for an overlap of ``t``."""
+    return F.ceil(sizes * F.lit(t / (1 + t)) - MARGIN)
+
+
+def _most_shared(a: str, b: str) -> Column:
+    def rest(side: str) -> Column:
+        return F.col(f"{side}_n") - F.array_position(f"{side}_rare", F.col("gram"))
+
+    return F.least(rest(a), rest(b)) + 1
+
+
 def _word_pairs(
     a: DataFrame, b: DataFrame, strategy: str, t: float, common: Commonness, ordered: bool
 ) -> DataFrame:
@@ -253,6 +265,8 @@ def _word_pairs(
     met = met.filter(
         (F.col("s_id") < F.col("r_id") if ordered else F.col("s_id") != F.col("r_id"))
         & close
+        # Words before the first shared one are not shared, so the rest must be long enough.
+        & (_most_shared("s", "r") >= _shared_needed(F.col("s_n") + F.col("r_n"), overlap_needed))
         # A pair that shares several rare words is taken at the first of them only.
         & (F.get(F.array_intersect("s_rare", "r_rare"), F.lit(0)) == F.col("gram"))
     ).select("s_id", "r_id")
@@ -266,7 +280,13 @@ def _word_pairs(
 
     both = join_hot(met, side(a, "s"), "s_id", spread_by=F.col("r_id"))
     both = join_hot(both, side(b, "r"), "r_id", spread_by=F.col("s_id"), measured=met)
-    scored = both.withColumn("_overlap", overlap(F.col("s_words"), F.col("r_words")))
+    # A count that is enough comes first: it looks at the words once.
+    enough = F.size(F.array_intersect("s_words", "r_words")) >= _shared_needed(
+        F.size("s_words") + F.size("r_words"), overlap_needed
+    )
+    scored = both.filter(enough).withColumn(
+        "_overlap", overlap(F.col("s_words"), F.col("r_words"))
+    )
     score = F.col("_overlap")
     if strategy == "combined":
         # The overlap says how many edits are left.
