@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from checks import duck, query, table
 from checks.inputs import RULES, cell_patches, messy_customers
+from checks.patches import PATCHED_CELLS
 from sparkscour.functions.validity import is_empty, leading_number
 from sparkscour.operators.columns import coerce_numeric, rename_by_contract
 from sparkscour.operators.patches import apply_cell_patches
 from sparkscour.operators.validation import (
     column_outcomes,
-    invalid_cells,
     significant_improvements,
     split_valid_invalid,
     validation_stats,
@@ -88,9 +88,6 @@ def outcomes(spark, d):
     return column_outcomes(named_customers(spark, d), RULES)
 
 
-# The table after the last patch of each cell, as in checks.patches.
-from checks.patches import PATCHED_CELLS  # noqa: E402
-
 _BEFORE_AFTER = (
     f"WITH {duck.CLEANED}, {PATCHED_CELLS}, b AS ({duck.stats_sql('named')}), "
     f"a AS ({duck.stats_sql('patched')})"

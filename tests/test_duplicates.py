@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from sparkscour.operators import groups as G
 from sparkscour.operators import pairs as P
