@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkscour.llm import trie_bpe, warc
+from sparkscour.llm import divergence, edit_fingerprints, line_spread, pivotal, string_kernel, trie_bpe, warc
 from sparkscour.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,58 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@query("op2_divergence")
+def op2_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.judge(documents(spark, folder))
+
+
+@query(
+    "op3_line_spread",
+    r"""
+    WITH l AS (
+      SELECT doc_id, source, unnest(generate_series(1, len(p))) AS i, unnest(p) AS raw
+      FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)
+    ), t AS (
+      SELECT doc_id, source, i, raw, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l
+    ), s AS (
+      SELECT line, min((doc_id, i)) AS first FROM t WHERE line <> ''
+      GROUP BY line HAVING count(DISTINCT source) >= 10
+    ), k AS (
+      SELECT doc_id, i, raw, s.line IS NOT NULL AND first <> (doc_id, i) AS gone
+      FROM t LEFT JOIN s ON t.line = s.line
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+           sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS clean_sha256
+    FROM k GROUP BY doc_id
+    """,
+)
+def op3_line_spread(spark: SparkSession, folder: str) -> DataFrame:
+    return line_spread.report(documents(spark, folder))
+
+
+@query("op5_string_kernel")
+def op5_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    model = string_kernel.fit(docs, ~string_kernel.held_out(F.col("doc_id")))
+    found = string_kernel.predict(docs.select("doc_id", "text"), model)
+    doc = F.col("row").getField("doc_id")
+    return found.select(doc.alias("doc_id"), string_kernel.held_out(doc).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_edit_fingerprints")
+def op7_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return edit_fingerprints.fingerprints(documents(spark, folder)).select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        F.lower(F.hex("print")).alias("fingerprint"),
+        F.lower(F.hex("edited_print")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "shared_bands",
+    )
+
+
 @query(
     "op8_warc",
     """
@@ -49,6 +102,12 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op9_pivotal_mix")
+def op9_pivotal_mix(spark: SparkSession, folder: str) -> DataFrame:
+    report = pivotal.mix_report(documents(spark, folder))
+    return report.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
