@@ -206,15 +206,15 @@ def judge(docs: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("struct<total:double,language:string,chars:double,words:double>")
     nearest = nothing
     if known:
-        each = [
-            let_all(
+        def against(lang: str, chars: list[float], words: list[float]) -> Column:
+            return let_all(
                 {"chars": distance(F.col("characters"), chars), "words": distance(F.col("words"), words)},
-                lambda v, lang=lang: F.struct(
+                lambda v: F.struct(
                     (v["chars"] + v["words"]).alias("total"), F.lit(lang).alias("language"), v["chars"], v["words"]
                 ),
             )
-            for lang, (chars, words) in sorted(known.items())
-        ]
+
+        each = [against(lang, *shares) for lang, shares in sorted(known.items())]
         nearest = F.when(compared, F.array_min(F.array(*each))).otherwise(nothing)
     judged = counted.withColumn("nearest", nearest)
     far = (F.col("nearest.chars") > MOST_CHARACTER_DISTANCE) | (F.col("nearest.words") > MOST_WORD_DISTANCE)

@@ -211,7 +211,7 @@ def resolve(ends: DataFrame, buckets: int, seed: int) -> DataFrame:
     """Whether the document left over in each chunk gets its copy: ``_null``, ``_source``, ``_bucket``, ``_up``.
 
     Level by level, the left-over documents of ``FAN_IN`` neighbouring nodes of one source meet in
-    their parent; at the root the last one is drawn. The answers then go back down the tree.
+    their parent; at the root the last one is rounded. The answers then go back down the tree.
     """
     here = ["_null", "_source", "_bucket"]
     levels = []
@@ -236,8 +236,8 @@ def resolve(ends: DataFrame, buckets: int, seed: int) -> DataFrame:
             parents.withColumn("_end", settle(F.col("_items"), seed, F.lit(level), *[F.col(c) for c in here]))
         )
         levels.append(nodes)
-    drawn = chance(seed + 3, F.col("_null"), F.col("_source")) < F.col("_end.p")
-    known = nodes.select(*here, drawn.alias("_up"))
+    # One document per source: the nearer whole number brings the source closest to its target.
+    known = nodes.select(*here, (F.col("_end.p") >= 0.5).alias("_up"))
     for nodes in reversed(levels):
         up = (
             F.when(F.col("_at") == F.col("_end.held"), F.coalesce(F.col("_up"), F.lit(False)))
