@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm import divergence, edit_fingerprints, line_spread, pivotal, string_kernel, trie_bpe, warc
+from sparkscour.llm import divergence, edit_fingerprints, line_spread, pivotal, secret_index, string_kernel, trie_bpe, warc
 from sparkscour.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@query("op1_secret_index", secret_index.report_sql())
+def op1_secret_index(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_index.report(documents(spark, folder))
+
+
 @query("op2_divergence")
 def op2_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.judge(documents(spark, folder))
