@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm import divergence, edit_fingerprints, line_spread, pivotal, secret_index, string_kernel, trie_bpe, warc
+from sparkscour.llm import divergence, edit_fingerprints, line_spread, pivotal, secret_index, string_kernel, surrogates, trie_bpe, warc
 from sparkscour.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,13 @@ def op5_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(doc.alias("doc_id"), string_kernel.held_out(doc).alias("held_out"), "lang_pred", "score")
 
 
+@query("op6_surrogates")
+def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    # The key of a run comes from the session's settings; this one serves where none is set.
+    key = surrogates.Key(spark.conf.get("spark.sparkscour.surrogates.key", "a key for trial runs"))
+    return surrogates.report(documents(spark, folder).select("doc_id", "text"), key)
+
+
 @query("op7_edit_fingerprints")
 def op7_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return edit_fingerprints.fingerprints(documents(spark, folder)).select(
