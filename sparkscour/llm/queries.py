@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm import divergence, edit_fingerprints, line_spread, pivotal, secret_index, string_kernel, surrogates, trie_bpe, warc
+from sparkscour.llm import divergence, edit_fingerprints, jaccard_tiles, line_spread, pivotal, secret_index, string_kernel, surrogates, trie_bpe, warc
 from sparkscour.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def op3_line_spread(spark: SparkSession, folder: str) -> DataFrame:
     return line_spread.report(documents(spark, folder))
 
 
+@query("op4_jaccard_tiles")
+def op4_jaccard_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_tiles.link(documents(spark, folder))
+
+
 @query("op5_string_kernel")
 def op5_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text", "lang")
