@@ -165,7 +165,7 @@ def _profile_sql(source: str, columns: list[str]) -> str:
             f"""SELECT {duck.lit(name)} AS original_name, {i} AS index, count(*) AS total,
             count(v) AS filled, count(DISTINCT v) AS uniq, coalesce(min(length(v)), 0) AS shortest,
             coalesce(max(length(v)), 0) AS longest, coalesce(min(v), '') AS example,
-            {hits('^[+-]?[0-9]+$')} AS ints, {hits('^[+-]?[0-9]+[.][0-9]+$')} AS floats,
+            {hits('[0-9]')} AS digits, {hits('^[+-]?[0-9]+$')} AS ints, {hits('^[+-]?[0-9]+[.][0-9]+$')} AS floats,
             {hits('^[0-9]{4}-[0-9]{2}-[0-9]{2}$')} AS dates,
             {hits('^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}$')} AS mails
             FROM (SELECT {v} AS v FROM {source})"""
@@ -173,7 +173,7 @@ def _profile_sql(source: str, columns: list[str]) -> str:
     return f"""
     SELECT original_name, trim(regexp_replace(lower(original_name), '[^a-z0-9]+', '_', 'g'), '_')
       AS name, filled = 0 AS is_excluded,
-      filled > 0 AND uniq = filled AND kind <> 'float' AS is_unique,
+      filled > 0 AND uniq = filled AND digits < filled * 0.95 AS is_unique,
       index, kind AS data_type,
       concat(filled, ' values of ', shortest, ' to ', longest, ' characters') AS description,
       example, CASE kind WHEN 'int' THEN '^[+-]?[0-9]+$'
@@ -193,7 +193,16 @@ MESSY_COLUMNS = duck.HEADERS
 
 @query("propose_contract", _profile_sql("customer", CUSTOMER))
 def propose_customer(spark, d):
-    return propose_contract(table(spark, d, "customer"), CUSTOMER, exact_distinct=True)
+    return propose_contract(table(spark, d, "customer"), CUSTOMER)
+
+
+NATION = ["n_nationkey", "n_name", "n_regionkey"]
+
+
+@query("propose_contract_words", _profile_sql("nation", NATION))
+def propose_nation(spark, d):
+    """A column of different words, which is proposed as unique."""
+    return propose_contract(table(spark, d, "nation"), NATION)
 
 
 @query(
@@ -201,4 +210,4 @@ def propose_customer(spark, d):
     f"WITH messy AS ({MESSY_SQL}) {_profile_sql('messy', MESSY_COLUMNS)}",
 )
 def propose_messy(spark, d):
-    return propose_contract(messy_customers(spark, d), MESSY_COLUMNS, exact_distinct=True)
+    return propose_contract(messy_customers(spark, d), MESSY_COLUMNS)

@@ -60,10 +60,10 @@ def sim_levenshtein(spark, d):
 @query(
     "sim_jaccard",
     f"""WITH {_PART_SQL} SELECT p_partkey, {duck.jac_sim(duck.words('x'), duck.words('y'))} AS to_type,
-    {duck.jac_sim(duck.words('x'), duck.words('z'))} AS to_next FROM p WHERE z IS NOT NULL""",
+    {duck.jac_sim(duck.words('x'), duck.words("coalesce(z, '')"))} AS to_next FROM p""",
 )
 def sim_jaccard(spark, d):
-    return _parts(spark, d).filter("z IS NOT NULL").select(
+    return _parts(spark, d).fillna("", ["z"]).select(
         "p_partkey",
         sim.jaccard_similarity("x", "y").alias("to_type"),
         sim.similarity("x", "z", "jaccard").alias("to_next"),
@@ -72,12 +72,12 @@ def sim_jaccard(spark, d):
 
 @query(
     "sim_combined",
-    f"""WITH {_PART_SQL} SELECT p_partkey, ({duck.lev_sim('x', 'z')}) * 0.7::DOUBLE
-    + ({duck.jac_sim(duck.words('x'), duck.words('z'))}) * 0.3::DOUBLE AS to_next
-    FROM p WHERE z IS NOT NULL""",
+    f"""WITH {_PART_SQL} SELECT p_partkey, ({duck.lev_sim('x', "coalesce(z, '')")}) * 0.7::DOUBLE
+    + ({duck.jac_sim(duck.words('x'), duck.words("coalesce(z, '')"))}) * 0.3::DOUBLE AS to_next
+    FROM p""",
 )
 def sim_combined(spark, d):
-    return _parts(spark, d).filter("z IS NOT NULL").select(
+    return _parts(spark, d).fillna("", ["z"]).select(
         "p_partkey", sim.similarity("x", "z", "combined").alias("to_next")
     )
 

@@ -12,7 +12,7 @@ from checks.patches import STITCH_SQL
 from checks.rules import DATE, PHONE
 from checks.validation import named_customers
 from sparkscour.functions import standardize as S
-from sparkscour.operators.batches import correct_cells, plan_batches
+from sparkscour.operators.batches import ask_corrector, correct_cells, plan_batches
 from sparkscour.operators.outliers import (
     drop_outliers,
     iforest_fit,
@@ -46,6 +46,31 @@ LIMIT = 20_000
       CAST(batches AS INT) AS batches FROM r JOIN plan USING ("column")""",
 )
 def token_batches(spark, d):
+    cells = table(spark, d, "documents").select(
+        F.col("doc_id").alias("row_id"), F.col("source").alias("column"), F.col("text").alias("value")
+    )
+    return plan_batches(cells, token_limit=LIMIT, max_batches=20)
+
+
+@query(
+    "token_batches_all_fit",
+    f"""WITH c AS (SELECT doc_id AS row_id, source AS "column", text AS value,
+      length(concat(doc_id, ',', {duck.csv('text')})) + 1 AS chars,
+      4 * ({LIMIT} - 2000) - 31 - length(concat('ID,', source)) AS room FROM documents),
+    r AS (SELECT *, row_number() OVER w AS rank, sum(chars) OVER w AS upto FROM c
+      WINDOW w AS (PARTITION BY "column" ORDER BY row_id)),
+    sizes AS (SELECT "column", count(*) AS n, sum(chars) AS total, max(chars) AS longest,
+      greatest(count(*) FILTER (upto <= room), 1) AS fitting, any_value(room) AS room FROM r GROUP BY ALL),
+    plan AS (SELECT *, CASE WHEN total <= room THEN 1 ELSE greatest(ceil(n / fitting), 2) END AS k FROM sizes),
+    dealt AS (SELECT r.*, longest, ceil(rank / ceil(n / k)) AS b FROM r JOIN plan USING ("column")),
+    parts AS (SELECT *, CASE WHEN sum(chars) OVER w > room
+      THEN floor((upto - chars - min(upto - chars) OVER w) / greatest(room - longest, 1)) ELSE 0 END AS part
+      FROM dealt WINDOW w AS (PARTITION BY "column", b)),
+    ranked AS (SELECT *, dense_rank() OVER (PARTITION BY "column" ORDER BY b, part) AS batch FROM parts)
+    SELECT row_id, "column", value, CAST(batch AS INT) AS batch,
+      CAST(max(batch) OVER (PARTITION BY "column") AS INT) AS batches FROM ranked""",
+)
+def token_batches_all_fit(spark, d):
     cells = table(spark, d, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("column"), F.col("text").alias("value")
     )
@@ -63,6 +88,17 @@ def _corrector():
     return fix
 
 
+@query(
+    "failed_calls",
+    f"""WITH {duck.CLEANED}, bad AS ({duck.invalid_sql('named', 'cleaner')})
+    SELECT "column", 1 AS batch, count(*) AS cells, 'RuntimeError: no answer' AS error
+    FROM bad WHERE "column" = 'signup' GROUP BY "column" """,
+)
+def failed_calls(spark, d):
+    invalid = split_valid_invalid(named_customers(spark, d), RULES, "cleaner")[1]
+    return ask_corrector(invalid, RULES, _corrector(), "short")[1]
+
+
 @query(
     "correct_cells",
     f"""WITH {duck.CLEANED}, bad AS ({duck.invalid_sql('named', 'cleaner')})

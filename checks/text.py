@@ -115,7 +115,8 @@ def comparison_key(spark, d):
     "csv_text",
     f"""SELECT conv_id, turn, {duck.csv('text')} AS quoted,
     CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, text AS unquoted,
-    concat_ws(',', {duck.csv('role')}, {duck.csv('text')}) AS line, [role, text] AS fields
+    concat_ws(',', {duck.csv('role')}, {duck.csv('text')}) AS line, [role, text] AS fields,
+    ['', '', role, text, ''] AS edge_fields
     FROM conversations""",
 )
 def csv_text(spark, d):
@@ -128,6 +129,7 @@ def csv_text(spark, d):
         T.unquote(T.csv_quote("text")).alias("unquoted"),
         line.alias("line"),
         T.csv_fields(line).alias("fields"),
+        T.csv_fields(F.concat(F.lit(",,"), line, F.lit(","))).alias("edge_fields"),
     )
 
 

@@ -174,9 +174,10 @@ def csv_fields(line: Column) -> Column:
     A quote opens a quoted stretch anywhere in a field, a doubled quote inside it is a quote,
     and an unclosed stretch runs to the end of the line.
     """
-    field = r'(?:^|,)([^,"]*+(?:"(?:[^"]++|"")*+(?:"|$)[^,"]*+)*+)'
+    # With a comma in front of the line, each match takes one, so empty fields are matches too.
+    field = r',([^,"]*+(?:"(?:[^"]++|"")*+(?:"|$)[^,"]*+)*+)'
     stretch = r'"((?:[^"]++|"")*+)(?:"|$)'
-    raw = F.regexp_extract_all(line, F.lit(field), F.lit(1))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(field), F.lit(1))
     return F.transform(
         raw,
         lambda f: F.replace(F.regexp_replace(f, stretch, "$1"), F.lit('""'), F.lit('"')),

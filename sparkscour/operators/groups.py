@@ -23,6 +23,7 @@ from sparkscour.operators.pairs import (
     similarity_pairs,
     similarity_pairs_between,
 )
+from sparkscour.operators.rows import distributed_rank
 from sparkscour.session import durable, join_hot
 
 log = logging.getLogger(__name__)
@@ -31,7 +32,7 @@ log = logging.getLogger(__name__)
 FIRST_BATCH = 200_000
 BATCH_GROWTH = 4
 MANY_ROUNDS = 25
-# Members that go into one request text.
+# Members that go into one request text; larger groups are decided in rounds (plans.dedupe).
 REQUEST_MEMBERS = 1000
 
 
@@ -86,13 +87,15 @@ def claims_from_edges(edges: DataFrame) -> DataFrame:
 
 
 def _batch_ends(keys: DataFrame, first_batch: int) -> list[int]:
-    """Last ids of the batches; the last batch has no end."""
-    n, low, high = keys.agg(F.count(F.lit(1)), F.min("id"), F.max("id")).first()
-    ends, done = [], first_batch
+    """Last ids of the batches, at real ranks of the ids; the last batch has no end."""
+    n, ranks, done = keys.count(), [], first_batch
     while done < n:
-        ends.append(low + (high - low) * done // n)
-        done += first_batch * BATCH_GROWTH ** len(ends)
-    return ends
+        ranks.append(done)
+        done += first_batch * BATCH_GROWTH ** len(ranks)
+    if not ranks:
+        return []
+    ranked = distributed_rank(keys.select("id"), ["id"], rank_col="_rank")
+    return sorted(r["id"] for r in ranked.filter(F.col("_rank").isin(*ranks)).collect())
 
 
 def key_claims(

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,8 +21,8 @@ from sparkscour.functions.validity import leading_number
 TREES = 100
 SAMPLE = 256
 OUTLIER_SCORE = 0.7
-# Rows from which all trees draw their samples.
-POOL_ROWS = 65_536
+# Values beyond this count as this, so that splits stay finite.
+LARGEST = 1e300
 
 NODE_SCHEMA = (
     "tree int, node int, feature int, split double, left int, right int, path double, sample int"
@@ -46,12 +46,11 @@ def iforest_fit(
     sample: int = SAMPLE,
     seed: int = 42,
     row_id: str = "row_id",
-    pool_rows: int = POOL_ROWS,
 ) -> DataFrame:
     """The node table of the forest. The same rows and seed always give the same trees.
 
-    One scan keeps about ``pool_rows`` rows by a hash of their id; each tree takes its ``sample``
-    rows from that pool, by a hash of id and tree.
+    In one scan, each tree draws about twice the rows it needs by a hash of id and tree, and keeps
+    the ``sample`` first of them.
     """
     columns = list(columns)
     if not columns:
@@ -60,19 +59,13 @@ def iforest_fit(
         as_col(row_id).alias("row_id"), *[as_col(c).cast("double").alias(c) for c in columns]
     )
     n = df.count()
-    pool = values
-    if n > pool_rows:
-        share = int(min(1.0, 1.1 * pool_rows / n) * 2**62)
-        pool = values.filter(F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(2**62)) < share)
-    # Of the pool, each tree looks at about twice the rows it needs before it ranks them.
-    kept = min(n, int(1.1 * pool_rows))
-    cut = int(min(1.0, (2.0 * sample + 50) / max(kept, 1)) * 2**62)
-    draw = F.pmod(F.xxhash64("row_id", F.col("tree"), F.lit(seed + 1)), F.lit(2**62))
-    drawn = (
-        pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("_draw", draw)
-        .filter(F.col("_draw") < cut)
-    )
+    cut = int(min(1.0, (2.0 * sample + 50) / max(n, 1)) * 2**62)
+
+    def draw(tree: Column) -> Column:
+        return F.pmod(F.xxhash64("row_id", tree, F.lit(seed + 1)), F.lit(2**62))
+
+    drawing = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < cut)
+    drawn = values.withColumn("tree", F.explode(drawing)).withColumn("_draw", draw(F.col("tree")))
     order = Window.partitionBy("tree").orderBy("_draw", "row_id")
     picked = drawn.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
 
@@ -81,7 +74,7 @@ def iforest_fit(
 
     def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
-        data = pdf.sort_values("_rank")[columns].to_numpy(dtype=float)
+        data = pdf.sort_values("_rank")[columns].to_numpy(dtype=float).clip(-LARGEST, LARGEST)
         limit = int(np.ceil(np.log2(max(len(data), 2))))
         rng = np.random.default_rng([seed, tree])
         nodes: list[list] = []
@@ -110,10 +103,19 @@ def iforest_fit(
 
 
 def iforest_score(
-    df: DataFrame, nodes: DataFrame, columns: Sequence[str], row_id: str = "row_id"
+    df: DataFrame,
+    nodes: DataFrame,
+    columns: Sequence[str],
+    row_id: str = "row_id",
+    values: Sequence[Column] | None = None,
+    into: str = "score",
 ) -> DataFrame:
-    """``df`` with a ``score`` in (0, 1]; higher is more isolated."""
+    """``df`` with a score in (0, 1]; higher is more isolated.
+
+    ``values`` are the numbers to score if they aren't the columns themselves.
+    """
     columns = list(columns)
+    values = [as_col(c) for c in columns] if values is None else list(values)
     # At most 100 x 511 nodes with the defaults, so the table fits the driver and a task.
     table = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
     starts = table.groupby("tree").cumcount().eq(0).to_numpy().nonzero()[0]
@@ -149,8 +151,8 @@ def iforest_score(
                 total += depth[at]
             yield pd.Series(np.power(2.0, -total / max(len(roots), 1) / scale))
 
-    features = F.struct(*[as_col(c).cast("double").alias(c) for c in columns])
-    return df.withColumn("score", score(features))
+    features = F.struct(*[v.cast("double").alias(c) for v, c in zip(values, columns)])
+    return df.withColumn(into, score(features))
 
 
 def drop_outliers(scored: DataFrame, threshold: float = OUTLIER_SCORE) -> DataFrame:

@@ -11,6 +11,7 @@ from sparkscour.functions.validity import percent
 from sparkscour.session import join_hot
 from sparkscour.sources.contracts import Contract, rules_of
 
+# Fixed value: the source of entries that only validation has.
 VALIDATION_SOURCE = "N/A (Regex Validation)"
 # Entries of one cell that are put in order by one task.
 LOG_STRETCH = 100_000
@@ -18,7 +19,7 @@ LOG_STRETCH = 100_000
 
 def latest_row_patches(row_patches: DataFrame) -> DataFrame:
     """The last patch of each row."""
-    return row_patches.groupBy("row_id").agg(F.max_by("values", "seq").alias("values"))
+    return row_patches.groupBy("row_id").agg(F.max_by("values", F.struct("seq")).alias("values"))
 
 
 def latest_cell_patches(cell_patches: DataFrame) -> DataFrame:
@@ -28,11 +29,11 @@ def latest_cell_patches(cell_patches: DataFrame) -> DataFrame:
     )
 
 
-def _cell_map(cell_patches: DataFrame) -> DataFrame:
+def _cell_map(cell_patches: DataFrame, names: list[str]) -> DataFrame:
     """One map per row; it has at most one entry per column of the table."""
     pairs = F.collect_list(F.struct("column", "corrected_value"))
     return (
-        latest_cell_patches(cell_patches)
+        latest_cell_patches(cell_patches.filter(F.col("column").isin(names)))
         .groupBy("row_id")
         .agg(F.map_from_entries(pairs).alias("_cells"))
     )
@@ -79,28 +80,32 @@ def apply_cell_patches(
 ) -> DataFrame:
     """Replace patched cells; unknown rows and columns have no effect."""
     names, types = _data_columns(df, row_id)
-    patch = _cell_map(cell_patches).withColumnRenamed("row_id", row_id)
+    patch = _cell_map(cell_patches, names).withColumnRenamed("row_id", row_id)
     return df.join(patch, row_id, "left").select(row_id, *_cell_patched(names, types))
 
 
-def apply_all_patches(
+def patched_side_by_side(
     df: DataFrame, row_patches: DataFrame, cell_patches: DataFrame, row_id: str = "row_id"
-) -> tuple[DataFrame, DataFrame]:
+) -> DataFrame:
     """Row patches, then cell patches, with the table joined (and shuffled) only once.
 
-    Returns the table after the row patches and the table after both.
+    Returns the id and two structs of all other columns: ``_before`` the cell patches and ``_after``.
     """
     names, types = _data_columns(df, row_id)
     patch = (
         latest_row_patches(row_patches)
         .withColumnRenamed("values", "_values")
-        .join(_cell_map(cell_patches), "row_id", "full_outer")
+        .join(_cell_map(cell_patches, names), "row_id", "full_outer")
         .withColumnRenamed("row_id", row_id)
     )
     joined = df.join(patch, row_id, "left").select(
         row_id, *_row_patched(names, types), "_cells"
     )
-    return joined.drop("_cells"), joined.select(row_id, *_cell_patched(names, types))
+    return joined.select(
+        row_id,
+        F.struct(*[as_col(n) for n in names]).alias("_before"),
+        F.struct(*_cell_patched(names, types)).alias("_after"),
+    )
 
 
 def build_change_log(
@@ -110,22 +115,26 @@ def build_change_log(
 
     The current value is what the patch found: the cell itself, or the patch before it. Patches
     of one cell are ordered in stretches of ``LOG_STRETCH`` lines, so no task has to hold all
-    patches of a cell.
+    patches of a cell. A patch without source or place comes before those that have one.
     """
     names = [c for c in before.columns if c != row_id]
     cell = ["row_id", "column"]
-    stretch = [*cell, "source", "_stretch"]
-    known = cell_patches.filter(F.col("column").isin(names)).withColumn(
-        "_stretch", F.floor(F.col("seq") / LOG_STRETCH)
+    stretch = [*cell, "_source", "_stretch"]
+    # The joins below need keys without nulls that sort as the nulls do.
+    known = cell_patches.filter(F.col("column").isin(names)).withColumns(
+        {
+            "_source": F.concat(F.col("source").isNotNull().cast("int"), F.coalesce("source", F.lit(""))),
+            "_stretch": F.coalesce(F.floor(F.col("seq") / LOG_STRETCH), F.lit(-(1 << 62))),
+        }
     )
     inside = Window.partitionBy(*stretch).orderBy("seq")
     chained = known.withColumn("_n", F.row_number().over(inside)).withColumn(
         "_found", F.lag("corrected_value").over(inside)
     )
-    ends = Window.partitionBy(*cell).orderBy("source", "_stretch")
+    ends = Window.partitionBy(*cell).orderBy("_source", "_stretch")
     earlier = (
         known.groupBy(*stretch)
-        .agg(F.max_by("corrected_value", "seq").alias("_end"))
+        .agg(F.max_by("corrected_value", F.struct("seq")).alias("_end"))
         .withColumn("_earlier", F.lag(F.struct("_end")).over(ends))
         .drop("_end")
     )
@@ -168,9 +177,8 @@ def flag_unresolved(
 
     With the ``cell_patches`` behind the log, the log is not computed twice to find hot cells.
     """
-    pattern = F.create_map(
-        F.lit(""), F.lit(""), *[F.lit(x) for r in rules_of(contract) for x in (r.name, r.regex)]
-    )
+    patterns = {"": "", **{r.name: r.regex for r in rules_of(contract)}}
+    pattern = F.create_map(*[F.lit(x) for pair in patterns.items() for x in pair])
     failing = still_invalid.select(
         "row_id",
         "column",

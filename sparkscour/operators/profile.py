@@ -20,21 +20,43 @@ TYPE_PATTERNS = {
 TYPE_SHARE = 0.95
 
 
-def profile_columns(
-    df: DataFrame, columns: Sequence[str], exact_distinct: bool = False
-) -> DataFrame:
+# An estimate of distinct values at least this share of the filled cells is counted exactly.
+NEAR_UNIQUE = 0.8
+
+
+def _filled(name: str) -> Column:
+    text = as_col(name).cast("string")
+    return F.when(~is_empty(text, "unified"), text)
+
+
+def _distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct filled cells per column: estimated, and exact where the estimate is near all of them."""
+    first = df.agg(
+        *[F.count(_filled(c)).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.approx_count_distinct(_filled(c)).alias(f"d{i}") for i, c in enumerate(columns)],
+    ).first()
+    counts = {c: first[f"d{i}"] for i, c in enumerate(columns)}
+    for i, column in enumerate(columns):
+        if first[f"d{i}"] >= NEAR_UNIQUE * first[f"n{i}"]:
+            once = df.select(_filled(column).alias("value")).groupBy("value").count()
+            counts[column] = once.filter("value IS NOT NULL").count()
+    return counts
+
+
+def profile_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Counts, empties, distinct values, type counts, lengths and smallest value per column.
 
-    One aggregation over one scan; distinct values are estimated unless ``exact_distinct``.
+    One aggregation over one scan, after one for estimates of distinct values; a column that may be
+    unique is counted exactly, by values combined before the shuffle.
     """
+    distinct = _distinct_counts(df, columns)
     measures, rows = [F.count(F.lit(1)).alias("total")], []
     for i, name in enumerate(columns):
-        text = as_col(name).cast("string")
-        value = F.when(~is_empty(text, "unified"), text)
-        distinct = F.count_distinct(value) if exact_distinct else F.approx_count_distinct(value)
+        value = _filled(name)
         measures += [
             F.count(value).alias(f"filled{i}"),
-            distinct.alias(f"distinct{i}"),
+            F.lit(distinct[name]).cast("long").alias(f"distinct{i}"),
+            F.count_if(value.rlike("[0-9]")).alias(f"digits{i}"),
             F.coalesce(F.min(F.length(value)), F.lit(0)).alias(f"shortest{i}"),
             F.coalesce(F.max(F.length(value)), F.lit(0)).alias(f"longest{i}"),
             F.coalesce(F.min(value), F.lit("")).alias(f"example{i}"),
@@ -52,6 +74,7 @@ def profile_columns(
                 F.col(f"distinct{i}").alias("distinct_count"),
                 F.col(f"shortest{i}").alias("shortest"),
                 F.col(f"longest{i}").alias("longest"),
+                F.col(f"digits{i}").alias("digit_count"),
                 F.col(f"example{i}").alias("example"),
                 *[F.col(f"{t}{i}").alias(f"{t}_count") for t in TYPE_PATTERNS],
             )
@@ -68,8 +91,9 @@ def contract_from_profile(profile: DataFrame, type_share: float = TYPE_SHARE) ->
     """Contract rows: the type that at least ``type_share`` of the filled cells have.
 
     A float column may hold integers too. A column without such a type is text with the
-    catch-all pattern, one without any value is excluded, and one whose filled cells are all
-    different (and not floats) is proposed as unique.
+    catch-all pattern, one without any value is excluded. A column whose filled cells are all
+    different is proposed as unique if it holds words: unique columns are compared by likeness, and
+    different numbers, dates and codes are alike.
     """
     filled = F.col("total_count") - F.col("empty_count")
     enough = filled * F.lit(type_share)
@@ -88,7 +112,7 @@ def contract_from_profile(profile: DataFrame, type_share: float = TYPE_SHARE) ->
         .when(is_mail, TYPE_PATTERNS["email"])
         .otherwise(ANY_VALUE)
     )
-    unique = has_values & (F.col("distinct_count") == filled) & (kind != "float")
+    unique = has_values & (F.col("distinct_count") == filled) & (F.col("digit_count") < enough)
     return profile.select(
         "original_name",
         contract_name(F.col("original_name")).alias("name"),
@@ -110,7 +134,5 @@ def contract_from_profile(profile: DataFrame, type_share: float = TYPE_SHARE) ->
     )
 
 
-def propose_contract(
-    df: DataFrame, columns: Sequence[str], exact_distinct: bool = False
-) -> DataFrame:
-    return contract_from_profile(profile_columns(df, columns, exact_distinct))
+def propose_contract(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return contract_from_profile(profile_columns(df, columns))

@@ -208,8 +208,10 @@ def scope_contract(
     )
     whole = lines.groupBy(*keep).agg(F.array_join(listed, "\n").alias("_whole"))
     own = lines.groupBy(*keep, "column").agg(F.min_by("_line", "index").alias("_own"))
-    scoped = columns.join(own, [*keep, "column"], "left")
-    scoped = scoped.join(whole, list(keep), "left") if keep else scoped.crossJoin(whole)
+    scoped = columns.join(own, [*keep, "column"], "left").withColumn("_alone", F.col("_own").isNull())
+    # Only columns that the contract lacks get its whole text.
+    whole = whole.withColumn("_alone", F.lit(True))
+    scoped = scoped.join(whole, [*keep, "_alone"], "left")
     return scoped.select(
         *keep,
         "column",

@@ -12,45 +12,71 @@ from sparkscour.functions.text import csv_line, csv_quote
 from sparkscour.session import durable
 
 
+# Offsets that are sent to every task: one row per partition and group.
+MOST_OFFSETS = 200_000
+
+
 def distributed_rank(
     df: DataFrame,
     order_by: Sequence[str],
     within: Sequence[str] = (),
     rank_col: str = "rank",
-    ordered_already: bool = False,
 ) -> DataFrame:
     """1-based rank in ``order_by`` order, inside each ``within`` group if given.
 
-    Range partitioning spreads any group, however large, over many tasks. Each sorted partition
-    then numbers its own rows, and a table with one row per partition and group (so ``within``
-    must have few values, such as column names) gives the offset to add. The sorted rows are
-    checkpointed so that both steps see the same partitions. ``ordered_already`` skips the range
-    shuffle for rows whose partitions are already in the right order.
+    Range partitioning spreads any group, however large, over many tasks; rows that are equal in the
+    order are spread by a hash of all their columns. Each sorted partition then numbers its own rows,
+    and a table with one row per partition and group gives the offset to add. The sorted rows are
+    checkpointed so that both steps see the same partitions.
     """
     keys = [*within, *order_by]
-    ranged = df if ordered_already else df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    hashable = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    ranged = df.withColumn("_tie", F.xxhash64(*hashable))
+    ranged = ranged.repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie")
     placed = durable(
-        ranged.withColumn("_part", F.spark_partition_id()).withColumn(
-            "_place", F.monotonically_increasing_id()
-        )
+        ranged.drop("_tie")
+        .withColumn("_part", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id())
     )
     starts = placed.groupBy("_part", *within).agg(
         F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first")
     )
-    earlier = (
-        Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    ).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = starts.withColumn(
-        "_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
-    ).drop("_rows")
-    # One row per partition (and per column name): small by construction.
+    offsets = _offsets(starts, ["_part"], within)
     return (
-        placed.join(F.broadcast(offsets), ["_part", *within])
+        placed.join(offsets, ["_part", *within])
         .withColumn(rank_col, F.col("_offset") + F.col("_place") - F.col("_first") + 1)
         .drop("_part", "_place", "_first", "_offset")
     )
 
 
+def _offsets(starts: DataFrame, order_by: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
+    """``_offset``, the sum of ``_rows`` before each row; sent to every task if few enough."""
+    earlier = (
+        Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    ).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = durable(
+        starts.withColumn("_offset", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows")
+    )
+    return F.broadcast(offsets) if offsets.count() <= MOST_OFFSETS else offsets
+
+
+def _file_rank(df: DataFrame, rank_col: str) -> DataFrame:
+    """1-based rank in the order of files, blocks and lines, without sorting or shuffling rows.
+
+    A block is read by one task in its order, so a line's place is known from its block's count and
+    first position; only one row per block is summed up.
+    """
+    # _pos only has meaning in the scan that made it, so it is fixed by one write.
+    placed = durable(df)
+    block = ["_file", "_block"]
+    starts = placed.groupBy(*block).agg(F.count(F.lit(1)).alias("_rows"), F.min("_pos").alias("_first"))
+    return (
+        placed.join(_offsets(starts, block), block)
+        .withColumn(rank_col, F.col("_offset") + F.col("_pos") - F.col("_first") + 1)
+        .drop(*block, "_pos", "_first", "_offset")
+    )
+
+
 def with_row_id(
     df: DataFrame,
     order_by: Sequence[str] | None = None,
@@ -70,8 +96,7 @@ def with_row_id(
     if order_by is None:
         if not set(position) <= set(df.columns):
             raise ValueError("pass id_col, order_by, or a table read with_position=True")
-        # _pos only has meaning in the scan that made it, so fix it before it is sorted on.
-        return distributed_rank(durable(df), position, rank_col=row_id).drop(*position)
+        return _file_rank(df, row_id)
     return distributed_rank(df, order_by, rank_col=row_id)
 
 

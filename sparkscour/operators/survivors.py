@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkscour.functions.text import as_col
 from sparkscour.functions.validity import is_empty, percent
 from sparkscour.operators.reply_text import parse_decisions, parse_removal_list
-from sparkscour.session import join_hot
+from sparkscour.session import durable, join_hot
 
 
 def _best(groups: DataFrame, rank: Column) -> DataFrame:
@@ -85,11 +85,15 @@ def invalid_decisions(groups: DataFrame, decisions: DataFrame) -> DataFrame:
 def removals_from_replies(
     groups: DataFrame, replies: DataFrame, text: str = "text"
 ) -> DataFrame:
-    """Ids to remove by group blocks; by bare id lists only if the blocks remove nothing."""
-    by_block = decide_survivors(groups, parse_decisions(replies, text, keep=()))
-    if not by_block.isEmpty():
-        return by_block
-    return parse_removal_list(replies, text, keep=()).distinct()
+    """Ids to remove by group blocks; of a reply whose blocks decide nothing, by its bare id list."""
+    told = replies.select(F.xxhash64(text).alias("_reply"), F.col(text).alias("text"))
+    blocks = durable(parse_decisions(told, "text", keep=("_reply",)))
+    by_block = decide_survivors(groups, blocks)
+    # A reply of which no block removes anything may name rows in a bare list.
+    members = groups.select("leader_id", F.col("row_id").alias("keep_id"))
+    working = blocks.join(members, ["leader_id", "keep_id"], "left_semi").select("_reply")
+    silent = told.join(working.distinct(), "_reply", "left_anti")
+    return by_block.unionByName(parse_removal_list(silent, "text", keep=())).distinct()
 
 
 def remove_rows(df: DataFrame, ids: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from sparkscour.functions.text import comparison_key
 from sparkscour.operators.batches import decide_groups
 from sparkscour.operators.groups import (
+    REQUEST_MEMBERS,
     group_members,
     group_requests,
     group_sizes,
     leader_groups,
 )
 from sparkscour.operators.pairs import require_threshold
+from sparkscour.operators.reply_text import parse_decisions
 from sparkscour.operators.survivors import (
     decide_survivors,
     dedupe_stats,
@@ -24,7 +26,7 @@ from sparkscour.operators.survivors import (
     remove_rows,
     removals_from_replies,
 )
-from sparkscour.session import durable
+from sparkscour.session import durable, join_hot
 from sparkscour.sources.contracts import Contract, rules_of
 
 
@@ -34,9 +36,60 @@ class Deduped:
     reason: str | None = None
     groups: DataFrame | None = None
     removals: DataFrame | None = None
-    requests: DataFrame | None = None
     stats: DataFrame | None = None
     configuration: dict = field(default_factory=dict)
+    make_requests: Callable[[], DataFrame] | None = None
+
+    @property
+    def requests(self) -> DataFrame | None:
+        """The request texts of all groups, built when they are asked for."""
+        return self.make_requests() if self.make_requests else None
+
+
+def removals_by_decider(
+    groups: DataFrame,
+    df: DataFrame,
+    decider: Callable[[str], str | None],
+    row_id: str = "row_id",
+    max_members: int = REQUEST_MEMBERS,
+) -> DataFrame:
+    """Ids to remove by a decider of group texts.
+
+    A group above ``max_members`` duplicates is decided in rounds: the rows that its parts keep are
+    the members of the next round, until one request covers all that are left, so the row that stays
+    is always one that a decision named. A group of which some part isn't decided keeps all rows.
+    """
+    if max_members < 4:
+        raise ValueError("a request needs room for at least 4 members")
+    sizes = groups.groupBy("leader_id").agg((F.count(F.lit(1)) - 1).alias("_n"))
+    large = durable(sizes.filter(F.col("_n") > max_members).select("leader_id"))
+    small = join_hot(groups, large, "leader_id", "left_anti", spread_by=F.col("row_id"))
+    replies = decide_groups(group_requests(small, df, row_id=row_id, max_members=max_members), decider)
+    removed = removals_from_replies(small, replies)
+    if large.isEmpty():
+        return removed
+    left = join_hot(groups, large, "leader_id", "left_semi", spread_by=F.col("row_id"))
+    left = durable(left.select("leader_id", "row_id"))
+    final = None
+    while not left.isEmpty():
+        requests = durable(group_requests(left, df, row_id=row_id, max_members=max_members))
+        parts = requests.groupBy("leader_id").agg(F.count(F.lit(1)).alias("_parts"))
+        members = left.select("leader_id", F.col("row_id").alias("keep_id"))
+        named = parse_decisions(decide_groups(requests, decider), keep=("part",))
+        named = named.join(members, ["leader_id", "keep_id"], "left_semi")
+        one = durable(named.groupBy("leader_id", "part").agg(F.min("keep_id").alias("keep_id")))
+        state = one.groupBy("leader_id").agg(
+            F.count(F.lit(1)).alias("_decided"), F.count_distinct("keep_id").alias("_kept")
+        )
+        state = durable(state.join(parts, "leader_id").filter("_decided = _parts"))
+        winners = one.join(state, "leader_id").select("leader_id", "keep_id", "_kept").distinct()
+        # One row that every part keeps is the decision.
+        settled = winners.filter("_kept = 1").select("leader_id", "keep_id")
+        final = settled if final is None else final.unionByName(settled)
+        again = winners.filter("_kept > 1").select("leader_id", F.col("keep_id").alias("row_id"))
+        leaders = again.select("leader_id", F.col("leader_id").alias("row_id"))
+        left = durable(again.unionByName(leaders).distinct())
+    return removed.unionByName(decide_survivors(groups, durable(final))).distinct()
 
 
 def dedupe(
@@ -69,13 +122,15 @@ def dedupe(
     groups = durable(leader_groups(keyed, strategy, t, **options))
     if groups.isEmpty():
         return Deduped(df, "no duplicate groups", groups, configuration=settings)
-    requests = group_requests(groups, df, row_id=row_id)
+    def requests() -> DataFrame:
+        return group_requests(groups, df, row_id=row_id)
+
     if show_input:
-        return Deduped(df, "requests only", groups, requests=requests, configuration=settings)
+        return Deduped(df, "requests only", groups, configuration=settings, make_requests=requests)
     if decisions is not None:
         removals = decide_survivors(groups, decisions)
     elif decider is not None:
-        removals = removals_from_replies(groups, durable(decide_groups(requests, decider)))
+        removals = removals_by_decider(groups, df, decider, row_id)
     else:
         kept = keep_policy(groups, policy, df, row_id).select(F.col("keep_id").alias("row_id"))
         # Every group has one kept row and every row is in one group.
@@ -86,9 +141,9 @@ def dedupe(
         None,
         groups,
         removals,
-        requests,
         dedupe_stats(df, groups, removals, row_id),
         settings,
+        requests,
     )
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from sparkscour.functions.validity import leading_number
 from sparkscour.operators.outliers import (
     OUTLIER_SCORE,
-    drop_outliers,
     iforest_fit,
     iforest_score,
     numeric_features,
@@ -19,6 +20,10 @@ from sparkscour.session import durable
 from sparkscour.sources.contracts import Contract, active_rules
 
 
+# The score beside the table's own columns.
+SCORE = "_isolation_score"
+
+
 @dataclass
 class IsoSplit:
     table: DataFrame
@@ -46,13 +51,13 @@ def iso_split(
     if not columns:
         raise ValueError("the contract has no numeric columns in use")
     nodes = iforest_fit(numeric_features(df, columns, row_id), columns, trees, sample, seed, row_id)
-    # The forest reads the coerced numbers; the table keeps its texts. Scores are written once.
-    scores = durable(
-        iforest_score(numeric_features(df, columns, row_id), nodes, columns, row_id)
+    # The forest reads the coerced numbers of a row, the table keeps its texts; both stay together.
+    numbers = [leading_number(c) for c in columns]
+    scored = durable(iforest_score(df, nodes, columns, row_id, numbers, SCORE))
+    kept = scored.filter(~(F.col(SCORE) > threshold)).select(*df.columns)
+    scores = scored.select(
+        row_id, *[v.alias(c) for v, c in zip(numbers, columns)], F.col(SCORE).alias("score")
     )
-    kept = drop_outliers(
-        df.join(scores.select(row_id, "score"), row_id), threshold
-    ).select(*df.columns)
     return IsoSplit(
         split_rows(kept, seed=seed, exact=exact, row_id=row_id),
         outlier_report(scores, columns, threshold, row_id),

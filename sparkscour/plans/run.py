@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 
-from sparkscour.operators.batches import correct_cells
+from sparkscour.operators.batches import ask_corrector
 from sparkscour.operators.profile import propose_contract
 from sparkscour.operators.standardizers import standardize
 from sparkscour.operators.validation import column_outcomes, split_valid_invalid
@@ -33,6 +33,7 @@ class RunConfig:
     corrector: Callable | None = None
     standard_forms: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
     instructions: str | None = None
+    examples: dict[str, str] = field(default_factory=dict)
     strategy: str = "levenshtein"
     threshold: float | None = None
     policy: str = "leader"
@@ -69,7 +70,8 @@ def run(df: DataFrame, config: RunConfig) -> dict[str, DataFrame]:
             table, rules, config.strategy, config.threshold, config.policy, config.decisions,
             config.decider, row_id=row_id,
         )
-        table = deduped.table
+        # Later stages read the table several times; the rows are removed once.
+        table = durable(deduped.table) if deduped.removals is not None else deduped.table
         out["deduped"] = table
         out |= {f"dedupe_{k}": v for k, v in dedupe_report(deduped).items()}
 
@@ -82,9 +84,10 @@ def run(df: DataFrame, config: RunConfig) -> dict[str, DataFrame]:
             made.append(standardize(named, config.standard_forms, row_id))
         if config.corrector is not None:
             invalid = split_valid_invalid(named, rules, "cleaner", row_id)[1]
-            made.append(
-                correct_cells(invalid, rules, config.corrector, config.instructions)
+            corrected, out["failed_calls"] = ask_corrector(
+                invalid, rules, config.corrector, config.instructions, config.examples
             )
+            made.append(corrected)
         for more in made:
             patches = more if patches is None else patches.unionByName(more)
     if patches is None:
@@ -94,7 +97,7 @@ def run(df: DataFrame, config: RunConfig) -> dict[str, DataFrame]:
     out["cell_patches"] = patches
 
     stitched = stitch(table, rules, config.row_patches, patches, row_id=row_id)
-    final = durable(stitched.table)
+    final = stitched.table
     out |= {
         "stitched": final,
         "validation_before": stitched.before,

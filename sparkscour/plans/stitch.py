@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkscour.operators.columns import rename_by_contract
 from sparkscour.operators.patches import (
-    apply_all_patches,
     build_change_log,
     change_summary,
     change_totals,
     flag_unresolved,
+    patched_side_by_side,
     status_report,
 )
 from sparkscour.operators.validation import (
@@ -21,6 +22,7 @@ from sparkscour.operators.validation import (
     validation_stats,
     validation_summary,
 )
+from sparkscour.session import durable
 from sparkscour.sources.contracts import Contract, rules_of
 
 ROW_PATCHES = "row_id long, values array<string>, flagged boolean, seq long"
@@ -63,7 +65,9 @@ def stitch(
 ) -> Stitched:
     """Apply a contract and its corrections; validation and flags are always computed.
 
-    Excluded columns are renamed and kept. The table is joined to all corrections once.
+    Excluded columns are renamed and kept. The table is joined to all corrections once, and its values
+    before and after the cell patches are written side by side, so that statistics, log and flags read
+    them without joining again.
     """
     rules = rules_of(contract)
     spark = df.sparkSession
@@ -72,9 +76,12 @@ def stitch(
     if cell_patches is None:
         cell_patches = spark.createDataFrame([], CELL_PATCHES)
     named = rename_by_contract(df, rules, row_id=row_id)
-    row_patched, table = apply_all_patches(named, row_patches, cell_patches, row_id)
+    both = durable(patched_side_by_side(named, row_patches, cell_patches, row_id))
+    names = [c for c in named.columns if c != row_id]
+    row_patched = both.select(row_id, *[F.col("_before").getField(c).alias(c) for c in names])
+    table = both.select(row_id, *[F.col("_after").getField(c).alias(c) for c in names])
     failing = invalid_cells(table, rules, mode, row_id)
-    log = build_change_log(row_patched, cell_patches, row_id)
+    log = durable(build_change_log(row_patched, cell_patches, row_id))
     return Stitched(
         table,
         validation_stats(row_patched, rules, mode),

@@ -7,7 +7,7 @@ import pytest
 from sparkscour.operators import groups as G
 from sparkscour.operators import pairs as P
 from sparkscour.operators.survivors import decide_survivors, invalid_decisions, removals_from_replies
-from sparkscour.plans.dedupe import dedupe, dedupe_report
+from sparkscour.plans.dedupe import dedupe, dedupe_report, removals_by_decider
 from sparkscour.session import durable
 from sparkscour.sources.contracts import ColumnRule
 
@@ -159,6 +159,20 @@ def test_a_third_of_all_rows_in_one_group(spark, monkeypatch):
     assert all(r["text"].split("\n")[2] == "3,the same value" for r in texts)
 
 
+@pytest.mark.parametrize("size", [4, 5, 7, 100])
+def test_the_size_of_requests_does_not_change_who_stays(spark, size):
+    rows = [(1, i, "leader" if i == 1 else "duplicate") for i in range(1, 31)] + [(50, 50, "leader"), (50, 51, "duplicate")]
+    groups = spark.createDataFrame(rows, "leader_id long, row_id long, role string")
+    df = spark.createDataFrame([(r[1], f"n{r[1]}") for r in rows], "row_id long, name string")
+
+    def keep_last(text):
+        tag, last = text.split("\n")[1], text.split("\n")[-2]
+        return f"{tag}\n{last}\n{tag.replace('<', '</')}"
+
+    removed = removals_by_decider(groups, df, keep_last, max_members=size).collect()
+    assert {r["row_id"] for r in removed} == set(range(1, 30)) | {50}
+
+
 def test_long_chain_of_edges(spark):
     edges = spark.createDataFrame([(i, i + 1, 0.9) for i in range(1, 30)], "left_id long, right_id long, similarity double")
     claims = {r["id"]: r["leader_id"] for r in G.claims_from_edges(durable(edges)).collect()}
@@ -181,6 +195,8 @@ def test_id_lists_count_only_without_blocks(spark):
     groups = groups_frame(spark)
     both = spark.createDataFrame([("<group_1>2,x</group_1> [5, 7]",)], "text string")
     assert {r[0] for r in removals_from_replies(groups, both).collect()} == {1}
+    mixed = spark.createDataFrame([("<group_1>2,x</group_1>",), ("[7]",)], "text string")
+    assert {r[0] for r in removals_from_replies(groups, mixed).collect()} == {1, 7}
     bare = spark.createDataFrame([("drop [5, 7, 0] and [1]",)], "text string")
     assert {r[0] for r in removals_from_replies(groups, bare).collect()} == {5, 7}
 

@@ -71,8 +71,28 @@ def test_row_patches_short_long_repeated(spark):
     got = {tuple(r) for r in P.apply_row_patches(df, rp).collect()}
     assert got == {(1, "x", "b"), (2, "9", "b"), (3, "a", "b")}
     empty = spark.createDataFrame([], "row_id long, column string, corrected_value string, source string, seq long")
-    before, after = P.apply_all_patches(df, rp, empty)
-    assert {tuple(r) for r in before.collect()} == got == {tuple(r) for r in after.collect()}
+    both = P.patched_side_by_side(df, rp, empty).collect()
+    assert {(r[0], *r["_before"]) for r in both} == got == {(r[0], *r["_after"]) for r in both}
+
+
+def test_patches_without_column_source_or_place(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "row_id long, p string, q string")
+    cp = spark.createDataFrame(
+        [(1, None, "x", "f", 1), (1, "p", "y", None, 1), (1, "p", "z", "f", None), (1, "p", "w", "f", 2)],
+        "row_id long, column string, corrected_value string, source string, seq long",
+    )
+    assert [tuple(r) for r in P.apply_cell_patches(df, cp).collect()] == [(1, "w", "b")]
+    log = P.build_change_log(df, cp).collect()
+    assert {(r["source"], r["seq"], r["current_value"], r["corrected_value"]) for r in log} == {
+        (None, 1, "a", "y"), ("f", None, "y", "z"), ("f", 2, "z", "w")
+    }
+
+
+def test_blank_and_repeated_rule_names(spark):
+    log = spark.createDataFrame([(1, "p", "f", 1, "a", "b", True)], "row_id long, column string, source string, seq long, current_value string, corrected_value string, needs_change boolean")
+    bad = spark.createDataFrame([(1, "p", "b")], "row_id long, column string, value string")
+    rules = [ColumnRule("x", "", index=1), ColumnRule("p", "p", index=2, regex="^1"), ColumnRule("r", "p", index=3, regex="^1")]
+    assert P.flag_unresolved(log, bad, rules).first()["status"] == "FLAGGED"
 
 
 def test_flags_follow_the_final_value(spark):

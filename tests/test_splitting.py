@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkscour.operators import outliers as O
 from sparkscour.operators import split as S
-from sparkscour.operators.batches import correct_cells, decide_groups, plan_batches
+from sparkscour.operators.batches import ask_corrector, correct_cells, decide_groups, plan_batches
 from sparkscour.plans.isosplit import iso_split
 from sparkscour.sources.contracts import ColumnRule
 
@@ -38,7 +38,7 @@ def test_batches_match_the_sequential_plan(spark, limit):
     rng = random.Random(2)
     cells = [(i, "hot" if i % 3 else "b", 'x,"' * rng.randint(0, 20)) for i in rng.sample(range(1, 900), 200)]
     df = spark.createDataFrame(cells, "row_id long, column string, value string")
-    got = {r["row_id"]: (r["batch"], r["batches"]) for r in plan_batches(df, limit, 5).collect()}
+    got = {r["row_id"]: (r["batch"], r["batches"]) for r in plan_batches(df, limit, 5, 20).collect()}
     want = {}
     for name in ("hot", "b"):
         rows = sorted((i, v) for i, c, v in cells if c == name)
@@ -46,20 +46,36 @@ def test_batches_match_the_sequential_plan(spark, limit):
     assert got == want
 
 
-def test_corrector_calls_are_bounded_and_failures_give_nothing(spark):
+def test_all_batches_fit_the_limit(spark):
+    rows = [(i, "c", "x" * (3000 if i > 150 else 5)) for i in range(1, 201)]
+    df = spark.createDataFrame(rows, "row_id long, column string, value string")
+    got = sorted((r["batch"], r["row_id"], len(r["value"])) for r in plan_batches(df, 5000, 5).collect())
+    for batch in {b for b, _, _ in got}:
+        chars = sum(len(f"{i},") + n + 1 for b, i, n in got if b == batch)
+        assert math.ceil((31 + len("ID,c") + chars) / 4) + 5 <= 5000
+    assert [b for b, _, _ in got] == [b for b, _, _ in sorted(got, key=lambda r: r[1])]
+    assert {b for b, _, _ in got} == set(range(1, max(got)[0] + 1))
+
+
+def test_failed_calls_are_reported_and_give_no_patches(spark):
     cells = spark.createDataFrame([(i, "c" if i % 2 else "d", f"v{i}") for i in range(1, 200)], "row_id long, column string, value string")
-    rules = [ColumnRule("C", "c", index=1, regex="x"), ColumnRule("D", "d", index=2, regex="y")]
+    rules = [ColumnRule("C", "c", index=1, regex="x"), ColumnRule("D", "d", index=2, regex="y"),
+             ColumnRule("E", "", index=3), ColumnRule("F", "", index=4)]
 
     def corrector(part, context):
         if context["rule"]["name"] == "d":
             raise RuntimeError("down")
-        return part.assign(corrected_value=f"{len(part)}|" + part["value"] + context["rule"]["regex"])
+        head, line = context["schema"].split("\n")
+        assert head.startswith("data_title,") and line.startswith("c,") and context["examples"] == "1,a"
+        return part.assign(corrected_value=part["value"] + context["rule"]["regex"])
 
-    got = correct_cells(cells, rules, corrector, call_rows=20).collect()
+    patches, failed = ask_corrector(cells, rules, corrector, examples={"c": "1,a"})
+    got = patches.collect()
     assert sorted(r["row_id"] for r in got) == list(range(1, 200, 2))
-    assert max(int(r["corrected_value"].split("|")[0]) for r in got) <= 20
-    assert {r["corrected_value"].split("|")[1] for r in got} == {f"v{i}x" for i in range(1, 200, 2)}
+    assert {r["corrected_value"] for r in got} == {f"v{i}x" for i in range(1, 200, 2)}
     assert {r["source"] for r in got} == {"c_batch_1"}
+    assert [tuple(r) for r in failed.collect()] == [("d", 1, 99, "RuntimeError: down")]
+    assert correct_cells(cells.filter("row_id < 0"), rules, corrector).count() == 0
 
 
 def test_failed_decider_has_no_reply(spark):
@@ -113,13 +129,20 @@ def test_forest_scores_match_a_plain_walk(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, table.values()))
 
 
-def test_forest_takes_all_rows_of_a_small_table_and_a_pool_of_a_large_one(spark):
+def test_forest_takes_all_rows_of_a_small_table_and_a_sample_of_a_large_one(spark):
     small = O.iforest_fit(numbers(spark, 40), ["a"], trees=3)
     assert {r["sample"] for r in small.collect()} == {40}
-    pooled = O.iforest_fit(numbers(spark), ["a"], trees=5, sample=32, pool_rows=300)
+    pooled = O.iforest_fit(numbers(spark), ["a"], trees=5, sample=32)
     assert {r["sample"] for r in pooled.collect()} == {32}
 
 
+def test_forest_bears_values_that_are_not_finite(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(50)] + [(50, float("inf")), (51, float("-inf")), (52, 1e308)], "row_id long, a double")
+    nodes = O.iforest_fit(df, ["a"], trees=10, sample=53)
+    scores = {r["row_id"]: r["score"] for r in O.iforest_score(df, nodes, ["a"]).collect()}
+    assert all(0 < s <= 1 for s in scores.values()) and scores[50] > scores[25]
+
+
 def test_mean_path():
     assert [O.mean_path(n) for n in (0, 1, 2)] == [0.0, 0.0, 1.0]
     assert O.mean_path(256) == pytest.approx(10.244770920)

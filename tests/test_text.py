@@ -22,21 +22,14 @@ def py_clean(text):
 
 
 def py_fields(line):
-    fields, current, inside, i = [], "", False, 0
-    while i < len(line):
-        ch = line[i]
-        if ch == '"' and inside and line[i + 1 : i + 2] == '"':
-            current += '"'
-            i += 1
-        elif ch == '"':
-            inside = not inside
-        elif ch == "," and not inside:
-            fields.append(current)
-            current = ""
-        else:
-            current += ch
-        i += 1
-    return [*fields, current]
+    """A comma separates fields if the quotes before it are even in number; then quoting is undone."""
+    commas = [i for i, c in enumerate(line) if c == "," and line[:i].count('"') % 2 == 0]
+    bounds = [-1, *commas, len(line)]
+    raw = [line[a + 1 : b] for a, b in zip(bounds, bounds[1:])]
+    return [
+        "".join(part.replace('""', '"') if k % 2 else part for k, part in enumerate(re.split(r'"((?:[^"]|"")*)(?:"|$)', f)))
+        for f in raw
+    ]
 
 
 def py_norm(text):
