@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sparkscour.llm.common import name, packed, text_of, unpacked
@@ -119,7 +120,6 @@ def learn(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge:
     features = np.concatenate(
         [dense(list(range(low, min(low + 500, len(rows))))) @ marks.T for low in range(0, len(rows), 500)]
     ).astype(np.float64) @ inverse_root
-    features = np.hstack([features, np.zeros((len(rows), 0))])
     targets = np.full((len(rows), len(languages)), -1.0)
     for i, (lang, _) in enumerate(rows):
         targets[i, languages.index(lang)] = 1.0
@@ -219,8 +219,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             )
 
     chosen = docs.select(packed(docs).alias("row"), name(text).cast("string").alias("__text"))
-    kind = chosen.schema["row"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"row {kind}, lang_pred string, score double")
+    found = StructType(
+        [chosen.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    )
+    return chosen.mapInArrow(run, found)
 
 
 def held_out(doc_id: Column) -> Column:
