@@ -5,8 +5,8 @@ a table is a single row here; ``operators.groups`` brings its copies back.
 
 Edit distance: if two keys are within ``d`` edits and the shorter one is cut into more than ``d``
 disjoint chunks, some chunk is untouched and occurs in the longer one, moved by at most ``d``
-places. So ``d + 1`` chunks of the shorter key are joined to the grams of the longer one by plain
-equality. Word overlap: two word sets with overlap ``t`` share one of their
+places. So ``d + 1`` chunks of the shorter key are joined to the grams of the longer one that lie
+within reach of the chunk's place, by plain equality. Word overlap: two word sets with overlap ``t`` share one of their
 ``n - ceil(t n) + 1`` rarest words. A combined similarity above 0.7 needs some word overlap, so it
 uses the words too. Both filters only drop pairs that cannot qualify; the exact formula decides.
 """
@@ -122,8 +122,9 @@ def _gram_size(length: Column, t: float, shorter: int) -> Column:
 
 def _chunk_hashes(key: Column, length: Column, size: Column) -> Column:
     last = F.floor(length / size).cast("int") - 1
+    # A chunk moves by few places, so its own place is part of what must be equal.
     return F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(key, i * size + 1, size))
+        F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(key, i * size + 1, size), i)
     )
 
 
@@ -131,6 +132,7 @@ def _chunks(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
     """The shorter side: its rarest chunks, one more than the edits it can take."""
     key, length = F.col("key"), F.length("key")
     sized = keys.select("id", "key", length.alias("len"), _gram_size(length, t, common.shorter).alias("size"))
+    # Ids and places are joined; texts are fetched for the pairs that meet.
     ranked = F.sort_array(
         F.transform(
             _chunk_hashes(key, F.col("len"), F.col("size")),
@@ -138,17 +140,16 @@ def _chunks(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
         )
     )
     picked = F.slice(ranked, F.lit(1), _most_edits_of_shorter(F.col("len"), t) + 1)
-    return sized.select("id", "key", "len", "size", F.inline(picked)).select(
+    return sized.select("id", "len", "size", F.inline(picked)).select(
         F.col("item").alias("gram"),
         F.col("id").alias("s_id"),
-        F.col("key").alias("s_key"),
         F.col("len").alias("s_len"),
         (F.col("at") * F.col("size")).alias("s_pos"),
     )
 
 
 def _grams(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
-    """The longer side: all grams of each size that a partner's chunks can have."""
+    """The longer side: grams of each size that a partner's chunks can have, at places in reach."""
     key = F.col("key")
     sized = keys.select("id", "key", F.length("key").alias("len"))
     sizes = F.array_distinct(
@@ -161,10 +162,14 @@ def _grams(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
         F.col("size") <= F.col("len")
     )
     places = F.sequence(F.lit(0), F.col("len") - F.col("size"))
-    return spots.select("id", "key", "len", "size", F.explode(places).alias("at")).select(
-        F.xxhash64(F.substring(key, F.col("at") + 1, F.col("size"))).alias("gram"),
+    placed = spots.select("id", "key", "len", "size", F.explode(places).alias("at"))
+    edits, at, size = _most_edits(F.col("len"), t), F.col("at"), F.col("size")
+    first = F.greatest(F.ceil((at - edits) / size).cast("int"), F.lit(0))
+    last = F.floor((at + edits) / size).cast("int")
+    chunk = F.explode(F.when(first <= last, F.sequence(first, last))).alias("chunk")
+    return placed.select("*", chunk).select(
+        F.xxhash64(F.substring(key, at + 1, size), F.col("chunk")).alias("gram"),
         F.col("id").alias("r_id"),
-        F.col("key").alias("r_key"),
         F.col("len").alias("r_len"),
         F.col("at").alias("r_pos"),
     )
@@ -175,12 +180,11 @@ def _lengths_in_reach(short: DataFrame, long: DataFrame, t: float) -> DataFrame:
     length = F.length("key")
     reach = F.lit(1) if t <= 0 else _shortest_partner(length, t)
     left = short.select(
-        length.alias("gram"), F.col("id").alias("s_id"), F.col("key").alias("s_key"),
-        length.alias("s_len"), F.lit(0).alias("s_pos"),
+        length.alias("gram"), F.col("id").alias("s_id"), length.alias("s_len"), F.lit(0).alias("s_pos"),
     )
     right = long.select(
         F.explode(F.sequence(reach, length)).alias("gram"), F.col("id").alias("r_id"),
-        F.col("key").alias("r_key"), length.alias("r_len"), F.lit(0).alias("r_pos"),
+        length.alias("r_len"), F.lit(0).alias("r_pos"),
     )
     return join_hot(
         left, right, "gram", spread_by=F.col("s_id"), hot_rows=HOT_POSTINGS
@@ -206,17 +210,23 @@ def _edit_pairs(
         & (surplus <= edits)
         & ((F.abs(shift) + F.abs(surplus - shift) <= edits) | F.lit(share <= 0.5))
     )
+    # A pair that shares several chunks is verified once.
+    pairs = durable(close.select("s_id", "r_id", "r_len").distinct())
+    both = join_hot(
+        pairs, short.select(F.col("id").alias("s_id"), F.col("key").alias("s_key")), "s_id",
+        spread_by=F.col("r_id"),
+    )
+    both = join_hot(
+        both, long.select(F.col("id").alias("r_id"), F.col("key").alias("r_key")), "r_id",
+        spread_by=F.col("s_id"), measured=pairs,
+    )
     # Past ``edits`` the built-in stops early and gives -1.
     distance = F.call_function("levenshtein", F.col("s_key"), F.col("r_key"), edits)
-    scored = close.withColumn("_edits", distance).filter("_edits >= 0")
+    scored = both.withColumn("_edits", distance).filter("_edits >= 0")
     score = F.lit(1) - F.col("_edits") / F.col("r_len")
     if strategy == "combined":
         score = blend(score, overlap(words("s_key"), words("r_key")))
-    return (
-        scored.select("s_id", "r_id", score.alias("similarity"))
-        .filter(F.col("similarity") >= t)
-        .dropDuplicates(["s_id", "r_id"])
-    )
+    return scored.select("s_id", "r_id", score.alias("similarity")).filter(F.col("similarity") >= t)
 
 
 # Word overlap
