@@ -46,7 +46,7 @@ KINDS: dict[str, str] = {
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 # A text without any of these has no entity; most texts need no other pass.
 HINT = rf"[@\d]|{_TITLE}"
-MOST_ATTEMPTS = 12
+MOST_ATTEMPTS = 64
 
 
 @dataclass(frozen=True)

@@ -165,10 +165,12 @@ def test_surrogates_keep_format_and_coreference(spark):
 
 
 def test_collisions_are_resolved(spark):
-    # Few phone numbers of one form: half of all there are, so first tries collide with each other and with real ones.
-    entities = spark.range(50).select(F.lit("ssn").alias("_kind"), F.format_string("%02d", F.col("id")).alias("_canon"))
+    # A tenth of all numbers of a form is real, so first tries collide with each other and with real ones.
+    entities = spark.range(100).select(F.lit("ssn").alias("_kind"), F.format_string("%03d", F.col("id")).alias("_canon"))
+    first = entities.select(surrogates.replaced(F.col("_kind"), F.col("_canon"), F.lit(0), KEY).alias("x")).collect()
+    assert len({r["x"] for r in first} - {f"{i:03d}" for i in range(100)}) < 100
     found = surrogates.assign(entities, KEY).collect()
-    assert len(found) == 50 and len({r["_other"] for r in found}) == 50
+    assert len(found) == 100 and len({r["_other"] for r in found}) == 100
     assert not {r["_other"] for r in found} & {r["_canon"] for r in found}
 
 
