@@ -14,9 +14,11 @@ from checks.validation import named_customers
 from sparkscour.functions import standardize as S
 from sparkscour.operators.batches import ask_corrector, correct_cells, plan_batches
 from sparkscour.operators.outliers import (
+    NODE_SCHEMA,
     drop_outliers,
     iforest_fit,
     iforest_score,
+    mean_path,
     outlier_report,
 )
 from sparkscour.operators.rows import with_row_id
@@ -25,6 +27,7 @@ from sparkscour.operators.validation import split_valid_invalid
 from sparkscour.plans.isosplit import iso_split
 from sparkscour.plans.run import RunConfig, run
 from sparkscour.sources.contracts import ColumnRule
+from sparkscour.sources.exclusions import parse_exclusions
 from sparkscour.streaming.clean import clean_stream, write_available
 
 LIMIT = 20_000
@@ -176,6 +179,42 @@ def inliers(spark, d):
     return drop_outliers(_scored(spark, d))
 
 
+# A forest of two small trees as given data, which SQL can walk as well.
+GIVEN_NODES = [
+    (0, 0, 1, 100_000.0, 1, 2, 0.0, 64), (0, 1, 0, 25.5, 3, 4, 0.0, 64), (0, 2, -1, 0.0, -1, -1, 1.0, 64),
+    (0, 3, -1, 0.0, -1, -1, 7.5, 64), (0, 4, -1, 0.0, -1, -1, 8.25, 64),
+    (1, 0, 0, 60.0, 1, 2, 0.0, 64), (1, 1, 2, 0.045, 3, 4, 0.0, 64), (1, 2, -1, 0.0, -1, -1, 1.0, 64),
+    (1, 3, -1, 0.0, -1, -1, 6.75, 64), (1, 4, -1, 0.0, -1, -1, 9.5, 64),
+]
+_GIVEN_SQL = f"""WITH l AS (SELECT row_number() OVER (ORDER BY {', '.join(LINES)}) AS row_id, * FROM lineitem),
+    x AS (SELECT row_id, {', '.join(f'{c} * (CASE WHEN row_id % 1000 = 0 THEN 1000 ELSE 1 END) AS {c}' for c in NUMBERS)} FROM l),
+    s AS (SELECT *, round(pow(2.0::DOUBLE, -((
+      CASE WHEN l_extendedprice <= 100000 THEN CASE WHEN l_quantity <= 25.5 THEN 7.5 ELSE 8.25 END ELSE 1 END
+      + CASE WHEN l_quantity <= 60 THEN CASE WHEN l_discount <= 0.045 THEN 6.75 ELSE 9.5 END ELSE 1 END
+      )::DOUBLE / 2 / {float(mean_path(64))!r})), 9) AS score FROM x)"""
+
+
+def _given(spark, d) -> DataFrame:
+    nodes = spark.createDataFrame(GIVEN_NODES, NODE_SCHEMA)
+    scored = iforest_score(_lines(spark, d), nodes, NUMBERS)
+    return scored.withColumn("score", F.round("score", 9))
+
+
+@query("iforest_scores_given", f"{_GIVEN_SQL} SELECT row_id, score FROM s")
+def given_scores(spark, d):
+    return _given(spark, d).select("row_id", "score")
+
+
+@query("outlier_report_given", f"{_GIVEN_SQL} SELECT row_id, round(score, 3) AS score FROM s WHERE score > 0.7")
+def given_outliers(spark, d):
+    return outlier_report(_given(spark, d), NUMBERS).select("row_id", "score")
+
+
+@query("drop_outliers_given", f"{_GIVEN_SQL} SELECT row_id, {', '.join(NUMBERS)} FROM s WHERE score <= 0.7")
+def given_inliers(spark, d):
+    return drop_outliers(_given(spark, d))
+
+
 NUMBER_RULES = [
     *[ColumnRule(c, c, index=i, data_type="float") for i, c in enumerate(NUMBERS, start=1)],
 ]
@@ -186,7 +225,7 @@ def isolated(spark, d):
     return iso_split(_lines(spark, d), NUMBER_RULES).table
 
 
-@query("run_all_stages_stitched", f"{STITCH_SQL} SELECT * FROM patched")
+@query("run_preclean_and_stitch", f"{STITCH_SQL} SELECT * FROM patched")
 def run_stitched(spark, d):
     return _run(spark, d, frozenset({"dedupe", "isosplit", "clean"}))["stitched"]
 
@@ -218,9 +257,10 @@ WHOLE_RULES = [
 def _whole(spark, d) -> dict[str, DataFrame]:
     customers = table(spark, d, "customer").select(*[F.expr(e).alias(n) for n, e in WHOLE.items()])
     forms = {"phone": S.phone_e164, "signup": S.iso_date}
+    lines = spark.createDataFrame([("# not for this run",), (" raw_data ",), ("no such column",)], "value string")
     return run(
         customers,
-        RunConfig(exclusions=["raw_data"], contract=WHOLE_RULES, standard_forms=forms),
+        RunConfig(exclusions=parse_exclusions(lines), contract=WHOLE_RULES, standard_forms=forms),
     )
 
 

@@ -72,7 +72,7 @@ def plan_batches(
         equal = F.least(equal, F.lit(max_batches))
     plan = sizes.select("column", "_n", "_longest", equal.alias("_equal"))
     per_batch = F.ceil(n / F.col("_equal"))
-    dealt = join_hot(summed, plan, "column", spread_by=F.col("row_id")).withColumn(
+    dealt = join_hot(summed, plan, "column", spread_by=F.col("row_id"), measured=ranked).withColumn(
         "_batch", F.ceil(F.col("_rank") / per_batch).cast("long")
     )
     if max_batches is not None:
@@ -87,7 +87,8 @@ def plan_batches(
     step = F.greatest(room - F.col("_longest"), F.lit(1))
     before = F.col("_until") - F.col("_chars") - F.col("_start")
     part = F.when(F.col("_size") > room, F.floor(before / step)).otherwise(F.lit(0))
-    cut = join_hot(dealt, lengths, batch, spread_by=F.col("row_id")).withColumn("_part", part)
+    # A batch is bounded by its tokens, more or less, so no key is hot from here on.
+    cut = dealt.join(lengths, batch).withColumn("_part", part)
     # One row per batch; numbers run through the parts.
     named = cut.groupBy(*batch, "_part").agg(F.count(F.lit(1)).alias("_lines"))
     order = Window.partitionBy("column").orderBy("_batch", "_part")
@@ -97,9 +98,7 @@ def plan_batches(
         F.row_number().over(order).cast("int").alias("batch"),
         F.count(F.lit(1)).over(Window.partitionBy("column")).cast("int").alias("batches"),
     )
-    return join_hot(cut, numbered, [*batch, "_part"], spread_by=F.col("row_id")).select(
-        *cells.columns, "batch", "batches"
-    )
+    return cut.join(numbered, [*batch, "_part"]).select(*cells.columns, "batch", "batches")
 
 
 def _running(ranked: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from sparkscour.operators.batches import ask_corrector
 from sparkscour.operators.profile import propose_contract
 from sparkscour.operators.standardizers import standardize
 from sparkscour.operators.validation import column_outcomes, split_valid_invalid
-from sparkscour.operators.columns import rename_by_contract
+from sparkscour.operators.columns import clean_headers, rename_by_contract
 from sparkscour.plans.dedupe import dedupe, dedupe_report
 from sparkscour.plans.isosplit import iso_split, numeric_columns
 from sparkscour.plans.preclean import preclean, preclean_report
@@ -24,7 +25,8 @@ from sparkscour.sources.contracts import Contract, contract_frame, rules_of
 class RunConfig:
     """What to run, and with which inputs; every hook and table is optional."""
 
-    exclusions: Sequence[str] = ()
+    # Column names, or the table that ``read_exclusions`` gives.
+    exclusions: Sequence[str] | DataFrame = ()
     contract: Contract | None = None
     row_patches: DataFrame | None = None
     cell_patches: DataFrame | None = None
@@ -51,9 +53,14 @@ def run(df: DataFrame, config: RunConfig) -> dict[str, DataFrame]:
     """
     row_id, out = config.row_id, {}
     table = df
+    exclusions = config.exclusions
+    if isinstance(exclusions, DataFrame):
+        # No more names than the table has columns.
+        named = exclusions.filter(F.col("column").isin(clean_headers(df).columns))
+        exclusions = [r["column"] for r in named.distinct().collect()]
     if "preclean" not in config.skip:
-        out["preclean_stats"] = preclean_report(df, config.exclusions, row_id)[0]
-        table = preclean(df, config.exclusions, row_id)
+        out["preclean_stats"] = preclean_report(df, exclusions, row_id)[0]
+        table = preclean(df, exclusions, row_id)
     table = durable(table)
     out["cleaned"] = table
 
