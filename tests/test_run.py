@@ -99,11 +99,17 @@ def test_standard_forms(spark):
 
 
 def test_profile(spark, table):
-    rows = {r["name"]: r for r in propose_contract(table.drop("row_id"), ["Name", "Phone", "Amount"], True).collect()}
+    rows = {r["name"]: r for r in propose_contract(table.drop("row_id"), ["Name", "Phone", "Amount"]).collect()}
     assert rows["amount"]["regex"] == "^[+-]?[0-9]+$"
     assert not rows["name"]["is_excluded"] and rows["name"]["is_unique"]
 
 
+def test_codes_are_not_proposed_as_unique(spark):
+    df = spark.createDataFrame([(i, 10_000_000 + i, f"Customer#{i:09d}", f"{chr(97 + i % 26)}{chr(97 + i // 26)} word") for i in range(300)], "row_id long, account long, code string, word string")
+    rows = {r["name"]: r["is_unique"] for r in propose_contract(df, ["account", "code", "word"]).collect()}
+    assert rows == {"account": False, "code": False, "word": True}
+
+
 def test_stream_equals_batch(spark, table, tmp_path):
     source = str(tmp_path / "in")
     table.repartition(3).write.parquet(source)
@@ -140,3 +146,5 @@ def test_plans(spark, table, tmp_path):
     done = stitch(stored, RULES)
     for df in (done.table, done.change_log, done.report()):
         assert "CartesianProduct" not in plan(df) and "NestedLoop" not in plan(df)
+    assert plan(done.table).count("Exchange") == 0
+    assert plan(done.change_log).count("Exchange") <= 8 and plan(done.report()).count("Exchange") <= 10
