@@ -58,8 +58,8 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     )
     sure = F.col("_sites") > F.lit(min_sites * (1 + error) + 1)
     near = likely.filter(~sure)
-    # Distinct pairs are made before the shuffle, so a line on every page counts few rows.
-    pairs = lines.join(near.select(*LINE), LINE, "left_semi").select(*LINE, "_site").distinct()
+    # Distinct pairs are made before the shuffle, so a line on every page comes as few rows.
+    pairs = lines.select(*LINE, "_site").distinct().join(near.select(*LINE), LINE, "left_semi")
     counted = pairs.groupBy(*LINE).agg(F.count("_site").alias("_exact"))
     exact = near.join(counted.filter(F.col("_exact") >= min_sites), LINE, "left_semi")
     return likely.filter(sure).select(*LINE, "_first").unionByName(exact.select(*LINE, "_first"))
