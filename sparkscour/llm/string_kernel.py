@@ -151,8 +151,14 @@ def fit(
     known = known if usable is None else known & F.coalesce(usable, F.lit(False))
     labelled = docs.filter(known).select(doc.alias("doc_id"), label.alias("lang"))
     order = F.xxhash64(F.lit(11), "doc_id")
+    # Only rows whose hash is small enough for their language's number of rows are ranked, about twice as
+    # many as are wanted and at least all of a small language.
+    rows = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    share = F.lit(2.0 * per_language + 100) / F.col("rows")
+    low = order.cast("double") / F.lit(2.0**64) + 0.5 <= share
+    some = labelled.join(rows, "lang").filter(low)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    ranked = labelled.withColumn("place", place).filter(F.col("place") <= per_language)
+    ranked = some.withColumn("place", place).filter(F.col("place") <= per_language)
     # Bounded by sample_rows.
     picked = ranked.orderBy("place", "lang").limit(sample_rows).select("doc_id").distinct()
     texts = docs.filter(known).select(doc.alias("doc_id"), label.alias("lang"), text_of(docs).alias("text"))
