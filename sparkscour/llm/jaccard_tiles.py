@@ -7,7 +7,9 @@ of two sets from above; pairs that pass are decided by intersecting their sorted
 
 Links between different nodes decide components, so a large tile of mutual copies need not form all its
 pairs: every node of a tile is first compared with the smallest compatible one and with the one before it.
-Then only pairs of a tile whose nodes are not yet in one component are left to be compared, all of them.
+Then pairs of a tile whose nodes are not yet in one component are left: first each node with the few that
+its bitmap allows most, then all that are still open. Their bitmaps are wider, so that few pairs pass that
+don't link.
 """
 
 from __future__ import annotations
@@ -32,10 +34,14 @@ PERCENT = 80
 FREQUENT = 1 << 17
 FREQUENT_PER_CHUNK = 20_000
 OFTEN_IN_CHUNK = 4
-CHUNK_SHINGLES = 1 << 22
+CHUNK_SHINGLES = 1 << 21
 # Nodes of a block of a tile.
 BLOCK = 1024
-CACHED_WORDS = 400_000
+# Bits of a signature per shingle, at least: of all nodes, and of those in tiles that stay open.
+NARROW, WIDE = 2, 8
+# Partners of a node that are compared before all others.
+BEST = 2
+CACHED_WORDS = 200_000
 SEEN_TILES = 1 << 19
 FILTER_BITS = 1 << 20
 
@@ -82,13 +88,13 @@ def node_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def width_of(n: int) -> int:
-    """Bits of the signature of a set: at least twice its size, up to a bound. Sets of one band share it."""
-    return min(max(128, 1 << (2 * n - 1).bit_length()), 1 << 15)
+def width_of(n: int, bits: int = NARROW) -> int:
+    """Bits of the signature of a set: a power of two, up to a bound. Sets of one band share it."""
+    return min(max(128, 1 << (bits * n - 1).bit_length()), 1 << 18)
 
 
-def signature(tokens: np.ndarray) -> bytes:
-    flags = np.zeros(width_of(len(tokens)), bool)
+def signature(tokens: np.ndarray, bits: int = NARROW) -> bytes:
+    flags = np.zeros(width_of(len(tokens), bits), bool)
     flags[(tokens >> np.uint64(20)).astype(np.int64) & (len(flags) - 1)] = True
     return np.packbits(flags, bitorder="little").tobytes()
 
@@ -339,24 +345,54 @@ class Side:
         return out
 
 
-def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one tile's nodes of different components that sizes and bitmaps allow, from two blocks."""
+def _blocks(best: int | None):
+    """Pairs of one tile's nodes of different components that sizes and bitmaps allow, from two blocks.
+
+    With ``best``, of each node only so many, those whose bounds are the highest.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for k in range(batch.num_rows):
+                left = Side(batch.column(0)[k].values)
+                right = Side(batch.column(1)[k].values) if batch.column(1)[k].is_valid else None
+                found = [_partners(left, i, right, best) for i in range(len(left.node))]
+                pairs = np.concatenate(found)
+                if len(pairs):
+                    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _suspects(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of two blocks that have a partner of another component as far as bitmaps tell."""
     for batch in rows:
         for k in range(batch.num_rows):
-            left, right = Side(batch.column(0)[k].values), Side(batch.column(1)[k].values)
-            same = batch.column(2)[k].as_py()
-            for i in range(len(left.node)):
-                n, m = left.n[i], right.n
-                good = (right.label != left.label[i]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-                if same:
-                    good[: i + 1] = False
-                if not good.any():
-                    continue
-                good &= enough(right.overlaps(left.bits[i], int(n)), n, m)
-                b = right.node[good]
-                if len(b):
-                    a = np.full(len(b), left.node[i])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            left = Side(batch.column(0)[k].values)
+            right = Side(batch.column(1)[k].values) if batch.column(1)[k].is_valid else None
+            found = [_partners(left, i, right, None) for i in range(len(left.node))]
+            nodes = np.unique(np.concatenate(found))
+            if len(nodes):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes)], ["node"])
+
+
+def _partners(left: Side, i: int, right: Side | None, best: int | None) -> np.ndarray:
+    """Pairs of node ``i`` of a block with nodes of another block, or with later ones of its own."""
+    other = left if right is None else right
+    n, m = int(left.n[i]), other.n
+    good = (other.label != left.label[i]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+    if right is None and best is None:
+        good[: i + 1] = False
+    if good.any():
+        overlap = other.overlaps(left.bits[i], n)
+        good &= enough(overlap, n, m)
+        if best is not None and good.sum() > best:
+            likeness = np.where(good, overlap / (n + m - overlap), -1.0)
+            good = np.zeros(len(m), bool)
+            good[np.argpartition(-likeness, best)[:best]] = True
+    b = other.node[good]
+    return np.stack([np.full(len(b), left.node[i]), b], axis=1)
 
 
 PAIR = "a long, b long"
@@ -403,13 +439,12 @@ class Join:
         both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
         return durable(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_bounded, PAIR))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that link. Texts are fetched for the nodes in question, one row for each node.
+    def texts_of(self, asked: DataFrame) -> DataFrame:
+        """One text for each of the nodes asked for (``node``).
 
         A bitmap of hashed keys, of a fixed size, keeps most other texts out of the shuffle.
         """
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = durable(asked.join(self.nodes.select("node", "key"), "node"))
+        wanted = durable(asked.select("node").distinct().join(self.nodes.select("node", "key"), "node"))
         place = F.pmod("key", F.lit(FILTER_BITS)) + 1
         maps = (
             wanted.groupBy(F.bitmap_bucket_number(place).alias("part"))
@@ -429,36 +464,69 @@ class Join:
                 yield batch.filter(pa.array(known[keys % FILTER_BITS]))
 
         texts = self.docs.select("key", "text").mapInArrow(likely, "key long, text string")
-        texts = texts.join(wanted, "key").dropDuplicates(["node"]).select("node", "text")
+        return texts.join(wanted, "key").dropDuplicates(["node"]).select("node", "text")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that link."""
+        texts = self.texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
         first = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return durable(both.select("a", "b", "x", "y").mapInArrow(_exact, PAIR))
 
-    def open_pairs(self, tiles: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of different components in tiles that aren't settled, by pairs of blocks."""
+    def open_members(self, tiles: DataFrame, labels: DataFrame) -> DataFrame:
+        """Nodes of tiles that hold several components: ``tile``, ``block``, ``blocks``, ``node``, ``n``, ``label``.
+
+        Of three nodes, comparing each with the first compatible one and the one before has compared all
+        pairs, so only larger tiles are left.
+        """
         each = tiles.select("tile", "block", F.posexplode("nodes").alias("at", "node"), "sizes").select(
             "tile", "block", "node", F.get("sizes", F.col("at")).alias("n")
         )
         known = each.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn(
             "label", F.coalesce("label", "node")
         )
-        unsettled = known.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        unsettled = unsettled.filter(F.col("low") != F.col("high")).select("tile")
-        rows = known.join(unsettled, "tile").join(self.nodes.select("node", "bits"), "node")
-        blocks = durable(
-            rows.groupBy("tile", "block").agg(
-                F.min("n").alias("low"),
-                F.max("n").alias("high"),
-                F.collect_list(F.struct("node", "n", "label", "bits")).alias("rows"),
-            )
+        held = known.groupBy("tile").agg(
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+            F.count(F.lit(1)).alias("size"),
+            (F.max("block") + 1).alias("blocks"),
+        )
+        held = held.filter((F.col("low") != F.col("high")) & (F.col("size") > 3)).select("tile", "blocks")
+        return durable(known.join(held, "tile"))
+
+    def wide(self, members: DataFrame) -> DataFrame:
+        """Wide signatures of the nodes: ``node``, ``bits``."""
+
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = [signature(shingles(text.as_py()), WIDE) for text in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["node", "bits"])
+
+        return durable(self.texts_of(members).mapInArrow(sign, "node long, bits binary"))
+
+    def meetings(self, members: DataFrame, bits: DataFrame) -> DataFrame:
+        """Blocks of open tiles with themselves (``other`` is null) and with later ones, as arrays of nodes."""
+        rows = members.join(bits, "node").groupBy("tile", "block", "blocks").agg(
+            F.min("n").alias("low"),
+            F.max("n").alias("high"),
+            F.collect_list(F.struct("node", "n", "label", "bits")).alias("rows"),
         )
-        left = blocks.select("tile", F.col("block").alias("i"), F.col("high").alias("top"), F.col("rows").alias("left"))
-        right = blocks.select("tile", F.col("block").alias("j"), F.col("low").alias("bottom"), F.col("rows").alias("right"))
-        # Blocks of a tile are in order of size, so only near ones have compatible sizes.
-        meet = (F.col("i") <= F.col("j")) & (F.col("top") * 100 >= F.col("bottom") * PERCENT)
-        two = left.join(right, "tile").filter(meet)
-        found = two.select("left", "right", (F.col("i") == F.col("j")).alias("same")).mapInArrow(_blocks, PAIR)
-        return durable(found.distinct())
+        inside = rows.select("rows", F.lit(None).cast(rows.schema["rows"].dataType).alias("other"))
+        # Few tiles have several blocks; these are in order of size, so only near ones are compatible.
+        many = rows.filter(F.col("blocks") > 1)
+        left = many.select("tile", F.col("block").alias("i"), F.col("high").alias("top"), "rows")
+        right = many.select("tile", F.col("block").alias("j"), F.col("low").alias("bottom"), F.col("rows").alias("other"))
+        meet = (F.col("i") < F.col("j")) & (F.col("top") * 100 >= F.col("bottom") * PERCENT)
+        return inside.unionByName(left.join(right, "tile").filter(meet).select("rows", "other"))
+
+    def suspects(self, members: DataFrame) -> DataFrame:
+        """The members that may link to another component by their narrow signatures; most can't."""
+        found = self.meetings(members, self.nodes.select("node", "bits")).mapInArrow(_suspects, "node long")
+        return durable(members.join(found.distinct(), "node", "left_semi"))
+
+    def open_pairs(self, members: DataFrame, wide: DataFrame, best: int | None) -> DataFrame:
+        """Pairs of different components in tiles that aren't settled, block by block."""
+        return durable(self.meetings(members, wide).mapInArrow(_blocks(best), PAIR).distinct())
 
     def labels(self) -> DataFrame:
         """Components of linked nodes: ``node``, ``component``."""
@@ -466,10 +534,18 @@ class Join:
         near = tiles.select("nodes", "sizes").mapInArrow(_near_pairs, PAIR).distinct()
         links = self.verified(self.bounded(near))
         known = durable(components(links))
-        more = self.open_pairs(tiles, known)
-        if more.isEmpty():
-            return known
-        return durable(components(links.unionByName(self.verified(more))))
+        members = self.suspects(self.open_members(tiles, known))
+        wide = self.wide(members)
+        # All pairs that the last of these leaves out are in one component or can't link.
+        for best in (BEST, None):
+            more = self.open_pairs(members, wide, best)
+            if more.isEmpty():
+                return known
+            links = links.unionByName(self.verified(more))
+            known = durable(components(links))
+            relabelled = members.drop("label").join(known.withColumnRenamed("component", "label"), "node", "left")
+            members = durable(relabelled.withColumn("label", F.coalesce("label", "node")))
+        return known
 
     def result(self) -> DataFrame:
         """Per document: ``doc_id``, ``key``, ``n``, ``component`` (of nodes) and ``component_id``."""

@@ -186,10 +186,12 @@ def test_join_against_all_pairs(spark):
     rows = copies(1) + awkward()
     got = sorted((tuple(r) for r in J.link(frame(spark, rows)).collect()), key=str)
     assert got == sorted(plain_groups(rows), key=str)
-    kept = J.keep_one(frame(spark, rows))
+    # Ids that differ, so that an id names its component.
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)] + [document(300, rows[5][1]), document(None, rows[5][1])]
+    kept = J.keep_one(frame(spark, rows + [document(300, rows[5][1])]))
     assert kept.columns == frame(spark).columns
     left = [r["doc_id"] for r in kept.collect()]
-    want = {c for d, n, c in plain_groups(rows) if n and c is not None}
+    want = {c for d, n, c in plain_groups(rows) if n}
     empty = [d for d, n, _ in plain_groups(rows) if not n]
     assert sorted(map(str, left)) == sorted(map(str, [*want, *empty]))
 
@@ -235,18 +237,21 @@ def test_block_pairs_find_all_that_may_link():
     rows = []
     for node in range(30):
         tokens = np.array(sorted(set(base[: rnd.choice([50, 100, 190])]) | {rnd.getrandbits(64) for _ in range(rnd.randrange(40))}), np.uint64)
-        rows.append({"node": node, "n": len(tokens), "label": node % 11, "bits": J.signature(tokens)})
+        rows.append({"node": node, "n": len(tokens), "label": node % 11, "bits": J.signature(tokens, J.WIDE)})
     kind = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("bits", pa.binary())]))
     for left, right, same in ((rows, rows, True), (rows[:10], rows[10:], False)):
-        batch = pa.RecordBatch.from_arrays([pa.array([left], kind), pa.array([right], kind), pa.array([same])], ["left", "right", "same"])
-        got = {tuple(p) for b in J._blocks(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))}
+        batch = pa.RecordBatch.from_arrays([pa.array([left], kind), pa.array([None if same else right], kind)], ["rows", "other"])
+        got, few = (
+            {tuple(p) for b in J._blocks(best)(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))} for best in (None, 2)
+        )
         bits = lambda r: np.frombuffer(r["bits"], np.uint64)
         want = {
             (min(p["node"], q["node"]), max(p["node"], q["node"]))
             for p in left for q in right
             if p["label"] != q["label"] and (not same or p["node"] < q["node"]) and J.may_link(p["n"], q["n"], bits(p), bits(q))
         }
-        assert got == want
+        assert got == want and few <= want and len(few) <= 2 * len(left)
+        assert {a for p in few for a in p} >= {a for p in want for a in p if a in {r["node"] for r in left}}
 
 
 def test_components_of_chains_stars_and_cycles(spark):
