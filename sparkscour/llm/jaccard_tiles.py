@@ -544,7 +544,10 @@ class Join:
             links = links.unionByName(self.verified(more))
             known = durable(components(links))
             relabelled = members.drop("label").join(known.withColumnRenamed("component", "label"), "node", "left")
-            members = durable(relabelled.withColumn("label", F.coalesce("label", "node")))
+            relabelled = relabelled.withColumn("label", F.coalesce("label", "node"))
+            held = relabelled.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+            # Tiles that are settled by now take no part in the next round.
+            members = durable(relabelled.join(held.filter(F.col("low") != F.col("high")).select("tile"), "tile"))
         return known
 
     def result(self) -> DataFrame:
