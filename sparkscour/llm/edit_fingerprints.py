@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sparkscour.llm.common import name, text_of
+from sparkscour.llm.components import components
+from sparkscour.llm.jaccard_tiles import PAIR, _tiles
 from sparkscour.session import durable
 
 SAMPLES = 96
@@ -34,6 +36,11 @@ SEED = 20240601
 # Characters that are walked at once, and documents below which they are walked one by one.
 WALK_CHARS = 1 << 24
 FEW = 24
+# Likeness of near copies, at least; their edit distance is at most the rest of the longer text.
+LEAST = 0.7
+# Partners of a text that are compared before all others, and bits of the filter of texts.
+BEST = 2
+FILTER_BITS = 1 << 24
 
 
 @lru_cache(maxsize=1)
@@ -202,13 +209,13 @@ def _prints_of(texts: list[str], tails: list[str | None]) -> Iterator[tuple[byte
 DONE, PENDING, HEAD = 0, 1, 2
 SCHEMA = (
     "role int, part int, doc_id long, n_chars long, edited_sha256 string, print binary, "
-    "edited_print binary, near_edited double, near_next double, shared_bands long, text string"
+    "edited_print binary, near_edited double, near_next double, shared_bands long, node long, text string"
 )
 FIELDS = [
     ("role", pa.int32()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()),
     ("edited_sha256", pa.string()), ("print", pa.binary()), ("edited_print", pa.binary()),
     ("near_edited", pa.float64()), ("near_next", pa.float64()), ("shared_bands", pa.int64()),
-    ("text", pa.string()),
+    ("node", pa.int64()), ("text", pa.string()),
 ]
 
 
@@ -219,22 +226,24 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _done(part: int, doc: int | None, text: str, own: bytes, edited: bytes, tail: str, after: bytes) -> tuple:
+def _done(
+    part: int, doc: int | None, node: int, text: str, own: bytes, edited: bytes, tail: str, after: bytes
+) -> tuple:
     n = len(text)
     changed = text[: n - n // 4] + tail
     digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
     shared = len(set(band_keys(own)) & set(band_keys(edited)))
     near = likeness(own, edited), likeness(own, after)
-    return (DONE, part, doc, n, digest, own, edited, *near, shared, None)
+    return (DONE, part, doc, n, digest, own, edited, *near, shared, node, None)
 
 
 def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a sorted partition, each with the one after it; the last one stays pending."""
     context = TaskContext.get()
     part = context.partitionId() if context else 0
-    held: tuple | None = None  # document, text and fingerprint that wait for the next one
+    held: tuple | None = None  # document, text, fingerprint and hash that wait for the next one
     for batch in batches:
-        docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        docs, texts, hashes = (c.to_pylist() for c in batch.columns)
         if not docs:
             continue
         before = [held[1]] if held else []
@@ -242,24 +251,25 @@ def _along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tails = [line[k + 1][: len(line[k]) // 4] for k in range(len(line) - 1)] + [None]
         prints = list(prints_of(line, tails))
         ids = ([held[0]] if held else []) + docs
+        nodes = ([held[3]] if held else []) + hashes
         rows = []
         if held is None:
-            rows.append((HEAD, part, docs[0], None, None, prints[0][0], None, None, None, None, texts[0]))
+            rows.append((HEAD, part, docs[0], None, None, prints[0][0], None, None, None, None, None, texts[0]))
         for k in range(len(line) - 1):
-            rows.append(_done(part, ids[k], line[k], *prints[k], tails[k], prints[k + 1][0]))
-        held = ids[-1], line[-1], prints[-1][0]
+            rows.append(_done(part, ids[k], nodes[k], line[k], *prints[k], tails[k], prints[k + 1][0]))
+        held = ids[-1], line[-1], prints[-1][0], nodes[-1]
         yield _batch(rows)
     if held:
-        yield _batch([(PENDING, part, held[0], None, None, held[2], None, None, None, None, held[1])])
+        yield _batch([(PENDING, part, held[0], None, None, held[2], None, None, None, None, held[3], held[1])])
 
 
 def _at_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for part, doc, text, after, after_text in zip(*(c.to_pylist() for c in batch.columns)):
+        for part, doc, node, text, after, after_text in zip(*(c.to_pylist() for c in batch.columns)):
             tail = after_text[: len(text) // 4]
             own, edited = next(prints_of([text], [tail]))
-            rows.append(_done(part, doc, text, own, edited, tail, after))
+            rows.append(_done(part, doc, node, text, own, edited, tail, after))
         yield _batch(rows)
 
 
@@ -269,7 +279,8 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     The edited text has its last quarter replaced by as many first characters of the next document in
     ascending ``doc_id`` (equal ids by text, null last; after the last comes the first). Returns
     ``doc_id``, ``n_chars``, ``edited_sha256``, ``print`` and ``edited_print`` (binary), ``near_edited``,
-    ``near_next`` and ``shared_bands``, the band keys that a text and its edited text have in common.
+    ``near_next``, ``shared_bands``, the band keys that a text and its edited text have in common, and
+    ``node``, the 64-bit hash of the text.
 
     Texts are shuffled once, into ranges of ids; a sorted range knows each next document but for its
     last one, and these few, one per range, are joined to the first ones of the ranges after them. A
@@ -281,7 +292,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     ).withColumns({"nodoc": F.col("doc_id").isNull(), "tie": F.xxhash64("text")})
     order = ["nodoc", "doc_id", "tie"]
     ranged = chosen.repartitionByRange(*order).sortWithinPartitions(*order)
-    along = durable(ranged.select("doc_id", "text").mapInArrow(_along, SCHEMA))
+    along = durable(ranged.select("doc_id", "text", "tie").mapInArrow(_along, SCHEMA))
     heads = along.filter(F.col("role") == HEAD).select(
         F.col("part").alias("next_part"), F.col("print").alias("after"), F.col("text").alias("after_text")
     )
@@ -296,65 +307,358 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     ends = (
         along.filter(F.col("role") == PENDING)
-        .select("part", "doc_id", "text")
+        .select("part", "doc_id", "node", "text")
         .join(following, "part")
         .join(heads, "next_part")
-        .select("part", "doc_id", "text", "after", "after_text")
+        .select("part", "doc_id", "node", "text", "after", "after_text")
         .mapInArrow(_at_ends, SCHEMA)
     )
     return along.filter(F.col("role") == DONE).unionByName(ends).drop("role", "part", "text")
 
 
-def near_copies(docs: DataFrame, least: float = 0.7, text: str = "text") -> DataFrame:
-    """Verified likely copies: ``doc_id``, ``leader_id`` (smaller), ``likeness`` and ``distance`` in edits.
+class Side:
+    """Texts as arrays: name, length, component, and the samples of both scales."""
 
-    Documents that share a band key are each compared with the smallest id of that key, so a key that
-    many share makes as many pairs as it has documents. Their fingerprints must be alike by ``least``,
-    and the edit distance at most ``1 - least`` of the longer text. Documents without id or text have no
-    pairs; repeated ids are one document.
+    def __init__(self, nodes: pa.Array, sizes: pa.Array, labels: pa.Array, prints: pa.Array):
+        self.node, self.n, self.label = (x.to_numpy(zero_copy_only=False) for x in (nodes, sizes, labels))
+        raw = np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(len(self.node), 1 + SAMPLES)
+        half = raw[:, 1:].reshape(-1, 2, SAMPLES // 2)
+        self.scale = raw[:, 0].astype(np.int64)
+        self.samples = np.stack([half >> 4, half & 15], axis=-1).reshape(-1, 2, SAMPLES)
+
+
+def likenesses(a: Side, i: np.ndarray, b: Side, j: np.ndarray) -> np.ndarray:
+    """``likeness`` of the texts ``i`` of one side with the texts ``j`` of another."""
+    p, q = a.scale[i], b.scale[j]
+    level = np.maximum(p, q)
+    x, y = a.samples[i, np.minimum(level - p, 1)], b.samples[j, np.minimum(level - q, 1)]
+    either = (x > 0) | (y > 0)
+    n = either.sum(axis=1)
+    share = ((x == y) & either).sum(axis=1) / np.maximum(n, 1)
+    near = np.maximum(0.0, (share - CHANCE) / (1 - CHANCE))
+    same = (p == q) & (a.samples[i] == b.samples[j]).all(axis=(1, 2))
+    return np.where(same, 1.0, np.where((np.abs(p - q) <= 1) & (n > 0), near, 0.0))
+
+
+def most_edits(n, least: float):
+    return np.floor(n * (1 - least)).astype(np.int64)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text and band key: the keys of ``band_keys`` as numbers."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        side = Side(batch.column(0), batch.column(1), batch.column(0), batch.column(2))
+        # Samples are dealt to bands in turn.
+        dealt = side.samples.reshape(-1, 2, SAMPLES // BANDS, BANDS)
+        key = np.zeros((len(side.node), 2, BANDS), np.int64)
+        for k in range(SAMPLES // BANDS):
+            key = key << 4 | dealt[:, :, k]
+        place = (side.scale[:, None, None] + np.arange(2)[:, None]) * BANDS + np.arange(BANDS)
+        key |= place << 4 * (SAMPLES // BANDS)
+        full = 3 * np.count_nonzero(dealt, axis=2) >= 2 * (SAMPLES // BANDS)
+        rows = np.nonzero(full)[0]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[full]), pa.array(side.node[rows]), pa.array(side.n[rows])], ["token", "node", "n"]
+        )
+
+
+def _near_pairs(least: float):
+    """Each text of a block with the shortest of a compatible length, and with the one before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.empty((0, 2), np.int64)]
+            for nodes, sizes in zip(batch.column(0), batch.column(1)):
+                ids, n = nodes.values.to_numpy(), sizes.values.to_numpy()
+                at, low = np.arange(len(n)), n - most_edits(n, least)
+                first = np.searchsorted(n, low)
+                far = first < at
+                found.append(np.stack([ids[first[far]], ids[at[far]]], axis=1))
+                next_ = n[:-1] >= low[1:]
+                found.append(np.stack([ids[:-1][next_], ids[1:][next_]], axis=1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _alike(least: float):
+    """The pairs whose fingerprints are alike, with their likeness."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(k) for k in range(6))
+            if batch.num_rows:
+                at = np.arange(batch.num_rows)
+                near = likenesses(Side(a, n, a, x), at, Side(b, m, b, y), at)
+                good = pa.array(near >= least)
+                yield pa.RecordBatch.from_arrays([a, b, pa.array(near)], ["a", "b", "likeness"]).filter(good)
+
+    return run
+
+
+def _blocks(least: float, best: int | None):
+    """Pairs of texts of different components in one or two blocks of a band that are alike.
+
+    With ``best``, of each text only so many, those that are most alike.
     """
-    known = docs.select(name("doc_id").cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
-    known = known.filter(F.col("doc_id").isNotNull() & (F.col("text") != "")).dropDuplicates(["doc_id"])
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def side(rows: pa.Array) -> Side:
+        return Side(*rows.flatten())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            prints = [p for p, _ in prints_of(texts, [None] * len(texts))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.binary()), pa.array([band_keys(p) for p in prints], pa.list_(pa.string()))],
-                ["doc_id", "print", "bands"],
+            for k in range(batch.num_rows):
+                left = side(batch.column(0)[k].values)
+                right = side(batch.column(1)[k].values) if batch.column(1)[k].is_valid else left
+                found = []
+                for i in range(len(left.node)):
+                    n = np.maximum(left.n[i], right.n)
+                    good = (right.label != left.label[i]) & (np.abs(right.n - left.n[i]) <= most_edits(n, least))
+                    j = np.flatnonzero(good)
+                    near = likenesses(left, np.full(len(j), i), right, j)
+                    j, near = j[near >= least], near[near >= least]
+                    if best is not None and len(j) > best:
+                        j = j[np.argpartition(-near, best)[:best]]
+                    found.append(np.stack([np.full(len(j), left.node[i]), right.node[j]], axis=1))
+                pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def shared(a: str, i: int, b: str, j: int) -> int:
+    """How many characters agree from two places on."""
+    k, n, most = 0, 16, min(len(a) - i, len(b) - j)
+    while k < most and a[i + k : i + k + n] == b[j + k : j + k + n]:
+        k, n = k + n, 2 * n
+    while n and k < most:
+        if a[i + k : i + k + n] == b[j + k : j + k + n]:
+            k += n
+        n //= 2
+    return min(k, most)
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """The edit distance; -1 above ``most``.
+
+    A few edits are found by the furthest places that each number of them reaches on each diagonal,
+    more by whole columns of differences as bits of a number.
+    """
+    if abs(len(a) - len(b)) > most:
+        return -1
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    n, m = len(a), len(b)
+    reach = {0: shared(a, 0, b, 0)}
+    if not m or n == m == reach[0]:
+        return n - m
+    for e in range(1, min(most, int(n**0.5)) + 1):
+        now = {}
+        for k in range(max(-e, -n), min(e, m) + 1):
+            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
+            i = min(i, n, m - k)
+            if i < 0 or i + k < 0:
+                continue
+            now[k] = i = i + shared(a, i, b, i + k)
+            if i == n and i + k == m:
+                return e
+        reach = now
+    if most <= int(n**0.5):
+        return -1
+    at: dict[str, int] = {}
+    for i, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << i
+    every, top, score = (1 << m) - 1, m - 1, m
+    up, down = every, 0
+    for left, c in zip(range(n - 1, -1, -1), a):
+        eq = at.get(c, 0)
+        x = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = (down | ~(h | up)) & every, up & h
+        score += (more >> top) - (less >> top & 1)
+        if score - left > most:
+            return -1
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(x | more)) & every, more & x & every
+    return score if score <= most else -1
+
+
+def _within(least: float):
+    """The pairs of texts within the bound of edits, with their distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            far = [edits(x, y, int(most_edits(max(len(x), len(y)), least))) for x, y in texts]
+            made = [*batch.columns[:3], pa.array(far, pa.int32())]
+            good = pa.array([d >= 0 for d in far], pa.bool_())
+            yield pa.RecordBatch.from_arrays(made, ["a", "b", "likeness", "distance"]).filter(good)
+
+    return run
+
+
+LINKS = "a long, b long, likeness double"
+
+
+class Search:
+    """One search for near copies among distinct texts (``node``): their links and components.
+
+    ``printed`` has ``doc_id``, ``node``, ``n_chars`` and ``print`` of each document, ``docs`` their texts.
+    Texts of a band are first compared with the shortest one of a compatible length and the one before.
+    Then, in bands whose texts are not all in one component, each text is compared with those of other
+    components that are most alike, and at last with all that are alike, block by block. So any two texts
+    that share a band key are in one component or were compared.
+    """
+
+    def __init__(self, docs: DataFrame, printed: DataFrame, least: float = LEAST, text: str = "text"):
+        self.least = least
+        self.texts = docs.select(text_of(docs, text).alias("text")).select(F.xxhash64("text").alias("node"), "text")
+        some = printed.filter(F.col("n_chars") > 0)
+        self.nodes = durable(
+            some.groupBy("node").agg(
+                F.min("doc_id").alias("least"), F.first("n_chars").alias("n"), F.first("print").alias("print")
             )
+        )
+        self.links, self.labels = self._found()
+
+    def _alike(self, pairs: DataFrame) -> DataFrame:
+        side = lambda k, n, x: self.nodes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("print").alias(x))
+        both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+        return durable(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_alike(self.least), LINKS))
+
+    def _texts_of(self, pairs: DataFrame) -> DataFrame:
+        """One text of each node in the pairs; a bitmap of hashes keeps most others out of the shuffle."""
+        wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        place = F.pmod("node", F.lit(FILTER_BITS)) + 1
+        maps = (
+            wanted.groupBy(F.bitmap_bucket_number(place).alias("part"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map"))
+            .collect()
+        )
+        flags = np.zeros(FILTER_BITS // 8, np.uint8)
+        for row in maps:
+            size = len(row["map"])
+            flags[(row["part"] - 1) * size : row["part"] * size] = np.frombuffer(row["map"], np.uint8)
+        shared = self.texts.sparkSession.sparkContext.broadcast(flags)
+
+        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                at = batch.column(0).to_numpy() % FILTER_BITS
+                yield batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+        texts = self.texts.mapInArrow(likely, "node long, text string")
+        return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs within the bound of edits, with their ``distance``."""
+        texts = self._texts_of(pairs)
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
+            texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"
+        )
+        columns = ("a", "b", "likeness", "x", "y")
+        return durable(both.select(*columns).mapInArrow(_within(self.least), f"{LINKS}, distance int"))
+
+    def _open(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """The members of bands that hold several components."""
+        known = members.drop("label").join(labels.select("node", F.col("component").alias("label")), "node", "left")
+        known = known.withColumn("label", F.coalesce("label", "node"))
+        held = known.groupBy("tile").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")
+        )
+        # Of three texts, all pairs of compatible lengths were compared at first.
+        held = held.filter((F.col("low") != F.col("high")) & (F.col("size") > 3)).select("tile")
+        return durable(known.join(held, "tile"))
+
+    def _meetings(self, members: DataFrame) -> DataFrame:
+        """Blocks with themselves (``other`` is null) and with later ones of their band."""
+        rows = members.join(self.nodes.select("node", "print"), "node").groupBy("tile", "block").agg(
+            F.min("n").alias("low"),
+            F.max("n").alias("high"),
+            F.collect_list(F.struct("node", "n", "label", "print")).alias("rows"),
+        )
+        inside = rows.select("rows", F.lit(None).cast(rows.schema["rows"].dataType).alias("other"))
+        many = durable(rows.join(members.filter(F.col("block") > 0).select("tile").distinct(), "tile", "left_semi"))
+        left = many.select("tile", F.col("block").alias("i"), F.col("high").alias("top"), "rows")
+        right = many.select("tile", F.col("block").alias("j"), F.col("low").alias("bottom"), F.col("rows").alias("other"))
+        # Blocks are in order of length, so only near ones are compatible.
+        meet = (F.col("i") < F.col("j")) & (F.col("bottom") - F.col("top") <= F.floor(F.col("bottom") * F.lit(1 - self.least)))
+        return inside.unionByName(left.join(right, "tile").filter(meet).select("rows", "other"))
+
+    def _found(self) -> tuple[DataFrame, DataFrame]:
+        postings = self.nodes.select("node", "n", "print").mapInArrow(_postings, "token long, node long, n long")
+        ranged = postings.repartition("token").sortWithinPartitions("token", "n", "node")
+        made = ranged.mapInArrow(_tiles, "tile long, block int, nodes array<long>, sizes array<long>")
+        tiles = durable(made.dropDuplicates(["tile", "block"]))
+        near = tiles.select("nodes", "sizes").mapInArrow(_near_pairs(self.least), PAIR).distinct()
+        tried = self._alike(near)
+        links = self._verified(tried)
+        labels = durable(components(links))
+        members = tiles.select("tile", "block", F.explode(F.arrays_zip("nodes", "sizes")).alias("x"))
+        members = self._open(members.select("tile", "block", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n")), labels)
+        for best in (BEST, None):
+            pairs = self._meetings(members).mapInArrow(_blocks(self.least, best), PAIR).distinct()
+            more = self._alike(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+            if more.isEmpty():
+                # Without a pair that is new among the best, there may be some among the others.
+                continue
+            tried = tried.unionByName(more)
+            links = links.unionByName(self._verified(more))
+            labels = durable(components(links))
+            members = self._open(members, labels)
+        return links, labels
+
+    def classes(self) -> DataFrame:
+        """``node`` and ``class_id``, the smallest id of the documents whose texts links reach."""
+        named = self.nodes.select("node", "least").join(self.labels, "node", "left")
+        named = durable(named.withColumn("component", F.coalesce("component", "node")))
+        least = named.groupBy("component").agg(F.min("least").alias("class_id"))
+        return named.select("node", "component").join(least, "component").select("node", "class_id")
+
+
+def fingerprints_with_classes(docs: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
+    """``fingerprints`` with ``class_id``, the smallest id of the near copies that a document belongs to.
+
+    Equal texts are of one class, whatever their ids; rows that repeat an id with other texts are
+    documents of their own. Documents without id take part; ``class_id`` is null where a class has no id.
+    An empty text is of its own class.
+    """
+    found = fingerprints(docs, text)
+    classes = Search(docs, found, least, text).classes()
+    own = F.when(F.col("n_chars") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
+    return found.join(classes, "node", "left").withColumn("class_id", own).drop("node")
 
-    printed = durable(known.mapInArrow(keys, "doc_id long, print binary, bands array<string>"))
-    posted = printed.select("doc_id", F.explode("bands").alias("band"))
-    leaders = posted.groupBy("band").agg(F.min("doc_id").alias("leader_id"), F.count(F.lit(1)).alias("n"))
-    pairs = (
-        posted.join(leaders.filter(F.col("n") > 1), "band")
-        .filter(F.col("doc_id") != F.col("leader_id"))
-        .select("doc_id", "leader_id")
-        .distinct()
-    )
 
-    @F.pandas_udf("double")
-    def alike(a, b):
-        import pandas as pd
+def near_copies(docs: DataFrame, least: float = LEAST, text: str = "text") -> DataFrame:
+    """Verified near copies: ``doc_id``, ``leader_id`` (smaller), ``likeness`` and ``distance`` in edits.
 
-        return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype="float64")
+    Equal texts link to the smallest id among them. Links between different texts, named by their
+    smallest ids, have fingerprints alike by ``least`` and an edit distance of at most ``1 - least`` of the
+    longer text; they join all texts of a class (see ``Search``), though not each two of them. Documents
+    without id or text are in no pair, but their texts take part.
+    """
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            prints = [p for p, _ in prints_of(texts, [None] * len(texts))]
+            sizes = pa.array([len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), sizes, pa.array(prints, pa.binary())], ["doc_id", "node", "n_chars", "print"]
+            )
 
-    other = printed.select(F.col("doc_id").alias("leader_id"), F.col("print").alias("leader_print"))
-    close = (
-        pairs.join(printed.select("doc_id", "print"), "doc_id")
-        .join(other, "leader_id")
-        .withColumn("likeness", alike("print", "leader_print"))
-        .filter(F.col("likeness") >= least)
-        .select("doc_id", "leader_id", "likeness")
+    known = docs.select(name("doc_id").cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
+    known = known.filter(F.col("text") != "").select("doc_id", F.xxhash64("text").alias("node"), "text")
+    printed = durable(known.mapInArrow(keys, "doc_id long, node long, n_chars long, print binary"))
+    search = Search(docs, printed, least, text)
+    of = lambda k, i: search.nodes.select(F.col("node").alias(k), F.col("least").alias(i))
+    others = search.links.join(of("a", "i"), "a").join(of("b", "j"), "b").select(
+        F.greatest("i", "j").alias("doc_id"), F.least("i", "j").alias("leader_id"), "likeness", "distance", "i", "j"
     )
-    leading = known.select(F.col("doc_id").alias("leader_id"), F.col("text").alias("leader_text"))
-    bound = F.floor(F.greatest(F.char_length("text"), F.char_length("leader_text")) * F.lit(1 - least))
-    return (
-        close.join(known, "doc_id")
-        .join(leading, "leader_id")
-        .withColumn("distance", F.levenshtein("text", "leader_text"))
-        .filter(F.col("distance") <= bound)
-        .select("doc_id", "leader_id", "likeness", "distance")
+    others = others.filter(F.col("i").isNotNull() & F.col("j").isNotNull()).drop("i", "j")
+    equal = printed.join(search.nodes.select("node", F.col("least").alias("leader_id")), "node").select(
+        "doc_id", "leader_id", F.lit(1.0).alias("likeness"), F.lit(0).alias("distance")
     )
+    return equal.unionByName(others).filter(F.col("doc_id") > F.col("leader_id")).distinct()

@@ -86,7 +86,7 @@ def op6_surrogates(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_edit_fingerprints")
 def op7_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    return edit_fingerprints.fingerprints(documents(spark, folder)).select(
+    return edit_fingerprints.fingerprints_with_classes(documents(spark, folder)).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -95,6 +95,7 @@ def op7_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         "near_edited",
         "near_next",
         "shared_bands",
+        "class_id",
     )
 
 

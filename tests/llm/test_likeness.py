@@ -145,6 +145,118 @@ def test_near_copies(spark):
     assert all(a // 10 == b // 10 for a, b in found)
 
 
+def plain_distance(a, b):
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, line[0] = line[0], i
+        for j, y in enumerate(b, 1):
+            last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
+    return line[-1]
+
+
+def plain_classes(rows, least=0.7):
+    """The smallest id of each row's class, by comparing all pairs that share a band key."""
+    prints = [p for p, _ in E.prints_of([r[1] or "" for r in rows], [None] * len(rows))]
+    bands, near = [set(E.band_keys(p)) for p in prints], {}
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            same = a[1] == b[1] if a[1] else False
+            if not same and a[1] and b[1] and bands[i] & bands[j] and E.likeness(prints[i], prints[j]) >= least:
+                key = tuple(sorted((a[1], b[1])))
+                near.setdefault(key, plain_distance(*key) <= int(max(len(a[1]), len(b[1])) * (1 - least)))
+                same = near[key]
+            if same:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    found = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            found[root(i)] = min(found.get(root(i), r[0]), r[0])
+    return [(r[0], found.get(root(i)) if r[1] else r[0]) for i, r in enumerate(rows)]
+
+
+def drifting(seed, n=60):
+    """Copies of copies with ever more edits, ids in random order, some repeated or missing."""
+    rnd = random.Random(seed)
+    rows, ids = [], rnd.sample(range(10 * n), n)
+    texts = [speech(rnd, "aa", 40) for _ in range(3)]
+    for i in range(n):
+        t = list(rnd.choice(texts[-6:]))
+        for _ in range(rnd.choice([0, 3, 8, 14])):
+            at = rnd.randrange(len(t))
+            t[at : at + 1] = rnd.choice([[], ["x"], ["y", "z"]])
+        texts.append("".join(t))
+        rows.append(document(rnd.choice([ids[i], ids[i], ids[i], ids[0], None]), texts[-1]))
+    return rows
+
+
+def test_near_copies_of_all_documents(spark):
+    rows = drifting(11) + awkward()[:3]
+    want = sorted(plain_classes(rows), key=str)
+    assert 3 < len({c for _, c in want}) < 40
+    got = E.fingerprints_with_classes(frame(spark, rows)).select("doc_id", "class_id").collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
+def test_links_reach_what_their_leader_is_too_far_from(spark):
+    rows = [(i, *r[1:]) for i, r in enumerate(drifting(11))]
+    pairs = E.near_copies(frame(spark, rows)).select("leader_id", "doc_id")
+    found = {r["node"]: r["component"] for r in components(pairs, "leader_id", "doc_id").collect()}
+    assert [found.get(i, i) for i in range(len(rows))] == [c for _, c in plain_classes(rows)]
+
+
+def test_edits_within_a_bound():
+    rnd = random.Random(14)
+    for _ in range(400):
+        a = "".join(rnd.choice("ab🙂") for _ in range(rnd.choice([0, 1, 5, 30, 90])))
+        b = list(a) if rnd.random() < 0.7 else [rnd.choice("abc") for _ in range(rnd.randrange(90))]
+        for _ in range(rnd.choice([0, 1, 4, 30])):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + 1] = rnd.choice([[], ["c"], ["a", "b"]])
+        want, most = plain_distance(a, b), rnd.choice([0, 3, 10, 100])
+        assert E.edits(a, "".join(b), most) == (want if want <= most else -1)
+
+
+def test_blocks_compare_all_of_other_components():
+    texts = [r[1] for r in drifting(13)]
+    prints = [p for p, _ in E.prints_of(texts, [None] * len(texts))]
+    rows = [{"node": i, "n": len(t), "label": i % 7, "print": p} for i, (t, p) in enumerate(zip(texts, prints))]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("print", pa.binary())]))
+    for left, right in ((rows, None), (rows[:20], rows[20:])):
+        batch = pa.RecordBatch.from_arrays([pa.array([left], kind), pa.array([right], kind)], ["rows", "other"])
+        got = {tuple(p) for b in E._blocks(0.7, None)(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))}
+        want = {
+            tuple(sorted((p["node"], q["node"])))
+            for p in left for q in right or left
+            if p["label"] != q["label"] and abs(p["n"] - q["n"]) <= int(max(p["n"], q["n"]) * (1 - 0.7))
+            and E.likeness(p["print"], q["print"]) >= 0.7
+        }
+        assert got == want and got
+
+
+def test_arrays_of_likeness_and_band_keys_are_the_plain_ones():
+    rows = [r[1] for r in drifting(12)] + [speech(random.Random(i), "bb", n) for i, n in enumerate([1, 3, 9, 20, 40, 80])]
+    prints = [p for p, _ in E.prints_of(rows, [None] * len(rows))]
+    n, at = pa.array(range(len(rows)), pa.int64()), np.arange(len(rows))
+    side = E.Side(n, n, n, pa.array(prints, pa.binary()))
+    for i in at:
+        assert E.likenesses(side, np.full(len(at), i), side, at).tolist() == [E.likeness(prints[i], p) for p in prints]
+    batch = next(E._postings(iter([pa.RecordBatch.from_arrays([n, n, pa.array(prints, pa.binary())], ["node", "n", "print"])])))
+    keys = [set() for _ in rows]
+    for token, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        keys[node].add(token)
+    for i, a in enumerate(prints):
+        assert len(keys[i]) == len(E.band_keys(a))
+        for j, b in enumerate(prints):
+            assert len(keys[i] & keys[j]) == len(set(E.band_keys(a)) & set(E.band_keys(b)))
+
+
 def plain_groups(rows):
     sets = []
     for r in rows:
