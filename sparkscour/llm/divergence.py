@@ -12,11 +12,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sparkscour.llm.common import SPACES, let, let_all, name, text_of, words_of
 from sparkscour.session import durable
 
-# Frequent function words of each language; a reference is learned for these languages only.
+# Frequent function words of some languages; those of other labels are counted from their texts.
 COMMON_WORDS: dict[str, str] = {
     "en": "the of and to a in is that was for it with as on be at by are this from or an",
     "de": "der die und das ist ein eine zu den mit von im auf für nicht sich des dem als auch",
@@ -32,6 +33,8 @@ CHARACTER_CLASSES = [
     ("sentence marks", "[.,;:!?'\"()-]+"),
     ("digits", "[0-9]+"),
 ]
+# Words that are counted for a language that has no list.
+COUNTED_WORDS = 22
 WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
@@ -45,6 +48,23 @@ def common_words() -> list[str]:
     return sorted({w for line in COMMON_WORDS.values() for w in line.split()})
 
 
+def all_words(docs: DataFrame) -> list[str]:
+    """The listed common words, and the most frequent words of each label that has no list.
+
+    They are counted in the texts that references are learned from; words that are as frequent go by name.
+    """
+    if "lang" not in docs.columns:
+        return common_words()
+    lang = name("lang").cast("string")
+    other = docs.select(lang.alias("lang"), words_of(text_of(docs)).alias("words"))
+    other = other.filter(F.col("lang").isNotNull() & ~F.col("lang").isin(*COMMON_WORDS) & (F.size("words") >= COMPARED_WORDS))
+    usable = other.withColumn("n_words", F.size("words")).withColumn("n_repeat_words", repeated_words(F.col("words")))
+    counted = usable.filter(~failed()).select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))
+    found = counted.withColumn("place", place).filter(F.col("place") <= COUNTED_WORDS).select("word").distinct()
+    return sorted({*common_words(), *(r["word"] for r in found.collect())})
+
+
 def length_without(text: Column, pattern: str) -> Column:
     return F.char_length(F.regexp_replace(text, pattern, ""))
 
@@ -82,9 +102,8 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(let(let(words, windows), twice))
 
 
-def word_histogram(words: Column) -> Column:
-    """How often each common word occurs, in order, and how many other words there are."""
-    listed = common_words()
+def word_histogram(words: Column, listed: Sequence[str]) -> Column:
+    """How often each listed word occurs, in order, and how many other words there are."""
     chosen = F.filter(words, lambda w: w.isin(*listed))
     joined = F.concat(F.lit(" "), F.array_join(chosen, "  "), F.lit(" "))
 
@@ -116,7 +135,7 @@ def character_histogram(text: Column) -> Column:
     return from_(0, text, F.char_length(text).cast("long"), [])
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, listed: Sequence[str] | None = None) -> DataFrame:
     """``doc_id``, ``lang`` (null without such a column) and the counts and histograms of each text."""
     text = text_of(docs)
     label = name("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -128,7 +147,7 @@ def measured(docs: DataFrame) -> DataFrame:
             F.char_length(F.array_join(v["words"], "")).cast("long").alias("word_chars"),
             (F.size(v["lines"]) - F.size(F.array_distinct(v["lines"]))).cast("long").alias("n_dup_lines"),
             repeated_words(v["words"]).cast("long").alias("n_repeat_words"),
-            word_histogram(v["words"]).alias("words"),
+            word_histogram(v["words"], common_words() if listed is None else listed).alias("words"),
         ),
     )
     symbols = F.char_length(text) - length_without(text, r"[#*$%&|<>]+")
@@ -151,15 +170,13 @@ def failed() -> Column:
     )
 
 
-def references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+def references(counted: DataFrame, listed: Sequence[str] | None = None) -> dict[str, tuple[list[float], list[float]]]:
     """Pooled character and word shares of each language, from its texts that pass the base rules.
 
-    Sums before the shuffle, then one row per language of ``COMMON_WORDS`` at most.
+    Sums before the shuffle, then one row per label.
     """
-    usable = counted.filter(
-        F.col("lang").isin(*COMMON_WORDS) & ~failed() & (F.col("n_words") >= COMPARED_WORDS)
-    )
-    n_chars, n_words = len(CHARACTER_CLASSES) + 1, len(common_words()) + 1
+    usable = counted.filter(F.col("lang").isNotNull() & ~failed() & (F.col("n_words") >= COMPARED_WORDS))
+    n_chars, n_words = len(CHARACTER_CLASSES) + 1, len(common_words() if listed is None else listed) + 1
     sums = [F.sum(F.get("characters", F.lit(k))).alias(f"c{k}") for k in range(n_chars)]
     sums += [F.sum(F.get("words", F.lit(k))).alias(f"w{k}") for k in range(n_words)]
     found = {}
@@ -200,8 +217,9 @@ def judge(docs: DataFrame) -> DataFrame:
     A null text has no words, so it fails; repeated rows count once each in the references and get equal
     verdicts; an empty table gives an empty one. The label serves the references only.
     """
-    counted = durable(measured(docs))
-    known = references(counted)
+    listed = all_words(docs)
+    counted = durable(measured(docs, listed))
+    known = references(counted, listed)
     compared = (F.col("n_words") >= COMPARED_WORDS) & F.lit(bool(known))
     nothing = F.lit(None).cast("struct<total:double,language:string,chars:double,words:double>")
     nearest = nothing

@@ -133,6 +133,21 @@ def test_distances_and_verdicts(spark):
     assert sum(histograms[0]["characters"]) == len(rows[0][1])
 
 
+def test_every_labelled_language_has_a_reference(spark):
+    rnd = random.Random(10)
+    some = "и в не на что с по это как но он из у за".split()
+
+    def russian(n):
+        return " ".join(rnd.choice(some) if rnd.random() < 0.4 else "".join(rnd.choice("аеиорстнл") for _ in range(6)) for _ in range(n))
+
+    rows = [document(i, prose(rnd, 120), "en") for i in range(10)] + [document(20 + i, russian(90), "ru" if i < 8 else None) for i in range(10)]
+    rows.append(document(100, " ".join(f"{rnd.randrange(10**6)}#%%" for _ in range(200)), None))
+    got = {r["doc_id"]: r for r in divergence.judge(frame(spark, rows)).collect()}
+    assert all(r["kept"] and r["language"] == ("ru" if d >= 20 else "en") for d, r in got.items() if d != 100)
+    assert not got[100]["kept"]
+    assert set(some) <= set(divergence.all_words(frame(spark, rows)))
+
+
 def test_without_labels_the_base_rules_decide(spark):
     rows = [document(1, prose(random.Random(1), 100), None)]
     assert divergence.judge(frame(spark, rows).drop("lang")).first()["kept"]
