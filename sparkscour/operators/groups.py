@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkscour.functions.text import csv_line, csv_quote
@@ -195,6 +195,12 @@ def group_sizes(groups: DataFrame) -> DataFrame:
     )
 
 
+def part_of(duplicates: Column, max_members: int) -> Column:
+    """The request of its group (of so many duplicates) that a duplicate (``row_id``) is dealt to, from 1."""
+    parts = F.when(duplicates > max_members, F.ceil(duplicates * 2 / max_members)).otherwise(F.lit(1))
+    return F.pmod(F.xxhash64("row_id"), parts.cast("long")) + 1
+
+
 def group_requests(
     groups: DataFrame,
     df: DataFrame,
@@ -216,12 +222,9 @@ def group_requests(
         F.count_if(~leads).alias("_duplicates"),
         F.max(F.when(leads, F.col("_line"))).alias("_leader_line"),
     )
-    parts = F.when(
-        F.col("_duplicates") > max_members, F.ceil(F.col("_duplicates") * 2 / max_members)
-    ).otherwise(F.lit(1))
     dealt = join_hot(
         listed.filter(~leads), sizes, "leader_id", spread_by=F.col("row_id"), measured=groups
-    ).withColumn("part", F.pmod(F.xxhash64("row_id"), parts.cast("long")) + 1)
+    ).withColumn("part", part_of(F.col("_duplicates"), max_members))
     duplicates = F.transform(
         F.sort_array(F.collect_list(F.struct("row_id", "_line"))), lambda m: m["_line"]
     )

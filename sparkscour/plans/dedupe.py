@@ -16,9 +16,10 @@ from sparkscour.operators.groups import (
     group_requests,
     group_sizes,
     leader_groups,
+    part_of,
 )
 from sparkscour.operators.pairs import require_threshold
-from sparkscour.operators.reply_text import parse_decisions
+from sparkscour.operators.reply_text import parse_decisions, parse_removal_list
 from sparkscour.operators.survivors import (
     decide_survivors,
     dedupe_stats,
@@ -57,7 +58,8 @@ def removals_by_decider(
 
     A group above ``max_members`` duplicates is decided in rounds: the rows that its parts keep are
     the members of the next round, until one request covers all that are left, so the row that stays
-    is always one that a decision named. A group of which some part isn't decided keeps all rows.
+    is always one that a decision named. Of a part that is answered by a bare id list, the members that
+    aren't listed go on. A group of which some part isn't decided keeps all rows.
     """
     if max_members < 4:
         raise ValueError("a request needs room for at least 4 members")
@@ -70,26 +72,46 @@ def removals_by_decider(
         return removed
     left = join_hot(groups, large, "leader_id", "left_semi", spread_by=F.col("row_id"))
     left = durable(left.select("leader_id", "row_id"))
+    both, part = ["leader_id", "row_id"], ["leader_id", "part"]
     final = None
     while not left.isEmpty():
         requests = durable(group_requests(left, df, row_id=row_id, max_members=max_members))
+        told = decide_groups(requests, decider)
+        named = parse_decisions(told, keep=("part",)).withColumnRenamed("keep_id", "row_id")
+        named = named.join(left, both, "left_semi")
+        one = durable(named.groupBy(*part).agg(F.min("row_id").alias("row_id")))
+        # A part of which no block decides keeps its members but for those of its bare id list.
+        silent = told.join(one, part, "left_anti")
+        gone = durable(parse_removal_list(silent, keep=part))
+        lists = durable(silent.filter(F.col("text").rlike(r"\[[\d\s,]*\]")).select(*part))
+        duplicates = left.filter("row_id <> leader_id")
+        sizes = duplicates.groupBy("leader_id").agg(F.count(F.lit(1)).alias("_n"))
+        placed = join_hot(duplicates, sizes, "leader_id", spread_by=F.col("row_id"))
+        placed = placed.select(*both, part_of(F.col("_n"), max_members).alias("part"))
+        unlisted = placed.join(lists, part, "left_semi").join(gone, [*part, "row_id"], "left_anti")
+        leaders = lists.select("leader_id", F.col("leader_id").alias("row_id")).distinct()
+        leaders = leaders.join(gone, both, "left_anti")
+        kept = one.select(*both).unionByName(unlisted.select(*both)).unionByName(leaders).distinct()
+        answered = one.select(*part).unionByName(lists).groupBy("leader_id").agg(F.count(F.lit(1)).alias("_told"))
         parts = requests.groupBy("leader_id").agg(F.count(F.lit(1)).alias("_parts"))
-        members = left.select("leader_id", F.col("row_id").alias("keep_id"))
-        named = parse_decisions(decide_groups(requests, decider), keep=("part",))
-        named = named.join(members, ["leader_id", "keep_id"], "left_semi")
-        one = durable(named.groupBy("leader_id", "part").agg(F.min("keep_id").alias("keep_id")))
-        state = one.groupBy("leader_id").agg(
-            F.count(F.lit(1)).alias("_decided"), F.count_distinct("keep_id").alias("_kept")
+        decided = parts.join(answered, "leader_id").filter("_told = _parts")
+        kept = durable(join_hot(kept, decided, "leader_id", "left_semi", spread_by=F.col("row_id")))
+        counts = kept.groupBy("leader_id").agg(
+            F.count(F.lit(1)).alias("_kept"), F.count_if(F.col("row_id") == F.col("leader_id")).alias("_leads")
         )
-        state = durable(state.join(parts, "leader_id").filter("_decided = _parts"))
-        winners = one.join(state, "leader_id").select("leader_id", "keep_id", "_kept").distinct()
-        # One row that every part keeps is the decision.
-        settled = winners.filter("_kept = 1").select("leader_id", "keep_id")
-        final = settled if final is None else final.unionByName(settled)
-        again = winners.filter("_kept > 1").select("leader_id", F.col("keep_id").alias("row_id"))
-        leaders = again.select("leader_id", F.col("leader_id").alias("row_id"))
-        left = durable(again.unionByName(leaders).distinct())
-    return removed.unionByName(decide_survivors(groups, durable(final))).distinct()
+        state = decided.join(sizes, "leader_id").join(counts, "leader_id", "left").na.fill(0, ["_kept", "_leads"])
+        # One request, one row that every part keeps, or a round that leaves all rows is the decision.
+        over = (F.col("_parts") == 1) | (F.col("_kept") <= 1) | (F.col("_kept") - F.col("_leads") >= F.col("_n"))
+        state = durable(state.select("leader_id", over.alias("_over")))
+        settled = state.filter("_over").select("leader_id")
+        ended = join_hot(groups.select(*both), settled, "leader_id", "left_semi", spread_by=F.col("row_id"))
+        ended = ended.join(kept, both, "left_anti").select("row_id")
+        final = ended if final is None else final.unionByName(ended)
+        going = state.filter(~F.col("_over")).select("leader_id")
+        again = join_hot(kept, going, "leader_id", "left_semi", spread_by=F.col("row_id"))
+        heads = going.select("leader_id", F.col("leader_id").alias("row_id"))
+        left = durable(again.unionByName(heads).distinct())
+    return removed.unionByName(final).distinct()
 
 
 def dedupe(

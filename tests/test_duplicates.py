@@ -173,6 +173,26 @@ def test_the_size_of_requests_does_not_change_who_stays(spark, size):
     assert {r["row_id"] for r in removed} == set(range(1, 30)) | {50}
 
 
+@pytest.mark.parametrize("size", [4, 7, 100])
+def test_the_size_of_requests_does_not_change_what_id_lists_remove(spark, size):
+    rows = [(1, i, "leader" if i == 1 else "duplicate") for i in range(1, 31)] + [(50, 50, "leader"), (50, 51, "duplicate")]
+    groups = spark.createDataFrame(rows, "leader_id long, row_id long, role string")
+    df = spark.createDataFrame([(r[1], f"n{r[1]}") for r in rows], "row_id long, name string")
+
+    def ids(text):
+        return [int(line.split(",")[0]) for line in text.split("\n")[2:-1]]
+
+    def all_but_last(text):
+        return str(ids(text)[:-1])
+
+    def all_odd(text):
+        return str([i for i in ids(text) if i % 2])
+
+    for decider, want in ((all_but_last, {*range(1, 30), 50}), (all_odd, {*range(1, 31, 2), 51})):
+        removed = removals_by_decider(groups, df, decider, max_members=size).collect()
+        assert {r["row_id"] for r in removed} == want
+
+
 def test_long_chain_of_edges(spark):
     edges = spark.createDataFrame([(i, i + 1, 0.9) for i in range(1, 30)], "left_id long, right_id long, similarity double")
     claims = {r["id"]: r["leader_id"] for r in G.claims_from_edges(durable(edges)).collect()}
