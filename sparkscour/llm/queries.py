@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm import divergence, edit_fingerprints, hard_negatives, jaccard_tiles, line_spread, pivotal, secret_index, string_kernel, surrogates, trie_bpe, warc
+from sparkscour.llm import divergence, edit_fingerprints, hard_negatives, jaccard_tiles, license_index, line_spread, pivotal, secret_index, string_kernel, surrogates, trie_bpe, warc
 from sparkscour.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,8 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_hard_negatives", hard_negatives.REPORT_SQL)
 def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives.mine(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query("op13_license_index", license_index.scan_sql())
+def op13_license_index(spark: SparkSession, folder: str) -> DataFrame:
+    return license_index.scan(documents(spark, folder))
