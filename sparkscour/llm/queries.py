@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscour.llm import divergence, edit_fingerprints, hard_negatives, jaccard_tiles, license_index, line_spread, pivotal, secret_index, string_kernel, surrogates, trie_bpe, warc
+from sparkscour.llm import divergence, edit_fingerprints, hard_negatives, jaccard_tiles, license_index, line_spread, pivotal, secret_index, string_kernel, surrogates, token_alignment, trie_bpe, warc
 from sparkscour.session import checkpoint_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,11 @@ def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_license_index", license_index.scan_sql())
 def op13_license_index(spark: SparkSession, folder: str) -> DataFrame:
     return license_index.scan(documents(spark, folder))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    a, b = vocabularies.path("byte_bpe_50k.json"), vocabularies.path("piece_bpe_32k.model")
+    return token_alignment.align(documents(spark, folder), a, b)
