@@ -3,17 +3,29 @@
 Keys are distinct texts ``(id, key)``. Equal texts are one key, so a value that fills a third of
 a table is a single row here; ``operators.groups`` brings its copies back.
 
-Edit distance: if two keys are within ``d`` edits and the shorter one is cut into more than ``d``
-disjoint chunks, some chunk is untouched and occurs in the longer one, moved by at most ``d``
-places. So ``d + 1`` chunks of the shorter key are joined to the grams of the longer one that lie
-within reach of the chunk's place, by plain equality. Word overlap: two word sets with overlap ``t`` share one of their
-``n - ceil(t n) + 1`` rarest words. A combined similarity above 0.7 needs some word overlap, so it
-uses the words too. Both filters only drop pairs that cannot qualify; the exact formula decides.
+Edit distance: cut the shorter of two keys within ``d`` edits into ``d + n`` disjoint chunks or more,
+and ``n`` of them at least are untouched and occur in the longer one, moved by at most ``d`` places.
+One untouched chunk (``n = 1``) is joined by plain equality of its text and place. Where chunks are so
+common that this gives many candidates, two untouched chunks (``n = 2``) are joined together: of ``d + 2``
+chunks one can always choose two such that the edits before, between and after them are no more than the
+chosen chunks there, which leaves few places for both. Candidates then follow the square of a chunk's
+frequency, so they grow no faster than the matches until a table outgrows the chunks by far. Chunks that
+a sixty-fourth of all keys share count for nothing there; keys without enough other chunks stay on the
+first path.
+
+Word overlap: let two word sets with overlap ``t`` be ordered from rare to common. They share one of the
+first ``n - ceil(t n) + 1`` words of the larger and ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller set.
+
+A combined similarity has a bound between the two: pairs with a word overlap of ``j`` or more come from
+the word join, all others need the more edit similarity and come from the chunk join; ``j`` is chosen by
+the measured cost of the word join. All filters only drop pairs that cannot qualify; the exact formula
+decides.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,9 +37,23 @@ from sparkscour.session import KEY_BUCKETS, durable, join_hot, key_bucket, salte
 MARGIN = 1e-9
 MAX_GRAM = 8
 CHUNK_CHOICES = (0, 1, 2)
-# Postings of one gram or word that are compared by one task.
 STRATEGIES = ("levenshtein", "jaccard", "combined")
+# Postings of one gram or word that are compared by one task.
 HOT_POSTINGS = 20_000
+# A chunk is common if more than one in so many keys, and at least so many keys, have it.
+COMMON_SHARE = 64
+COMMON_LEAST = 64
+# What a candidate costs, in postings: it is filtered, made distinct and often verified.
+CANDIDATE_COST = 8
+# Word overlaps that may bound the word join of a combined similarity, and the word matches that a
+# key may have there on average before a higher one is taken.
+OVERLAP_CHOICES = (0.2, 0.35, 0.5, 0.61, 0.75, 0.9, 1.0)
+WORD_MATCHES = 32
+
+
+def _level_of(n: float) -> int:
+    """Three levels per doubling of a count."""
+    return min(127, int(3 * math.log2(n + 1)))
 
 
 class Commonness:
@@ -37,12 +63,15 @@ class Commonness:
     decides what is indexed first and what is salted, never what is compared.
     """
 
-    def __init__(self, counts: dict[int, int], shorter: int = 0) -> None:
+    def __init__(self, counts: dict[int, int], shorter: int = 0, needed: int = 1, keys: int = 0) -> None:
         self.shorter = shorter
+        self.needed = needed
+        self.keys = keys
         self.salts = salts_of(counts, HOT_POSTINGS)
+        self.common_level = _level_of(max(COMMON_LEAST, keys / COMMON_SHARE))
         levels = bytearray(KEY_BUCKETS)
         for bucket, n in counts.items():
-            levels[bucket] = min(127, int(3 * math.log2(n + 1)))
+            levels[bucket] = _level_of(n)
         self._levels = bytes(levels)
 
     @classmethod
@@ -52,10 +81,16 @@ class Commonness:
         return cls(dict(zip(counted["bucket"].to_pylist(), counted["count"].to_pylist())))
 
     def level(self, item: Column) -> Column:
-        """Three levels per doubling of the count."""
         byte = F.substring(F.lit(self._levels), key_bucket(item) + 1, F.lit(1))
         return F.ascii(byte.cast("string"))
 
+    def count(self, item: Column) -> Column:
+        """About how many items share the bucket."""
+        return F.pow(F.lit(2.0), self.level(item) / 3)
+
+    def rare(self, item: Column) -> Column:
+        return self.level(item) <= self.common_level
+
     def ranked(self, item: Column) -> Column:
         """The hash with its level in front, so that numbers sort from rare to common."""
         rest = item.bitwiseAND(F.lit((1 << 55) - 1))
@@ -66,6 +101,21 @@ class Commonness:
         return salted_join(many, one, ["gram"], "inner", bucket, self.salts, spread_by)
 
 
+@dataclass
+class JoinPlan:
+    """How pairs are found: what was measured once, good for subsets of the keys too.
+
+    ``overlap`` bounds the word join (None: there is none), ``share`` is the edit similarity that pairs
+    below that overlap need (above 1: there are none), joined by ``single`` chunks or two of ``paired``.
+    """
+
+    words: Commonness | None = None
+    overlap: float | None = None
+    share: float = 2.0
+    single: Commonness | None = None
+    paired: Commonness | None = None
+
+
 def require_threshold(threshold: float | None) -> float:
     t = 0.85 if threshold is None else float(threshold)
     if not 0 < t <= 1:
@@ -107,13 +157,18 @@ def _shortest_partner(length: Column, t: float) -> Column:
     return F.greatest(F.ceil(length * F.lit(t) - MARGIN).cast("int"), F.lit(1))
 
 
-def _gram_size(length: Column, t: float, shorter: int) -> Column:
+def _chunks_needed(length: Column, t: float, common: Commonness) -> Column:
+    return _most_edits_of_shorter(length, t) + common.needed
+
+
+def _gram_size(length: Column, t: float, common: Commonness) -> Column:
     """Chunk length: the longest that leaves enough chunks, or ``shorter`` less, down to 3.
 
-    Shorter chunks are more common in general, but give more chunks to choose rare ones from.
+    Shorter chunks are more common in general, but give more chunks to choose rare ones from. It is 0
+    for a key of fewer characters than chunks.
     """
-    whole = F.floor(length / (_most_edits_of_shorter(length, t) + 1)).cast("int")
-    size = F.greatest(whole - shorter, F.least(whole, F.lit(3))) if shorter else whole
+    whole = F.floor(length / _chunks_needed(length, t, common)).cast("int")
+    size = F.greatest(whole - common.shorter, F.least(whole, F.lit(3))) if common.shorter else whole
     return F.least(size, F.lit(MAX_GRAM))
 
 
@@ -121,17 +176,18 @@ def _gram_size(length: Column, t: float, shorter: int) -> Column:
 
 
 def _chunk_hashes(key: Column, length: Column, size: Column) -> Column:
-    last = F.floor(length / size).cast("int") - 1
     # A chunk moves by few places, so its own place is part of what must be equal.
-    return F.transform(
+    last = F.floor(length / F.greatest(size, F.lit(1))).cast("int") - 1
+    hashes = F.transform(
         F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(key, i * size + 1, size), i)
     )
+    return F.when(size > 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def _chunks(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
-    """The shorter side: its rarest chunks, one more than the edits it can take."""
+def _picked(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
+    """``id``, ``len``, ``size`` and the rarest chunks of each key, as many as are needed."""
     key, length = F.col("key"), F.length("key")
-    sized = keys.select("id", "key", length.alias("len"), _gram_size(length, t, common.shorter).alias("size"))
+    sized = keys.select("id", "key", length.alias("len"), _gram_size(length, t, common).alias("size"))
     # Ids and places are joined; texts are fetched for the pairs that meet.
     ranked = F.sort_array(
         F.transform(
@@ -139,8 +195,13 @@ def _chunks(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
             lambda h, i: F.struct(common.ranked(h).alias("rank"), h.alias("item"), i.alias("at")),
         )
     )
-    picked = F.slice(ranked, F.lit(1), _most_edits_of_shorter(F.col("len"), t) + 1)
-    return sized.select("id", "len", "size", F.inline(picked)).select(
+    picked = F.slice(ranked, F.lit(1), _chunks_needed(F.col("len"), t, common))
+    return sized.select("id", "key", "len", "size", picked.alias("picked"))
+
+
+def _chunks(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
+    """The shorter side: its rarest chunks, one more than the edits it can take."""
+    return _picked(keys, t, common).select("id", "len", "size", F.inline("picked")).select(
         F.col("item").alias("gram"),
         F.col("id").alias("s_id"),
         F.col("len").alias("s_len"),
@@ -148,19 +209,25 @@ def _chunks(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
     )
 
 
-def _grams(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
-    """The longer side: grams of each size that a partner's chunks can have, at places in reach."""
-    key = F.col("key")
+def _sized(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
+    """Each key with the chunk sizes that shorter partners can have, and the partners' lengths."""
     sized = keys.select("id", "key", F.length("key").alias("len"))
-    sizes = F.array_distinct(
-        F.transform(
-            F.sequence(_shortest_partner(F.col("len"), t), F.col("len")),
-            lambda n: _gram_size(n, t, common.shorter),
-        )
-    )
-    spots = sized.select("id", "key", "len", F.explode(sizes).alias("size")).filter(
-        F.col("size") <= F.col("len")
+    lengths = F.transform(
+        F.sequence(_shortest_partner(F.col("len"), t), F.col("len")),
+        lambda n: F.struct(_gram_size(n, t, common).alias("size"), n.alias("n")),
     )
+    listed = sized.select("id", "key", "len", lengths.alias("lengths"))
+    sizes = F.array_remove(F.array_distinct(F.col("lengths")["size"]), 0)
+    each = listed.select("id", "key", "len", "lengths", F.explode(sizes).alias("size"))
+    here = F.filter("lengths", lambda p: p["size"] == F.col("size"))["n"]
+    return each.select(
+        "id", "key", "len", "size", F.array_min(here).alias("shortest"), F.array_max(here).alias("longest")
+    ).filter(F.col("size") <= F.col("len"))
+
+
+def _grams(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
+    """The longer side: grams of each size that a partner's chunks can have, at places in reach."""
+    spots = _sized(keys, t, common)
     places = F.sequence(F.lit(0), F.col("len") - F.col("size"))
     placed = spots.select("id", "key", "len", "size", F.explode(places).alias("at"))
     edits, at, size = _most_edits(F.col("len"), t), F.col("at"), F.col("size")
@@ -168,13 +235,70 @@ def _grams(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
     last = F.floor((at + edits) / size).cast("int")
     chunk = F.explode(F.when(first <= last, F.sequence(first, last))).alias("chunk")
     return placed.select("*", chunk).select(
-        F.xxhash64(F.substring(key, at + 1, size), F.col("chunk")).alias("gram"),
+        F.xxhash64(F.substring(F.col("key"), at + 1, size), F.col("chunk")).alias("gram"),
         F.col("id").alias("r_id"),
         F.col("len").alias("r_len"),
-        F.col("at").alias("r_pos"),
+        at.alias("r_pos"),
+    )
+
+
+def _pairable(t: float, common: Commonness) -> Column:
+    """Whether a row of ``_picked`` has enough chunks that aren't common; they are in rank order."""
+    needed = _chunks_needed(F.col("len"), t, common)
+    last = F.get("picked", needed - 1)["item"]
+    return F.coalesce((F.size("picked") >= needed) & common.rare(last), F.lit(False))
+
+
+def _chunk_pairs(picked: DataFrame) -> DataFrame:
+    """The shorter side: every two of its picked chunks, as one gram."""
+    placed = picked.select("id", "len", F.sort_array(F.transform("picked", lambda c: F.struct(c["at"], c["item"]))).alias("p"))
+    first = placed.select("id", "len", "p", F.posexplode("p").alias("k", "one"))
+    second = first.select("id", "len", "one", F.explode(F.slice("p", F.col("k") + 2, F.size("p"))).alias("two"))
+    return second.select(
+        F.xxhash64("one.item", "two.item").alias("gram"), F.col("id").alias("s_id"), F.col("len").alias("s_len")
     )
 
 
+def _gram_pairs(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
+    """The longer side: two grams at places that two untouched chunks of a partner can have moved to.
+
+    Edits before the first of them are at most the chunks there, likewise between and after them, and
+    all three together at most ``d``. The lengths of partners say how far the end may have moved.
+    """
+    spots = _sized(keys, t, common)
+    edits = _most_edits(F.col("len"), t)
+    spots = spots.select(
+        "id", "key", "len", "size", edits.alias("d"),
+        (F.floor(F.col("longest") / F.col("size")).cast("int") - 1).alias("last"),
+        (F.col("len") - F.col("longest")).alias("r_low"), (F.col("len") - F.col("shortest")).alias("r_high"),
+    )
+
+    def gram(chunk: Column, shift: Column) -> Column:
+        return F.xxhash64(F.substring(F.col("key"), chunk * F.col("size") + shift + 1, F.col("size")), chunk)
+
+    def inside(chunk: Column, shift: Column) -> Column:
+        at = chunk * F.col("size") + shift
+        return (at >= 0) & (at + F.col("size") <= F.col("len"))
+
+    i1, s1, i2, s2, d = (F.col(c) for c in ("i1", "s1", "i2", "s2", "d"))
+    one = spots.filter("last >= 1").select("*", F.explode(F.sequence(F.lit(0), F.col("last") - 1)).alias("i1"))
+    reach = F.least(i1, d)
+    one = one.select("*", F.explode(F.sequence(-reach, reach)).alias("s1")).filter(inside(i1, s1))
+    one = one.withColumn("h1", gram(i1, s1)).filter(common.rare(F.col("h1")))
+    two = one.select("*", F.explode(F.sequence(i1 + 1, F.col("last"))).alias("i2"))
+    reach = F.least(i2 - i1 - 1, d - F.abs(s1))
+    two = two.select("*", F.explode(F.sequence(s1 - reach, s1 + reach)).alias("s2"))
+    rest = F.greatest(F.col("r_low") - s2, s2 - F.col("r_high"), F.lit(0))
+    two = two.filter(
+        inside(i2, s2) & (rest <= F.col("last") - i2) & (F.abs(s1) + F.abs(s2 - s1) + rest <= d)
+    )
+    two = two.withColumn("h2", gram(i2, s2)).filter(common.rare(F.col("h2")))
+    return two.select(
+        F.xxhash64("h1", "h2").alias("gram"), F.col("id").alias("r_id"), F.col("len").alias("r_len"),
+        s1.cast("short").alias("s1"), s2.cast("short").alias("s2"),
+    )
+
+
 def _lengths_in_reach(short: DataFrame, long: DataFrame, t: float) -> DataFrame:
     """Every pair whose lengths allow a match, as an equality join on the shorter length."""
     length = F.length("key")
@@ -191,57 +315,57 @@ def _lengths_in_reach(short: DataFrame, long: DataFrame, t: float) -> DataFrame:
     )
 
 
-def _edit_pairs(
-    short: DataFrame, long: DataFrame, strategy: str, t: float, common: Commonness,
-    same_length: Column,
+def _chunk_candidates(
+    short: DataFrame, long: DataFrame, plan: JoinPlan, same_length: Column
 ) -> DataFrame:
-    """Verified pairs of a key of ``short`` and an at least as long key of ``long``."""
-    share = edit_share(strategy, t)
-    if share > 0.5:
-        met = common.join(_chunks(short, share, common), _grams(long, share, common), F.col("s_id"))
-    else:
-        met = _lengths_in_reach(short, long, share)
+    """Distinct ``(s_id, r_id)``: a key of ``short`` and an at least as long key of ``long``."""
+    share = plan.share
     edits = _most_edits(F.col("r_len"), share) if share > 0 else F.col("r_len")
-    shift = F.col("r_pos") - F.col("s_pos")
     surplus = F.col("r_len") - F.col("s_len")
-    close = met.filter(
-        (F.col("s_id") != F.col("r_id"))
-        & ((surplus > 0) | ((surplus == 0) & same_length))
-        & (surplus <= edits)
-        & ((F.abs(shift) + F.abs(surplus - shift) <= edits) | F.lit(share <= 0.5))
-    )
+    sides = (F.col("s_id") != F.col("r_id")) & ((surplus > 0) | ((surplus == 0) & same_length)) & (surplus <= edits)
+    if share <= 0.5:
+        return _lengths_in_reach(short, long, share).filter(sides).select("s_id", "r_id").distinct()
+    found = []
+    if plan.paired is not None:
+        picked = _picked(short, share, plan.paired)
+        able = _pairable(share, plan.paired)
+        met = join_hot(
+            _chunk_pairs(picked.filter(able)), _gram_pairs(long, share, plan.paired), "gram",
+            spread_by=F.col("s_id"), hot_rows=HOT_POSTINGS,
+        )
+        moved = F.abs("s1") + F.abs(F.col("s2") - F.col("s1")) + F.abs(surplus - F.col("s2"))
+        found.append(met.filter(sides & (moved <= edits)).select("s_id", "r_id"))
+        short = durable(picked.filter(~able).select("id", "key"))
+    if plan.paired is None or not short.isEmpty():
+        met = plan.single.join(_chunks(short, share, plan.single), _grams(long, share, plan.single), F.col("s_id"))
+        shift = F.col("r_pos") - F.col("s_pos")
+        close = met.filter(sides & (F.abs(shift) + F.abs(surplus - shift) <= edits))
+        found.append(close.select("s_id", "r_id"))
     # A pair that shares several chunks is verified once.
-    pairs = durable(close.select("s_id", "r_id", "r_len").distinct())
-    both = join_hot(
-        pairs, short.select(F.col("id").alias("s_id"), F.col("key").alias("s_key")), "s_id",
-        spread_by=F.col("r_id"),
-    )
-    both = join_hot(
-        both, long.select(F.col("id").alias("r_id"), F.col("key").alias("r_key")), "r_id",
-        spread_by=F.col("s_id"), measured=pairs,
-    )
-    # Past ``edits`` the built-in stops early and gives -1.
-    distance = F.call_function("levenshtein", F.col("s_key"), F.col("r_key"), edits)
-    scored = both.withColumn("_edits", distance).filter("_edits >= 0")
-    score = F.lit(1) - F.col("_edits") / F.col("r_len")
-    if strategy == "combined":
-        score = blend(score, overlap(words("s_key"), words("r_key")))
-    return scored.select("s_id", "r_id", score.alias("similarity")).filter(F.col("similarity") >= t)
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 # Word overlap
 
 
+def _first_words(n: Column, t: float, smaller: bool) -> Column:
+    """How many of the rarest words of a set must hold one that it shares with a larger or smaller one."""
+    share = 2 * t / (1 + t) if smaller else t
+    return n - F.ceil(n * F.lit(share) - MARGIN).cast("int") + 1
+
+
+def _ranked_words(common: Commonness) -> Column:
+    return F.sort_array(F.transform(words("key"), lambda w: common.ranked(F.xxhash64(w))))
+
+
 def _postings(keys: DataFrame, t: float, common: Commonness, side: str) -> DataFrame:
-    listed = keys.select("id", F.length("key").alias("len"), words("key").alias("words"))
-    n = F.size("words")
-    length = n - F.ceil(n * F.lit(t) - MARGIN).cast("int") + 1
-    ranked = F.transform(F.col("words"), lambda w: common.ranked(F.xxhash64(w)))
-    rare = F.slice(F.sort_array(ranked), F.lit(1), length)
-    return (
-        listed.select("id", "len", n.alias("n"), rare.alias("rare"))
-        .select("*", F.explode("rare").alias("gram"))
-        .select("gram", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "len", "n", "rare")])
+    """The first words of each set, with their places; side ``s`` is the smaller set."""
+    listed = keys.select("id", F.length("key").alias("len"), _ranked_words(common).alias("ranked"))
+    n = F.size("ranked")
+    first = F.slice("ranked", F.lit(1), _first_words(n, t, side == "s"))
+    # ``n`` and the place are enough to bound the words that a pair can share.
+    return listed.select("id", "len", n.alias("n"), F.posexplode(first).alias("at", "gram")).select(
+        "gram", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "len", "n", "at")]
     )
 
 
@@ -250,122 +374,152 @@ def _shared_needed(sizes: Column, t: float) -> Column:
     return F.ceil(sizes * F.lit(t / (1 + t)) - MARGIN)
 
 
-def _most_shared(a: str, b: str) -> Column:
-    def rest(side: str) -> Column:
-        return F.col(f"{side}_n") - F.array_position(f"{side}_rare", F.col("gram"))
-
-    return F.least(rest(a), rest(b)) + 1
-
-
-def _word_pairs(
-    a: DataFrame, b: DataFrame, strategy: str, t: float, common: Commonness, ordered: bool
+def _word_candidates(
+    small: DataFrame, large: DataFrame, plan: JoinPlan, same_size: Column, least_length: float
 ) -> DataFrame:
-    """Verified pairs found by shared rare words, for ``jaccard`` and ``combined``."""
-    overlap_needed = word_share(strategy, t)
+    """Distinct ``(s_id, r_id)``: a key of ``small`` and one of ``large`` with as many words or more."""
+    t, common = plan.overlap, plan.words
     met = common.join(
-        _postings(a, overlap_needed, common, "s"),
-        _postings(b, overlap_needed, common, "r"),
-        F.col("s_id"),
+        _postings(small, t, common, "s"), _postings(large, t, common, "r"), F.col("s_id")
     )
-    fewer, more = F.least("s_n", "r_n"), F.greatest("s_n", "r_n")
-    close = fewer >= F.ceil(more * F.lit(overlap_needed) - MARGIN)
-    if strategy == "combined":
-        longest = F.greatest("s_len", "r_len")
-        close &= F.least("s_len", "r_len") >= F.ceil(longest * F.lit(edit_share(strategy, t)) - MARGIN)
-    met = met.filter(
-        (F.col("s_id") < F.col("r_id") if ordered else F.col("s_id") != F.col("r_id"))
-        & close
-        # Words before the first shared one are not shared, so the rest must be long enough.
-        & (_most_shared("s", "r") >= _shared_needed(F.col("s_n") + F.col("r_n"), overlap_needed))
-        # A pair that shares several rare words is taken at the first of them only.
-        & (F.get(F.array_intersect("s_rare", "r_rare"), F.lit(0)) == F.col("gram"))
-    ).select("s_id", "r_id")
-    met = durable(met)
+    s_n, r_n = F.col("s_n"), F.col("r_n")
+    rest = F.least(s_n - F.col("s_at"), r_n - F.col("r_at"))
+    longest, shortest = F.greatest("s_len", "r_len"), F.least("s_len", "r_len")
+    return met.filter(
+        (F.col("s_id") != F.col("r_id"))
+        & ((s_n < r_n) | ((s_n == r_n) & same_size))
+        & (s_n >= F.ceil(r_n * F.lit(t) - MARGIN))
+        & (shortest >= F.ceil(longest * F.lit(least_length) - MARGIN))
+        # At the first word that a pair shares, none before it is shared, so the rest must be enough.
+        & (rest >= _shared_needed(s_n + r_n, t))
+    ).select("s_id", "r_id").distinct()
+
+
+def _verified(pairs: DataFrame, a: DataFrame, b: DataFrame, strategy: str, t: float) -> DataFrame:
+    """Candidates ``(s_id, r_id)`` of ``a`` and ``b`` whose exact similarity is at least ``t``."""
 
     def side(keys: DataFrame, name: str) -> DataFrame:
         # The words are cut out once per key, not once per pair.
-        carried = ["words", "key"] if strategy == "combined" else ["words"]
+        carried = {"levenshtein": ["key"], "jaccard": ["words"], "combined": ["words", "key"]}[strategy]
         listed = keys.withColumn("words", words("key"))
         return listed.select(*[F.col(c).alias(f"{name}_{c}") for c in ("id", *carried)])
 
-    both = join_hot(met, side(a, "s"), "s_id", spread_by=F.col("r_id"))
-    both = join_hot(both, side(b, "r"), "r_id", spread_by=F.col("s_id"), measured=met)
-    # A count that is enough comes first: it looks at the words once.
-    enough = F.size(F.array_intersect("s_words", "r_words")) >= _shared_needed(
-        F.size("s_words") + F.size("r_words"), overlap_needed
-    )
-    scored = both.filter(enough).withColumn(
-        "_overlap", overlap(F.col("s_words"), F.col("r_words"))
-    )
-    score = F.col("_overlap")
+    pairs = durable(pairs)
+    both = join_hot(pairs, side(a, "s"), "s_id", spread_by=F.col("r_id"))
+    both = join_hot(both, side(b, "r"), "r_id", spread_by=F.col("s_id"), measured=pairs)
+    if strategy == "jaccard":
+        # A count that is enough comes first: it looks at the words once.
+        enough = F.size(F.array_intersect("s_words", "r_words")) >= _shared_needed(
+            F.size("s_words") + F.size("r_words"), t
+        )
+        score = overlap(F.col("s_words"), F.col("r_words"))
+        return both.filter(enough).select("s_id", "r_id", score.alias("similarity")).filter(F.col("similarity") >= t)
+    longest = F.greatest(F.length("s_key"), F.length("r_key"))
     if strategy == "combined":
+        both = both.withColumn("_overlap", overlap(F.col("s_words"), F.col("r_words")))
         # The overlap says how many edits are left.
-        longest = F.greatest(F.length("s_key"), F.length("r_key"))
         needed = (F.lit(t) - F.lit(0.3) * F.col("_overlap")) / F.lit(0.7)
-        edits = F.floor(longest * (F.lit(1) - needed) + MARGIN).cast("int")
-        distance = F.call_function("levenshtein", F.col("s_key"), F.col("r_key"), F.col("_left"))
-        scored = (
-            scored.withColumn("_left", edits)
-            .filter("_left >= 0")
-            .withColumn("_edits", distance)
-            .filter("_edits >= 0")
-        )
-        score = blend(F.lit(1) - F.col("_edits") / longest, F.col("_overlap"))
+        left = F.floor(longest * (F.lit(1) - needed) + MARGIN).cast("int")
+    else:
+        left = _most_edits(longest, t)
+    # Past the edits that are left the built-in stops early and gives -1.
+    distance = F.call_function("levenshtein", F.col("s_key"), F.col("r_key"), F.col("_left"))
+    scored = both.withColumn("_left", left).filter("_left >= 0").withColumn("_edits", distance).filter("_edits >= 0")
+    score = F.lit(1) - F.col("_edits") / longest
+    if strategy == "combined":
+        score = blend(score, F.col("_overlap"))
     return scored.select("s_id", "r_id", score.alias("similarity")).filter(F.col("similarity") >= t)
 
 
-def common_items(keys: DataFrame, strategy: str, threshold: float) -> Commonness:
-    """Commonness of the chunks or words of ``keys``; also good for subsets of them."""
-    share = edit_share(strategy, threshold)
-    if _by_words(strategy, threshold):
+# What is measured before a join
+
+
+def common_items(keys: DataFrame, strategy: str, threshold: float) -> JoinPlan:
+    """The plan for pairs of ``keys``; also good for subsets of them."""
+    t = threshold
+    if strategy == "levenshtein":
+        plan = JoinPlan(share=t)
+    else:
         hashes = F.transform(words("key"), lambda w: F.xxhash64(w))
-        return Commonness.of(keys.select(F.explode(hashes).alias("item")))
-    if share <= 0.5:
-        return Commonness({})
-    return _cheapest_chunks(keys, share)
+        common = Commonness.of(keys.select(F.explode(hashes).alias("item")))
+        if strategy == "jaccard":
+            return JoinPlan(common, t)
+        bound = _cheapest_overlap(keys, common, t)
+        # The margin keeps a share that only rounding lifts above the overlap on the other path.
+        plan = JoinPlan(common, bound, (t - 0.3 * bound) / 0.7 - MARGIN if bound > word_share(strategy, t) else 2.0)
+    if 0.5 < plan.share <= 1:
+        plan.single, plan.paired = _cheapest_chunks(keys, plan.share)
+    return plan
+
+
+def _cheapest_overlap(keys: DataFrame, common: Commonness, t: float) -> float:
+    """The least overlap at which the first words of the keys meet few others.
+
+    A lower one leaves pairs to the chunk join that need more edit similarity, which is cheaper there.
+    """
+    least = word_share("combined", t)
+    choices = sorted({max(least, 0.05), *(c for c in OVERLAP_CHOICES if c > least)})
+    levels = keys.select(_ranked_words(common).alias("ranked"))
+    n = F.size("ranked")
+
+    def met(j: float) -> Column:
+        first = F.slice("ranked", F.lit(1), _first_words(n, j, True))
+        return F.aggregate(first, F.lit(0.0), lambda acc, w: acc + F.pow(F.lit(2.0), F.shiftright(w, 55) / 3))
 
+    costs = levels.agg(F.count(F.lit(1)).alias("n"), *[F.sum(met(j)).alias(f"c{k}") for k, j in enumerate(choices)]).first()
+    cheap = [j for k, j in enumerate(choices) if (costs[f"c{k}"] or 0) <= WORD_MATCHES * costs["n"]]
+    return cheap[0] if cheap else choices[-1]
 
-def _cheapest_chunks(keys: DataFrame, share: float) -> Commonness:
-    """Commonness for the chunk length whose picked chunks meet the fewest others."""
+
+def _cheapest_chunks(keys: DataFrame, share: float) -> tuple[Commonness, Commonness | None]:
+    """The chunk lengths whose picked chunks meet the fewest others, alone and, if cheaper, by two."""
     length = F.length("key")
+    options = [(needed, shorter) for needed in (1, 2) for shorter in CHUNK_CHOICES]
+    bare = [Commonness({}, shorter, needed) for needed, shorter in options]
     tagged = [
         keys.select(
-            F.lit(shorter).alias("shorter"),
-            F.explode(
-                _chunk_hashes(F.col("key"), length, _gram_size(length, share, shorter))
-            ).alias("item"),
+            F.lit(k).alias("choice"),
+            F.explode(_chunk_hashes(F.col("key"), length, _gram_size(length, share, option))).alias("item"),
         )
-        for shorter in CHUNK_CHOICES
+        for k, option in enumerate(bare)
     ]
     counted = (
         reduce(DataFrame.unionByName, tagged)
-        .groupBy("shorter", key_bucket(F.col("item")).alias("bucket"))
+        .groupBy("choice", key_bucket(F.col("item")).alias("bucket"))
         .count()
         .toArrow()
     )
-    counts: dict[int, dict[int, int]] = {k: {} for k in CHUNK_CHOICES}
-    for k, bucket, n in zip(*(counted[c].to_pylist() for c in ("shorter", "bucket", "count"))):
+    n_keys = keys.count()
+    counts: dict[int, dict[int, int]] = {k: {} for k in range(len(options))}
+    for k, bucket, n in zip(*(counted[c].to_pylist() for c in ("choice", "bucket", "count"))):
         counts[k][bucket] = n
-    choices = [Commonness(counts[k], k) for k in CHUNK_CHOICES]
-    met = [
-        _chunks(keys, share, choice).select(
-            F.lit(i).alias("choice"), choice.level(F.col("gram")).alias("level")
-        )
-        for i, choice in enumerate(choices)
-    ]
-    costs = (
-        reduce(DataFrame.unionByName, met)
-        .groupBy("choice")
-        .agg(F.sum(F.pow(F.lit(2.0), F.col("level") / 3)).alias("cost"))
-        .collect()
-    )
-    best = min(costs, key=lambda r: (r["cost"], r["choice"]), default=None)
-    return choices[best["choice"]] if best else choices[0]
-
-
-def _by_words(strategy: str, t: float) -> bool:
-    # The margin keeps a share that only rounding lifts above 0 on the other path.
-    return word_share(strategy, t) > 1e-6
+    choices = [Commonness(counts[k], shorter, needed, n_keys) for k, (needed, shorter) in enumerate(options)]
+
+    def costs_of(k: int, choice: Commonness) -> DataFrame:
+        picked = _picked(keys, share, choice)
+        edits = _most_edits_of_shorter(F.col("len"), share) + 1
+        alone = F.aggregate("picked", F.lit(0.0), lambda acc, c: acc + choice.count(c["item"]))
+        if choice.needed == 1:
+            return picked.select(F.lit(k).alias("choice"), (alone * edits * CANDIDATE_COST).alias("cost"), F.lit(0).alias("left"))
+        # Two chunks meet by chance as often as their frequencies say; the longer side lists about 1.4 d^3 pairs.
+        both = alone * alone / 2 / max(n_keys, 1) * edits * edits * CANDIDATE_COST + F.pow(edits, F.lit(3)) * 1.4
+        able = _pairable(share, choice)
+        return picked.select(F.lit(k).alias("choice"), F.when(able, both).otherwise(F.lit(0.0)).alias("cost"), (~able).cast("int").alias("left"))
+
+    measured = reduce(DataFrame.unionByName, [costs_of(k, c) for k, c in enumerate(choices)])
+    found = {r["choice"]: r for r in measured.groupBy("choice").agg(F.sum("cost").alias("cost"), F.sum("left").alias("left")).collect()}
+    if not found:
+        return choices[0], None
+    singles = len(CHUNK_CHOICES)
+    single = min(range(singles), key=lambda k: (found[k]["cost"], k))
+    # Keys that are left to single chunks are taken to cost as much there as all do on average.
+    alone = found[single]["cost"]
+
+    def with_rest(k: int) -> float:
+        return found[k]["cost"] + alone * found[k]["left"] / max(n_keys, 1)
+
+    paired = min(range(singles, len(options)), key=lambda k: (with_rest(k), k))
+    return choices[single], choices[paired] if with_rest(paired) < alone else None
 
 
 def _check(strategy: str, t: float, allow_all_pairs: bool) -> None:
@@ -380,27 +534,36 @@ def known_strategy(strategy: str) -> str:
     return strategy if strategy in ("jaccard", "combined") else "levenshtein"
 
 
+def _candidates(a: DataFrame, b: DataFrame, plan: JoinPlan, same: Column, strategy: str, t: float) -> DataFrame:
+    """Distinct candidates in which the key of ``a`` is the smaller or shorter one; ``same`` settles ties."""
+    found = []
+    if plan.words is not None:
+        least = 0.0 if strategy == "jaccard" else max(edit_share(strategy, t), 0.0)
+        found.append(_word_candidates(a, b, plan, same, least))
+    if plan.share <= 1:
+        found.append(_chunk_candidates(a, b, plan, same))
+    return reduce(DataFrame.unionByName, found)
+
+
 def similarity_pairs(
     keys: DataFrame,
     strategy: str = "levenshtein",
     threshold: float | None = None,
     allow_all_pairs: bool = False,
-    common: Commonness | None = None,
+    common: JoinPlan | None = None,
 ) -> DataFrame:
     """All pairs ``(left_id, right_id, similarity)``, left below right, at or above the threshold."""
     t = require_threshold(threshold)
     strategy = known_strategy(strategy)
     _check(strategy, t, allow_all_pairs)
-    if common is None:
-        common = common_items(keys, strategy, t)
-    if _by_words(strategy, t):
-        found = _word_pairs(keys, keys, strategy, t, common, ordered=True)
-    else:
-        found = _edit_pairs(keys, keys, strategy, t, common, F.col("s_id") < F.col("r_id"))
-    return found.select(
-        F.least("s_id", "r_id").alias("left_id"),
-        F.greatest("s_id", "r_id").alias("right_id"),
-        "similarity",
+    plan = common_items(keys, strategy, t) if common is None else common
+    found = _candidates(keys, keys, plan, F.col("s_id") < F.col("r_id"), strategy, t)
+    # The word join and the chunk join may give a pair in either direction.
+    pairs = found.select(F.least("s_id", "r_id").alias("s_id"), F.greatest("s_id", "r_id").alias("r_id"))
+    if plan.words is not None and plan.share <= 1:
+        pairs = pairs.distinct()
+    return _verified(pairs, keys, keys, strategy, t).select(
+        F.col("s_id").alias("left_id"), F.col("r_id").alias("right_id"), "similarity"
     )
 
 
@@ -409,22 +572,17 @@ def similarity_pairs_between(
     b: DataFrame,
     strategy: str,
     threshold: float,
-    common: Commonness,
+    common: JoinPlan,
     allow_all_pairs: bool = False,
 ) -> DataFrame:
     """All pairs ``(a_id, b_id, similarity)`` of a key of ``a`` and a key of ``b``."""
     strategy = known_strategy(strategy)
     _check(strategy, threshold, allow_all_pairs)
-    if _by_words(strategy, threshold):
-        found = [_word_pairs(a, b, strategy, threshold, common, ordered=False)]
-    else:
-        found = [
-            _edit_pairs(a, b, strategy, threshold, common, F.lit(True)),
-            _edit_pairs(b, a, strategy, threshold, common, F.lit(False)).select(
-                F.col("r_id").alias("s_id"), F.col("s_id").alias("r_id"), "similarity"
-            ),
-        ]
-    return reduce(DataFrame.unionByName, found).select(
+    there = _candidates(a, b, common, F.lit(True), strategy, threshold)
+    back = _candidates(b, a, common, F.lit(False), strategy, threshold)
+    back = back.select(F.col("r_id").alias("s_id"), F.col("s_id").alias("r_id"))
+    pairs = there.unionByName(back).distinct()
+    return _verified(pairs, a, b, strategy, threshold).select(
         F.col("s_id").alias("a_id"), F.col("r_id").alias("b_id"), "similarity"
     )
 

@@ -85,15 +85,23 @@ def invalid_decisions(groups: DataFrame, decisions: DataFrame) -> DataFrame:
 def removals_from_replies(
     groups: DataFrame, replies: DataFrame, text: str = "text"
 ) -> DataFrame:
-    """Ids to remove by group blocks; of a reply whose blocks decide nothing, by its bare id list."""
-    told = replies.select(F.xxhash64(text).alias("_reply"), F.col(text).alias("text"))
+    """Ids to remove by group blocks; of a reply whose blocks decide nothing, by its bare id list.
+
+    Where ``replies`` say which group each is about (``leader_id``), a list counts for its members only.
+    """
+    asked = ["leader_id"] if "leader_id" in replies.columns else []
+    reply = F.xxhash64(text, *asked).alias("_reply")
+    told = replies.select(reply, F.col(text).alias("text"), *asked)
     blocks = durable(parse_decisions(told, "text", keep=("_reply",)))
     by_block = decide_survivors(groups, blocks)
     # A reply of which no block removes anything may name rows in a bare list.
     members = groups.select("leader_id", F.col("row_id").alias("keep_id"))
     working = blocks.join(members, ["leader_id", "keep_id"], "left_semi").select("_reply")
     silent = told.join(working.distinct(), "_reply", "left_anti")
-    return by_block.unionByName(parse_removal_list(silent, "text", keep=())).distinct()
+    listed = parse_removal_list(silent, "text", keep=tuple(asked))
+    if asked:
+        listed = listed.join(groups.select("leader_id", "row_id"), ["leader_id", "row_id"], "left_semi")
+    return by_block.unionByName(listed.select("row_id")).distinct()
 
 
 def remove_rows(df: DataFrame, ids: DataFrame, row_id: str = "row_id") -> DataFrame:

@@ -193,6 +193,16 @@ def test_the_size_of_requests_does_not_change_what_id_lists_remove(spark, size):
         assert {r["row_id"] for r in removed} == want
 
 
+@pytest.mark.parametrize("size", [4, 7, 100])
+def test_id_lists_remove_members_of_the_asked_group_only(spark, size):
+    rows = [(1, i, "leader" if i == 1 else "duplicate") for i in range(1, 8)] + [(50, 50, "leader"), (50, 51, "duplicate")]
+    groups = spark.createDataFrame(rows, "leader_id long, row_id long, role string")
+    df = spark.createDataFrame([(i, f"n{i}") for i in [*range(1, 8), 50, 51, 77]], "row_id long, name string")
+    for reply, want in (("[77]", set()), ("[77, 51, 3]", {3, 51}), ("[50]", {50})):
+        removed = removals_by_decider(groups, df, lambda text: reply, max_members=size).collect()
+        assert {r["row_id"] for r in removed} == want
+
+
 def test_long_chain_of_edges(spark):
     edges = spark.createDataFrame([(i, i + 1, 0.9) for i in range(1, 30)], "left_id long, right_id long, similarity double")
     claims = {r["id"]: r["leader_id"] for r in G.claims_from_edges(durable(edges)).collect()}
