@@ -125,3 +125,68 @@ def invalid_sql(source: str, mode: str = "validator") -> str:
         f"WHERE {bad(chr(34) + r.name + chr(34), r.regex, mode)}"
         for r in CHECKED
     )
+
+
+def forest(source: str, columns: list[str], seed: int = 42, trees: int = 100, sample: int = 256) -> str:
+    """CTEs that draw, grow and walk an isolation forest over ``source``; the last is ``scored``.
+
+    ``source`` has ``row_id`` and the numeric columns; ``scored`` adds ``score`` to them.
+    """
+    cols, k = ", ".join(columns), len(columns)
+    bits, mask = 2**48, 2**48 - 1
+
+    def hexes(text: str, first: int) -> str:
+        return f"CAST('0x' || substr({text}, {first}, 12) AS BIGINT)"
+
+    def pick(place: str, names: list[str]) -> str:
+        return f"CASE {place} " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(names)) + " END"
+
+    depth = 8
+    while 2**depth < sample:
+        depth += 1
+    parts = [
+        f"f_size AS (SELECT least({sample}, count(*)) AS n, {bits} * least(1, {3 * sample} / greatest(count(*), 1)) AS cut FROM {source})",
+        f"f_draw AS (SELECT *, {hexes('h', 1)} AS a, {hexes('h', 13)} AS b FROM (SELECT *, md5(concat('{seed}:', row_id)) AS h FROM {source}))",
+        f"""f_s0 AS (SELECT tree, row_id, {cols}, CAST(1 AS BIGINT) AS node FROM (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY draw, row_id) AS r FROM (
+              SELECT f_draw.*, tree, (a + tree * b) & {mask} AS draw FROM f_draw, range(0, {trees}) t(tree))
+            WHERE draw <= (SELECT cut FROM f_size)) WHERE r <= {sample})""",
+    ]
+    lows, highs = [f"lo{i}" for i in range(k)], [f"hi{i}" for i in range(k)]
+    bounds = ", ".join(f"min({c}) AS lo{i}, max({c}) AS hi{i}" for i, c in enumerate(columns))
+    varying = " || ".join(f"CASE WHEN hi{i} > lo{i} THEN [{i}] ELSE [] END" for i in range(k))
+    for d in range(depth + 1):
+        parts.append(
+            f"""f_n{d} AS (SELECT tree, node, c, f, CASE WHEN cut >= hi THEN lo ELSE cut END AS split FROM (
+              SELECT *, lo + u2 * (hi - lo) AS cut FROM (
+              SELECT *, {pick('f', lows)} AS lo, {pick('f', highs)} AS hi FROM (
+                SELECT *, CASE WHEN c > 1 AND len(v) > 0 AND {d} < (SELECT ceil(log2(greatest(n, 2))) FROM f_size)
+                    THEN v[1 + CAST(floor(u1 * len(v)) AS INT)] END AS f FROM (
+                  SELECT *, {varying} AS v, {hexes('h', 1)} / {bits}::DOUBLE AS u1, {hexes('h', 13)} / {bits}::DOUBLE AS u2 FROM (
+                    SELECT tree, node, count(*) AS c, {bounds}, md5(concat('{seed}:', tree, ':', node)) AS h
+                    FROM f_s{d} GROUP BY tree, node))))))"""
+        )
+        if d < depth:
+            parts.append(
+                f"""f_s{d + 1} AS (SELECT s.tree, row_id, {cols}, node * 2 + CAST({pick('f', columns)} > split AS INT) AS node
+                FROM f_s{d} s JOIN f_n{d} USING (tree, node) WHERE f IS NOT NULL)"""
+            )
+    leaf = "CASE WHEN c <= 1 THEN 0 WHEN c = 2 THEN 1 ELSE 2 * (ln(c - 1) + 0.5772156649015329) - 2 * (c - 1) / c::DOUBLE END"
+    every = " UNION ALL ".join(f"SELECT tree, node, f, split, {d} + {leaf} AS path FROM f_n{d}" for d in range(depth + 1))
+    parts.append(f"f_nodes AS ({every})")
+    parts.append(f"f_w0 AS (SELECT row_id, {cols}, tree, CAST(1 AS BIGINT) AS node FROM {source}, range(0, {trees}) t(tree))")
+    for d in range(depth):
+        parts.append(
+            f"""f_w{d + 1} AS (SELECT row_id, {cols}, w.tree, node * 2 + CAST({pick('f', columns)} > split AS INT) AS node
+            FROM f_w{d} w JOIN f_nodes USING (tree, node) WHERE f IS NOT NULL)"""
+        )
+    ends = " UNION ALL ".join(
+        f"SELECT row_id, path FROM f_w{d} w JOIN f_nodes USING (tree, node) WHERE f IS NULL" for d in range(depth + 1)
+    )
+    norm = leaf.replace("c ", "n ").replace("(c - 1)", "(n - 1)").replace("/ c::", "/ n::")
+    parts.append(
+        f"""scored AS (SELECT s.*, score FROM {source} s JOIN (
+          SELECT row_id, pow(2.0::DOUBLE, -(sum(path) / {trees} / (SELECT greatest({norm}, 1e-12) FROM f_size))) AS score
+          FROM ({ends}) GROUP BY row_id) USING (row_id))"""
+    )
+    return ", ".join(parts)

@@ -10,7 +10,7 @@ from checks.duplicates import GROUPS_SQL
 from checks.inputs import MESSY, NEAR, RULES, cell_patches, messy_customers, row_patches
 from checks.patches import STITCH_SQL
 from checks.rules import DATE, PHONE
-from checks.validation import named_customers
+from checks.validation import named_customers, number_sql
 from sparkscour.functions import standardize as S
 from sparkscour.operators.batches import ask_corrector, correct_cells, plan_batches
 from sparkscour.operators.outliers import (
@@ -146,7 +146,6 @@ def split_by_hash(spark, d):
     return split_rows(_orders(spark, d), exact=False, row_id="o_orderkey")
 
 
-# The forest draws at random, so these have no SQL; tests compare them with plain numpy.
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINES = [*NUMBERS, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate",
          "l_returnflag", "l_linestatus"]
@@ -164,17 +163,32 @@ def _scored(spark, d) -> DataFrame:
     return iforest_score(lines, iforest_fit(lines, NUMBERS), NUMBERS)
 
 
-@query("iforest_scores")
+_FOREST_SQL = f"""WITH l AS (SELECT row_number() OVER (ORDER BY {', '.join(LINES)}) AS row_id, * FROM lineitem),
+    x AS (SELECT row_id, {', '.join(f'{c} * (CASE WHEN row_id % 1000 = 0 THEN 1000 ELSE 1 END) AS {c}' for c in NUMBERS)} FROM l),
+    {duck.forest('x', NUMBERS)}"""
+
+
+def _splits_sql(kept: str, columns: str) -> str:
+    """The exact split of the rows of ``kept``."""
+    return f"""SELECT {columns}, CASE WHEN r <= floor(n * 0.70::DOUBLE) THEN 'train'
+      WHEN r <= floor(n * 0.70::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'validate' ELSE 'test' END AS split
+    FROM (SELECT *, row_number() OVER (ORDER BY md5(concat('42:', row_id)), row_id) AS r, count(*) OVER () AS n FROM {kept})"""
+
+
+@query("iforest_scores", f"{_FOREST_SQL} SELECT row_id, round(score, 9) AS score FROM scored")
 def iforest_scores(spark, d):
-    return _scored(spark, d).select("row_id", "score")
+    # Sums of a hundred path lengths differ in the last bits by their order.
+    return _scored(spark, d).select("row_id", F.round("score", 9).alias("score"))
 
 
-@query("outlier_report")
+@query("outlier_report", f"{_FOREST_SQL} SELECT row_id, round(score, 3) AS score, {', '.join(NUMBERS)} FROM scored WHERE score > 0.7")
 def outliers(spark, d):
-    return outlier_report(_scored(spark, d), NUMBERS)
+    report = outlier_report(_scored(spark, d), NUMBERS)
+    schema = ", ".join(f"{c} double" for c in NUMBERS)
+    return report.select("row_id", "score", F.inline(F.array(F.from_json("numeric_values", schema))))
 
 
-@query("drop_outliers")
+@query("drop_outliers", f"{_FOREST_SQL} SELECT row_id, {', '.join(NUMBERS)} FROM scored WHERE score <= 0.7")
 def inliers(spark, d):
     return drop_outliers(_scored(spark, d))
 
@@ -220,7 +234,7 @@ NUMBER_RULES = [
 ]
 
 
-@query("iso_split")
+@query("iso_split", f"{_FOREST_SQL}, kept AS (SELECT * FROM scored WHERE score <= 0.7) {_splits_sql('kept', ', '.join(['row_id', *NUMBERS]))}")
 def isolated(spark, d):
     return iso_split(_lines(spark, d), NUMBER_RULES).table
 
@@ -264,10 +278,6 @@ def _whole(spark, d) -> dict[str, DataFrame]:
     )
 
 
-@query("run_all_stages_splits")
-def run_splits(spark, d):
-    return _whole(spark, d)["splits"]
-
 
 _WHOLE_SQL = "SELECT " + ", ".join(f'{e} AS "{n}"' for n, e in WHOLE.items()) + " FROM customer"
 _GONE = GROUPS_SQL + ", gone AS (SELECT row_id FROM groups WHERE role = 'duplicate')"
@@ -293,6 +303,25 @@ def run_table(spark, d):
     return _whole(spark, d)["stitched"]
 
 
+_STITCHED = '"key name", note, phone, signup, balance'
+
+
+@query(
+    "run_all_stages_splits",
+    f"""{_GONE}, raw AS ({_WHOLE_SQL}), whole AS (SELECT row_id, {duck.clean('name')} AS name,
+    {duck.clean('note')} AS note, {duck.clean('"Phone"')} AS "Phone",
+    {duck.clean('"Signup"')} AS "Signup", {duck.clean('"Balance"')} AS "Balance" FROM raw),
+    standard AS ({_STANDARD}),
+    x AS (SELECT row_id, {number_sql('"Balance"')} AS number FROM standard), {duck.forest('x', ['number'])},
+    kept AS (SELECT row_id, name AS "key name", note, phone2 AS phone, signup2 AS signup, "Balance" AS balance
+      FROM standard JOIN scored USING (row_id) WHERE score <= 0.7)
+    {_splits_sql('kept', f'row_id, {_STITCHED}')}""",
+)
+def run_splits(spark, d):
+    return _whole(spark, d)["splits"]
+
+
+
 @query("stream_clean", f"""WITH d AS (SELECT doc_id AS row_id, {duck.clean('text')} AS body,
     {duck.clean('source')} AS origin FROM documents)
     SELECT row_id, 'body' AS "column", body AS value FROM d

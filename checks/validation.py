@@ -127,14 +127,14 @@ def improvements(spark, d):
 _NUMBER = r"'^\s*([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?)', 1"
 
 
-def _number_sql(x: str) -> str:
+def number_sql(x: str) -> str:
     return f"coalesce(TRY_CAST(nullif(regexp_extract({x}, {_NUMBER}), '') AS DOUBLE), 0.0)"
 
 
 @query(
     "numeric_coerce",
-    f"WITH {duck.CLEANED} SELECT row_id, {_number_sql('balance')} AS balance, "
-    f"{_number_sql('phone')} AS phone, signup FROM named",
+    f"WITH {duck.CLEANED} SELECT row_id, {number_sql('balance')} AS balance, "
+    f"{number_sql('phone')} AS phone, signup FROM named",
 )
 def numeric(spark, d):
     cleaned = named_customers(spark, d).select("row_id", "balance", "phone", "signup")
@@ -143,8 +143,8 @@ def numeric(spark, d):
 
 @query(
     "numeric_coerce_events",
-    f"SELECT event_id, {_number_sql('props')} AS props_number, "
-    f"{_number_sql('substring(props, 7)')} AS k_number FROM events",
+    f"SELECT event_id, {number_sql('props')} AS props_number, "
+    f"{number_sql('substring(props, 7)')} AS k_number FROM events",
 )
 def numeric_events(spark, d):
     return table(spark, d, "events").select(

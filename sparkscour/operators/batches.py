@@ -18,8 +18,9 @@ from sparkscour.sources.contracts import Contract, rules_of
 # Defaults of the batch plan.
 TOKEN_LIMIT = 500_000
 PROMPT_TOKENS = 2000
-# Lines whose running lengths are summed by one task.
+# Lines whose running lengths are summed by one task, and stretches or blocks that are summed above them.
 STRETCH = 10_000
+FAN = 1000
 
 CALL_SCHEMA = (
     "row_id bigint, column string, corrected_value string, source string, seq bigint, "
@@ -89,28 +90,49 @@ def plan_batches(
     part = F.when(F.col("_size") > room, F.floor(before / step)).otherwise(F.lit(0))
     # A batch is bounded by its tokens, more or less, so no key is hot from here on.
     cut = dealt.join(lengths, batch).withColumn("_part", part)
-    # One row per batch; numbers run through the parts.
-    named = cut.groupBy(*batch, "_part").agg(F.count(F.lit(1)).alias("_lines"))
-    order = Window.partitionBy("column").orderBy("_batch", "_part")
-    numbered = named.select(
-        *batch,
-        "_part",
-        F.row_number().over(order).cast("int").alias("batch"),
-        F.count(F.lit(1)).over(Window.partitionBy("column")).cast("int").alias("batches"),
+    # One row per batch and part; numbers run through the parts, first inside a batch.
+    named = durable(cut.groupBy(*batch, "_part").agg(F.count(F.lit(1)).alias("_lines")))
+    parts = named.groupBy(*batch).agg(F.count(F.lit(1)).alias("_sum"))
+    starts = sums_before(parts.select("column", F.col("_batch").alias("_stretch"), "_sum"))
+    totals = parts.groupBy("column").agg(F.sum("_sum").cast("int").alias("batches"))
+    inside = F.row_number().over(Window.partitionBy(*batch).orderBy("_part"))
+    numbered = (
+        named.withColumn("_inside", inside)
+        .join(starts.withColumnRenamed("_stretch", "_batch"), batch)
+        .join(totals, "column")
+        .select(*batch, "_part", (F.col("_before") + F.col("_inside")).cast("int").alias("batch"), "batches")
     )
     return cut.join(numbered, [*batch, "_part"]).select(*cells.columns, "batch", "batches")
 
 
+def sums_before(sums: DataFrame) -> DataFrame:
+    """``column``, ``_stretch`` and ``_before``, the ``_sum`` of all earlier stretches of the column.
+
+    A tree of sums: blocks of ``FAN`` stretches are summed, blocks of blocks above them, and so on up to
+    one block. On the way down each stretch adds what stands before it in its block to what stands before
+    the block. No task sees more than ``FAN`` sums in order, however long a column is.
+    """
+    last = sums.agg(F.max("_stretch")).first()[0] or 0
+    blocked = sums.withColumn("_block", F.floor(F.col("_stretch") / FAN))
+    earlier = Window.partitionBy("column", "_block").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    inside = blocked.withColumn("_inside", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    if last < FAN:
+        return inside.select("column", "_stretch", F.col("_inside").alias("_before"))
+    above = blocked.groupBy("column", F.col("_block").alias("_stretch")).agg(F.sum("_sum").alias("_sum"))
+    starts = sums_before(durable(above)).select("column", F.col("_stretch").alias("_block"), F.col("_before").alias("_start"))
+    return inside.join(starts, ["column", "_block"]).select(
+        "column", "_stretch", (F.col("_start") + F.col("_inside")).alias("_before")
+    )
+
+
 def _running(ranked: DataFrame) -> DataFrame:
     """Adds ``_until``, the characters of a column up to and with each line, by stretches of lines."""
     stretch = ["column", "_stretch"]
-    sums = ranked.groupBy(*stretch).agg(F.sum("_chars").alias("_sum"))
-    earlier = Window.partitionBy("column").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*stretch, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    sums = durable(ranked.groupBy(*stretch).agg(F.sum("_chars").alias("_sum")))
     here = Window.partitionBy(*stretch).orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
     inside = ranked.withColumn("_inside", F.sum("_chars").over(here))
-    return inside.join(starts, stretch).withColumn("_until", F.col("_start") + F.col("_inside")).drop(
-        "_start", "_inside", "_stretch"
+    return inside.join(sums_before(sums), stretch).withColumn("_until", F.col("_before") + F.col("_inside")).drop(
+        "_before", "_inside", "_stretch"
     )
 
 

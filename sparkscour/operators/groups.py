@@ -2,19 +2,23 @@
 
 In row order, a row that no earlier leader claimed is a leader, and it claims every later
 unclaimed row that is similar to it. So a row leads iff none of its smaller neighbours leads, and
-a claimed row belongs to its smallest neighbouring leader. That is computed in rounds over the
-edges; on large inputs, in batches of growing size, so that rows an earlier leader has claimed
-are never paired with each other.
+a claimed row belongs to its smallest neighbouring leader. A few rounds over the edges settle most
+rows. What is left is cut into connected components: those that fit a task are settled there in row
+order, whole components at a time, and only larger ones go on in rounds. On large inputs keys come in
+batches of growing size, so that rows an earlier leader has claimed are never paired with each other.
 """
 
 from __future__ import annotations
 
 import logging
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkscour.functions.text import csv_line, csv_quote
+from sparkscour.operators.components import components
 from sparkscour.operators.pairs import (
     common_items,
     distinct_keys,
@@ -32,16 +36,51 @@ log = logging.getLogger(__name__)
 FIRST_BATCH = 200_000
 BATCH_GROWTH = 4
 MANY_ROUNDS = 25
+# Rounds over all edges before components are looked for, and edges that a task may settle in row order.
+FIRST_ROUNDS = 3
+TASK_EDGES = 500_000
 # Members that go into one request text; larger groups are decided in rounds (plans.dedupe).
 REQUEST_MEMBERS = 1000
 
 
-def claims_from_edges(edges: DataFrame) -> DataFrame:
+def _in_order_of_pack(table: pa.Table) -> pa.Table:
+    """The claimed nodes of whole components, by walking their edges in row order."""
+    left, right = table["left_id"].to_numpy(), table["right_id"].to_numpy()
+    order = np.lexsort((right, left))
+    claimed: set[int] = set()
+    for a, b in zip(left[order].tolist(), right[order].tolist()):
+        if a not in claimed:
+            claimed.add(b)
+    return pa.table({"id": pa.array(sorted(claimed), pa.int64())})
+
+
+def _settled_by_component(edges: DataFrame, task_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """Claimed nodes of the components that fit a task, and the edges of the others (None: all fit)."""
+    n = edges.count()
+    if n <= task_edges:
+        # All components together fit, so it doesn't matter where one ends.
+        whole = edges.withColumn("_pack", F.lit(0)).groupBy("_pack")
+        return durable(whole.applyInArrow(_in_order_of_pack, "id long")), None
+    named = durable(components(edges, "left_id", "right_id"))
+    placed = join_hot(edges, named.withColumnRenamed("node", "left_id"), "left_id", spread_by=F.col("right_id"))
+    placed = durable(placed.select("left_id", "right_id", "component"))
+    sizes = durable(placed.groupBy("component").agg(F.count(F.lit(1)).alias("_edges")))
+    large = sizes.filter(F.col("_edges") > task_edges).select("component")
+    fits = join_hot(placed, large, "component", "left_anti", spread_by=F.col("right_id"), measured=sizes, weight="_edges")
+    # Small components share a task: so many parts that each holds about half of what fits.
+    pack = F.pmod(F.xxhash64("component"), F.lit(max(1, 2 * n // task_edges)))
+    claimed = fits.select("left_id", "right_id", pack.alias("_pack")).groupBy("_pack").applyInArrow(_in_order_of_pack, "id long")
+    rest = join_hot(placed, large, "component", "left_semi", spread_by=F.col("right_id"), measured=sizes, weight="_edges")
+    return durable(claimed), durable(rest.select("left_id", "right_id"))
+
+
+def claims_from_edges(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """``(id, leader_id, similarity)`` of each claimed node of ``(left_id, right_id, similarity)``.
 
     A round takes the nodes without an open smaller neighbour as leaders, claims their
-    neighbours and drops the edges of these. Each round settles at least the smallest open node,
-    so the loop always ends; the open edges shrink quickly.
+    neighbours and drops the edges of these. After ``FIRST_ROUNDS``, components of at most
+    ``task_edges`` edges are settled in one pass, exactly as the walk in row order does it; the rounds
+    go on for larger ones. Each round settles at least the smallest open node, so the loop always ends.
     """
     open_edges = edges.select("left_id", "right_id")
     claimed = None
@@ -50,6 +89,12 @@ def claims_from_edges(edges: DataFrame) -> DataFrame:
         rounds += 1
         if rounds == MANY_ROUNDS:
             log.warning("more than %d rounds of leader election", MANY_ROUNDS)
+        if rounds == FIRST_ROUNDS + 1:
+            taken, open_edges = _settled_by_component(open_edges, task_edges)
+            claimed = taken if claimed is None else claimed.union(taken)
+            if open_edges is None:
+                break
+            continue
         below = open_edges.select(F.col("left_id").alias("id"), F.lit(0).alias("below")).union(
             open_edges.select("right_id", F.lit(1))
         )

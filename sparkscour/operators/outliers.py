@@ -6,6 +6,7 @@ the node table (at most trees x (2 x sample - 1) rows) on every executor.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,6 +22,8 @@ from sparkscour.functions.validity import leading_number
 TREES = 100
 SAMPLE = 256
 OUTLIER_SCORE = 0.7
+# Bits of a draw: twelve hexadecimal digits of an md5.
+DRAW_BITS = 48
 # Values beyond this count as this, so that splits stay finite.
 LARGEST = 1e300
 
@@ -49,8 +52,12 @@ def iforest_fit(
 ) -> DataFrame:
     """The node table of the forest. The same rows and seed always give the same trees.
 
-    In one scan, each tree draws about twice the rows it needs by a hash of id and tree, and keeps
-    the ``sample`` first of them.
+    Every random choice comes from an md5, so that any engine can draw the same forest. A row has two
+    numbers from the md5 of seed and id, and tree ``t`` draws by ``first + t * second``, cut to 48 bits:
+    each tree takes the ``sample`` rows with the smallest draws. In one scan a row is listed only for the
+    trees in which it is under a bound that about twice the rows needed stay under; each task keeps its
+    smallest draws of a tree, and those of all tasks are merged. A node takes its feature and its split
+    from the md5 of seed, tree and place (1 for the root, 2p and 2p + 1 below p).
     """
     columns = list(columns)
     if not columns:
@@ -59,13 +66,19 @@ def iforest_fit(
         as_col(row_id).alias("row_id"), *[as_col(c).cast("double").alias(c) for c in columns]
     )
     n = df.count()
-    cut = int(min(1.0, (2.0 * sample + 50) / max(n, 1)) * 2**62)
+    cut = int(min(1.0, (2.0 * sample + 50) / max(n, 1)) * (1 << DRAW_BITS))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("row_id").cast("string")))
+
+    def number(first: int) -> Column:
+        return F.conv(F.substring(digest, first, DRAW_BITS // 4), 16, 10).cast("long")
 
     def draw(tree: Column) -> Column:
-        return F.pmod(F.xxhash64("row_id", tree, F.lit(seed + 1)), F.lit(2**62))
+        return (F.col("_first") + tree * F.col("_second")).bitwiseAND(F.lit((1 << DRAW_BITS) - 1))
 
     drawing = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < cut)
-    drawn = values.withColumn("tree", F.explode(drawing)).withColumn("_draw", draw(F.col("tree")))
+    numbered = values.withColumns({"_first": number(1), "_second": number(1 + DRAW_BITS // 4)})
+    drawn = numbered.withColumn("tree", F.explode(drawing)).withColumn("_draw", draw(F.col("tree")))
+    # Spark applies the limit of the rank in each task before the shuffle, then to what is left.
     order = Window.partitionBy("tree").orderBy("_draw", "row_id")
     picked = drawn.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
 
@@ -76,11 +89,15 @@ def iforest_fit(
         tree = int(key[0])
         data = pdf.sort_values("_rank")[columns].to_numpy(dtype=float).clip(-LARGEST, LARGEST)
         limit = int(np.ceil(np.log2(max(len(data), 2))))
-        rng = np.random.default_rng([seed, tree])
+
+        def chances(place: int) -> tuple[float, float]:
+            digits, width = hashlib.md5(f"{seed}:{tree}:{place}".encode()).hexdigest(), DRAW_BITS // 4
+            return tuple(int(digits[k : k + width], 16) / (1 << DRAW_BITS) for k in (0, width))
+
         nodes: list[list] = []
-        todo = [(np.arange(len(data)), 0, -1, 0)]
+        todo = [(np.arange(len(data)), 0, -1, 0, 1)]
         while todo:
-            rows, depth, parent, side = todo.pop()
+            rows, depth, parent, side, place = todo.pop()
             node = len(nodes)
             if parent >= 0:
                 nodes[parent][4 + side] = node
@@ -91,12 +108,15 @@ def iforest_fit(
                 # A leaf counts the depth its rows would still need.
                 nodes.append([tree, node, -1, 0.0, -1, -1, depth + leaf_paths[len(rows)], len(data)])
                 continue
-            feature = int(rng.choice(varying))
-            split = float(rng.uniform(low[feature], high[feature]))
+            first, second = chances(place)
+            feature = int(varying[int(first * len(varying))])
+            split = float(low[feature] + second * (high[feature] - low[feature]))
+            if split >= high[feature]:  # rounded up: nothing would go right
+                split = float(low[feature])
             goes_left = part[:, feature] <= split
             nodes.append([tree, node, feature, split, -1, -1, 0.0, len(data)])
-            todo.append((rows[~goes_left], depth + 1, node, 1))
-            todo.append((rows[goes_left], depth + 1, node, 0))
+            todo.append((rows[~goes_left], depth + 1, node, 1, 2 * place + 1))
+            todo.append((rows[goes_left], depth + 1, node, 0, 2 * place))
         return pd.DataFrame(nodes, columns=names)
 
     return picked.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)

@@ -43,6 +43,8 @@ HOT_POSTINGS = 20_000
 # A chunk is common if more than one in so many keys, and at least so many keys, have it.
 COMMON_SHARE = 64
 COMMON_LEAST = 64
+# Fewer keys than this meet by single chunks at little cost, however common these are.
+LEAST_PAIRED = 1000
 # What a candidate costs, in postings: it is filtered, made distinct and often verified.
 CANDIDATE_COST = 8
 # Word overlaps that may bound the word join of a combined similarity, and the word matches that a
@@ -184,19 +186,23 @@ def _chunk_hashes(key: Column, length: Column, size: Column) -> Column:
     return F.when(size > 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
-def _picked(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
-    """``id``, ``len``, ``size`` and the rarest chunks of each key, as many as are needed."""
-    key, length = F.col("key"), F.length("key")
-    sized = keys.select("id", "key", length.alias("len"), _gram_size(length, t, common).alias("size"))
-    # Ids and places are joined; texts are fetched for the pairs that meet.
+def _picked_chunks(t: float, common: Commonness) -> Column:
+    """The rarest chunks of a ``key``, as many as are needed, in rank order."""
+    length = F.length("key")
     ranked = F.sort_array(
         F.transform(
-            _chunk_hashes(key, F.col("len"), F.col("size")),
+            _chunk_hashes(F.col("key"), length, _gram_size(length, t, common)),
             lambda h, i: F.struct(common.ranked(h).alias("rank"), h.alias("item"), i.alias("at")),
         )
     )
-    picked = F.slice(ranked, F.lit(1), _chunks_needed(F.col("len"), t, common))
-    return sized.select("id", "key", "len", "size", picked.alias("picked"))
+    return F.slice(ranked, F.lit(1), _chunks_needed(length, t, common))
+
+
+def _picked(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
+    length = F.length("key")
+    size = _gram_size(length, t, common).alias("size")
+    # Ids and places are joined; texts are fetched for the pairs that meet.
+    return keys.select("id", "key", length.alias("len"), size, _picked_chunks(t, common).alias("picked"))
 
 
 def _chunks(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
@@ -242,11 +248,10 @@ def _grams(keys: DataFrame, t: float, common: Commonness) -> DataFrame:
     )
 
 
-def _pairable(t: float, common: Commonness) -> Column:
-    """Whether a row of ``_picked`` has enough chunks that aren't common; they are in rank order."""
-    needed = _chunks_needed(F.col("len"), t, common)
-    last = F.get("picked", needed - 1)["item"]
-    return F.coalesce((F.size("picked") >= needed) & common.rare(last), F.lit(False))
+def _pairable(t: float, common: Commonness, picked: str = "picked") -> Column:
+    """Whether a row of ``_picked`` has enough chunks that aren't common; the last is the most common."""
+    last = F.get(picked, _chunks_needed(F.col("len"), t, common) - 1)["item"]
+    return F.coalesce(common.rare(last), F.lit(False))
 
 
 def _chunk_pairs(picked: DataFrame) -> DataFrame:
@@ -473,53 +478,50 @@ def _cheapest_overlap(keys: DataFrame, common: Commonness, t: float) -> float:
 
 def _cheapest_chunks(keys: DataFrame, share: float) -> tuple[Commonness, Commonness | None]:
     """The chunk lengths whose picked chunks meet the fewest others, alone and, if cheaper, by two."""
-    length = F.length("key")
-    options = [(needed, shorter) for needed in (1, 2) for shorter in CHUNK_CHOICES]
-    bare = [Commonness({}, shorter, needed) for needed, shorter in options]
-    tagged = [
-        keys.select(
-            F.lit(k).alias("choice"),
-            F.explode(_chunk_hashes(F.col("key"), length, _gram_size(length, share, option))).alias("item"),
-        )
-        for k, option in enumerate(bare)
-    ]
+    length, n_keys = F.length("key"), keys.count()
+    ways = (1, 2) if n_keys >= LEAST_PAIRED else (1,)
+    options = [(needed, shorter) for needed in ways for shorter in CHUNK_CHOICES]
+
+    def items(k: int, option: Commonness) -> Column:
+        hashes = _chunk_hashes(F.col("key"), length, _gram_size(length, share, option))
+        return F.transform(hashes, lambda h: F.struct(F.lit(k).alias("choice"), h.alias("item")))
+
+    every = [items(k, Commonness({}, shorter, needed)) for k, (needed, shorter) in enumerate(options)]
     counted = (
-        reduce(DataFrame.unionByName, tagged)
+        keys.select(F.inline(F.concat(*every)))
         .groupBy("choice", key_bucket(F.col("item")).alias("bucket"))
         .count()
         .toArrow()
     )
-    n_keys = keys.count()
     counts: dict[int, dict[int, int]] = {k: {} for k in range(len(options))}
     for k, bucket, n in zip(*(counted[c].to_pylist() for c in ("choice", "bucket", "count"))):
         counts[k][bucket] = n
     choices = [Commonness(counts[k], shorter, needed, n_keys) for k, (needed, shorter) in enumerate(options)]
 
-    def costs_of(k: int, choice: Commonness) -> DataFrame:
-        picked = _picked(keys, share, choice)
+    def cost(k: int, choice: Commonness) -> Column:
         edits = _most_edits_of_shorter(F.col("len"), share) + 1
-        alone = F.aggregate("picked", F.lit(0.0), lambda acc, c: acc + choice.count(c["item"]))
+        met = F.aggregate(f"picked{k}", F.lit(0.0), lambda acc, c: acc + choice.count(c["item"]))
+        alone = met * edits * CANDIDATE_COST
         if choice.needed == 1:
-            return picked.select(F.lit(k).alias("choice"), (alone * edits * CANDIDATE_COST).alias("cost"), F.lit(0).alias("left"))
-        # Two chunks meet by chance as often as their frequencies say; the longer side lists about 1.4 d^3 pairs.
-        both = alone * alone / 2 / max(n_keys, 1) * edits * edits * CANDIDATE_COST + F.pow(edits, F.lit(3)) * 1.4
-        able = _pairable(share, choice)
-        return picked.select(F.lit(k).alias("choice"), F.when(able, both).otherwise(F.lit(0.0)).alias("cost"), (~able).cast("int").alias("left"))
-
-    measured = reduce(DataFrame.unionByName, [costs_of(k, c) for k, c in enumerate(choices)])
-    found = {r["choice"]: r for r in measured.groupBy("choice").agg(F.sum("cost").alias("cost"), F.sum("left").alias("left")).collect()}
+            return alone
+        # Two chunks meet by chance as often as their frequencies say; the longer side lists about
+        # 1.4 d^3 pairs. Keys without enough rare chunks go on meeting by one.
+        by_two = met * met / 2 / max(n_keys, 1) * edits * edits * CANDIDATE_COST
+        return F.when(_pairable(share, choice, f"picked{k}"), by_two + F.pow(edits, F.lit(3)) * 1.4).otherwise(alone)
+
+    picked = [_picked_chunks(share, c).alias(f"picked{k}") for k, c in enumerate(choices)]
+    sums = [F.sum(cost(k, c)).alias(f"c{k}") for k, c in enumerate(choices)]
+    found = keys.select(length.alias("len"), *picked).agg(*sums).first().asDict() if n_keys else {}
     if not found:
         return choices[0], None
-    singles = len(CHUNK_CHOICES)
-    single = min(range(singles), key=lambda k: (found[k]["cost"], k))
-    # Keys that are left to single chunks are taken to cost as much there as all do on average.
-    alone = found[single]["cost"]
 
-    def with_rest(k: int) -> float:
-        return found[k]["cost"] + alone * found[k]["left"] / max(n_keys, 1)
+    def cheapest(needed: int) -> int:
+        return min((k for k, c in enumerate(choices) if c.needed == needed), key=lambda k: (found[f"c{k}"], k))
 
-    paired = min(range(singles, len(options)), key=lambda k: (with_rest(k), k))
-    return choices[single], choices[paired] if with_rest(paired) < alone else None
+    single, paired = cheapest(1), cheapest(2) if 2 in ways else None
+    if paired is None or found[f"c{paired}"] >= found[f"c{single}"]:
+        return choices[single], None
+    return choices[single], choices[paired]
 
 
 def _check(strategy: str, t: float, allow_all_pairs: bool) -> None:

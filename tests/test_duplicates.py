@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from sparkscour.operators import components as C
 from sparkscour.operators import groups as G
 from sparkscour.operators import pairs as P
 from sparkscour.operators.survivors import decide_survivors, invalid_decisions, removals_from_replies
@@ -110,6 +111,21 @@ def test_pairs_equal_all_pairs(spark, strategy, t):
         assert got == want
 
 
+@pytest.mark.parametrize("strategy,t", [("levenshtein", 0.6), ("levenshtein", 0.85), ("levenshtein", 0.95), ("combined", 0.7), ("combined", 0.85)])
+def test_pairs_by_two_chunks_equal_all_pairs(spark, monkeypatch, strategy, t):
+    monkeypatch.setattr(P, "LEAST_PAIRED", 0)
+    # Two chunks are taken as soon as any keys can meet by them.
+    monkeypatch.setattr(P, "CANDIDATE_COST", 1e9)
+    for least in (1, 1000):
+        monkeypatch.setattr(P, "COMMON_LEAST", least)
+        keys = random_keys(3, 200, alphabet="abcdefgh", words=least == 1)
+        keys |= {1000 + i: "north unit of " + k for i, k in random_keys(4, 60, "0123456789abcdef", False).items() if k}
+        ids = firsts(keys)
+        want = {(i, j, s) for i in ids for j in ids if i < j and (s := similar(ids[i], ids[j], strategy)) >= t}
+        got = {tuple(r) for r in P.row_pairs(frame(spark, keys), strategy=strategy, threshold=t).collect()}
+        assert got == want
+
+
 def test_hot_postings_are_salted_without_a_change(spark, monkeypatch):
     keys = {i: f"shared prefix of all {i % 37:03d} {i}" for i in range(1, 150)}
     df = frame(spark, keys)
@@ -209,6 +225,86 @@ def test_long_chain_of_edges(spark):
     assert claims == {i: i - 1 for i in range(2, 31, 2)}
 
 
+def walk_in_order(edges):
+    claimed, leader = set(), {}
+    for a, b, _ in sorted(edges):
+        if a not in claimed:
+            claimed.add(b)
+            leader.setdefault(b, a)
+    return leader
+
+
+@pytest.mark.parametrize("task_edges", [1_000_000, 40, 5])
+def test_components_are_settled_like_the_walk_in_row_order(spark, task_edges):
+    rng = random.Random(9)
+    edges = {(i, i + 1) for i in range(1, 60)} | {(i, i + 2) for i in range(100, 130)}
+    edges |= {tuple(sorted(rng.sample(range(200, 260), 2))) for _ in range(80)} | {(300, i) for i in range(301, 350)}
+    edges |= {(i, 2 * i - 340) for i in range(351, 375)}
+    rows = [(a, b, 1 - (b - a) / 1000) for a, b in edges]
+    df = durable(spark.createDataFrame(rows, "left_id long, right_id long, similarity double").repartition(5))
+    got = G.claims_from_edges(df, task_edges=task_edges).collect()
+    assert {r["id"]: r["leader_id"] for r in got} == walk_in_order(rows)
+    assert all(r["similarity"] == 1 - (r["id"] - r["leader_id"]) / 1000 for r in got)
+
+
+def test_a_chain_of_ten_thousand_edges_needs_few_rounds(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(G, "durable", lambda df: made.append(1) or durable(df))
+    n = 10_000
+    edges = durable(spark.range(1, n + 1).selectExpr("id AS left_id", "id + 1 AS right_id", "0.9D AS similarity"))
+    got = G.claims_from_edges(edges)
+    assert got.count() == n // 2 and got.filter("leader_id <> id - 1 OR id % 2 = 1").isEmpty()
+    assert len(made) <= 10
+
+
+def test_components_equal_a_plain_search(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(i, i + 1) for i in range(1000, 1300)]
+    edges += [(2000, i) for i in range(2001, 2200)] + [(7, 7), (None, 3), (3000, 3000)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    want = {x: root(x) for x in list(parent)}
+    df = durable(spark.createDataFrame(edges, "a long, b long").repartition(6))
+    assert {r["node"]: r["component"] for r in C.components(df, "a", "b").collect()} == want
+    monkeypatch.setattr(C, "CHUNK_EDGES", 7)
+    monkeypatch.setattr(C, "LAST_EDGES", 5)
+    assert {r["node"]: r["component"] for r in C.components(df, "a", "b").collect()} == want
+    assert C.components(df.limit(0), "a", "b").count() == 0
+
+
+def test_candidates_grow_no_faster_than_the_keys(spark):
+    """Near copies of random texts, half of them with one long common beginning."""
+
+    def met(n):
+        rng = random.Random(n)
+        keys = {}
+        for i in range(0, n, 2):
+            text = "".join(rng.choice("0123456789abcdef") for _ in range(22))
+            start = "north unit of " if i % 4 else ""
+            keys[i], keys[i + 1] = start + text, start + text[:20] + "zz"
+        df = durable(frame(spark, keys).withColumnsRenamed({"row_id": "id", "comparison_value": "key"}))
+        plan = P.common_items(df, "levenshtein", 0.85)
+        if plan.paired is None:
+            assert n < 5000
+            pairs = P._chunks(df, plan.share, plan.single).join(P._grams(df, plan.share, plan.single), "gram")
+        else:
+            picked = P._picked(df, plan.share, plan.paired)
+            assert picked.filter(~P._pairable(plan.share, plan.paired)).isEmpty()
+            pairs = P._chunk_pairs(picked).join(P._gram_pairs(df, plan.share, plan.paired), "gram")
+        return pairs.filter("s_id <> r_id").count()
+
+    assert met(8000) <= 5 * met(2000)
+
+
 def groups_frame(spark):
     rows = [(1, 1, "leader", 1.0, "a"), (1, 2, "duplicate", 0.9, "ab"), (5, 5, "leader", 1.0, "b"), (5, 7, "duplicate", 0.9, "b")]
     return spark.createDataFrame(rows, "leader_id long, row_id long, role string, similarity double, comparison_value string")

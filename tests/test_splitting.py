@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from sparkscour.operators import outliers as O
 from sparkscour.operators import split as S
+from sparkscour.operators import batches as B
 from sparkscour.operators.batches import ask_corrector, correct_cells, decide_groups, plan_batches
 from sparkscour.plans.isosplit import iso_split
+from sparkscour.session import durable
 from sparkscour.sources.contracts import ColumnRule
 
 
@@ -108,6 +110,43 @@ def numbers(spark, n=2000, parts=3):
     return spark.createDataFrame(rows, "row_id long, a double, b double, same double").repartition(parts)
 
 
+def test_sums_before_of_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(B, "FAN", 3)
+    rng = random.Random(8)
+    sums = {(c, k): rng.randrange(100) for c, n in (("a", 100), ("b", 1), ("c", 31)) for k in range(n) if k % 7 or c == "b"}
+    df = spark.createDataFrame([(*k, v) for k, v in sums.items()], "column string, _stretch long, _sum long")
+    got = {(r["column"], r["_stretch"]): r["_before"] for r in B.sums_before(df).collect()}
+    assert got == {(c, k): sum(v for (d, j), v in sums.items() if d == c and j < k) for c, k in sums}
+    assert B.sums_before(df.limit(0)).count() == 0
+
+
+def test_short_stretches_do_not_change_batches(spark, monkeypatch):
+    rng = random.Random(3)
+    df = durable(spark.createDataFrame([(i, "ab"[i % 3 == 0], "x" * rng.randrange(200)) for i in range(1, 400)], "row_id long, column string, value string"))
+    want = [sorted(map(tuple, plan_batches(df, 2500, 5, most).collect())) for most in (None, 20)]
+    monkeypatch.setattr(B, "STRETCH", 7)
+    monkeypatch.setattr(B, "FAN", 4)
+    assert [sorted(map(tuple, plan_batches(df, 2500, 5, most).collect())) for most in (None, 20)] == want
+    assert max(r[3] for r in want[0]) > 4
+
+
+def test_the_forest_draws_the_rows_with_the_smallest_numbers(spark):
+    df = numbers(spark)
+    nodes = O.iforest_fit(df, ["a", "b"], trees=7, sample=50, seed=5).collect()
+    rows = [(r["row_id"], r["a"], r["b"]) for r in df.collect()]
+
+    def digits(text, first):
+        return int(hashlib.md5(text.encode()).hexdigest()[first : first + 12], 16)
+
+    for tree in range(7):
+        drawn = sorted(rows, key=lambda r: ((digits(f"5:{r[0]}", 0) + tree * digits(f"5:{r[0]}", 12)) % 2**48, r[0]))[:50]
+        root = next(n for n in nodes if n["tree"] == tree and n["node"] == 0)
+        feature = int(digits(f"5:{tree}:1", 0) / 2**48 * 2)
+        values = [r[1 + feature] for r in drawn]
+        low, high = min(values), max(values)
+        assert root["feature"] == feature and root["split"] == low + digits(f"5:{tree}:1", 12) / 2**48 * (high - low)
+
+
 def test_forest_scores_match_a_plain_walk(spark):
     df = numbers(spark)
     nodes = O.iforest_fit(df, ["a", "b", "same"], trees=20, sample=64, seed=3)
