@@ -1,43 +1,16 @@
-"""Connected components of a graph given as a table of links."""
+"""Connected components of links, by the library's general helper."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from sparkscour.session import durable
+from sparkscour.operators import components as general
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """The smallest node that each linked node reaches: ``node``, ``component``.
 
-    Large and small stars in turn: every node hands its neighbours to its smallest one, which shortens
-    chains by a power each time, so rounds grow with the logarithm of the longest chain. A node with very
-    many neighbours is met by sums before shuffles and by joins that can be split. Ends as soon as no
-    link changes. Nodes without links aren't listed; links of a node to itself and repeated ones don't
-    matter; no links give no rows.
+    Tasks contract the links that they hold, so that hardly more than a forest is shuffled. Nodes without
+    links aren't listed; links of a node to itself and repeated ones don't matter; no links give no rows.
     """
-    two = [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
-    held = durable(links.filter(F.col(a) != F.col(b)).select(*two).distinct())
-    before = _print(held)
-    while before[0]:
-        both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter(F.col("u") != F.col("v")).distinct()
-        # Each link's larger end hands all smaller ends, and itself, to the smallest.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(least.select("u", F.col("m").alias("v")))
-        held = durable(small.filter(F.col("u") != F.col("v")).distinct())
-        now = _print(held)
-        if now == before:
-            break
-        before = now
-    roots = held.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return held.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _print(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-    return row[0], row[1]
+    return general.components(links, a, b)

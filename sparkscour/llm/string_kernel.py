@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sparkscour.llm.common import name, packed, text_of, unpacked
+from sparkscour.session import durable, join_hot
 
 UNKNOWN = "und"
 MAX_N = 4
@@ -35,6 +35,8 @@ RIDGE = 1e-2
 # Steepness that turns the lead of the best language into a score.
 STEEPNESS = 6.0
 SCORED_AT_ONCE = 256
+# Labels whose counts are sent to every task.
+MOST_SENT = 10_000
 PART_CHARS = 1 << 20
 
 
@@ -153,10 +155,15 @@ def fit(
     order = F.xxhash64(F.lit(11), "doc_id")
     # Only rows whose hash is small enough for their language's number of rows are ranked, about twice as
     # many as are wanted and at least all of a small language.
-    rows = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    rows = durable(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))
     share = F.lit(2.0 * per_language + 100) / F.col("rows")
     low = order.cast("double") / F.lit(2.0**64) + 0.5 <= share
-    some = labelled.join(rows, "lang").filter(low)
+    # Rows are never dealt out by language before the others are gone: a language may hold most of them.
+    if rows.count() <= MOST_SENT:
+        counted = labelled.join(F.broadcast(rows), "lang")
+    else:
+        counted = join_hot(labelled, rows, "lang", spread_by=F.col("doc_id"))
+    some = counted.filter(low)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     ranked = some.withColumn("place", place).filter(F.col("place") <= per_language)
     # Bounded by sample_rows.
@@ -195,11 +202,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Repeated rows get equal results, and an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
+    kinds = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def decided(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = Model(*shared.value)
         for batch in batches:
-            langs, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            langs, scores = [UNKNOWN] * len(batch), [0.0] * len(batch)
             where: list[int] = []
             rows: list[np.ndarray] = []
 
@@ -210,8 +219,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     where.clear()
                     rows.clear()
 
-            texts = batch.column(batch.schema.names.index("__text"))
-            for k, one in enumerate(texts):
+            for k, one in enumerate(batch):
                 at = presence(one.as_py()) if fitted.languages and one.is_valid else None
                 if at is not None:
                     where.append(k)
@@ -219,16 +227,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 if len(rows) == SCORED_AT_ONCE:
                     settle()
             settle()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                ["row", "lang_pred", "score"],
-            )
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], fields=list(kinds))
 
-    chosen = docs.select(packed(docs).alias("row"), name(text).cast("string").alias("__text"))
-    found = StructType(
-        [chosen.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]
-    )
-    return chosen.mapInArrow(run, found)
+    # Only texts go to Python, once; the rows wait on Spark's side. Taken for nondeterministic, so that a
+    # filter on the result doesn't score the texts a second time.
+    found = docs.select(packed(docs).alias("row"), decided.asNondeterministic()(name(text).cast("string")).alias("__found"))
+    return found.select("row", F.col("__found.lang_pred").alias("lang_pred"), F.col("__found.score").alias("score"))
 
 
 def held_out(doc_id: Column) -> Column:

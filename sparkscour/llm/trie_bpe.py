@@ -27,8 +27,10 @@ from sparkscour.llm.common import name, text_of
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # Distinct words whose encodings a worker keeps, and words held at once of one text.
-CACHED_WORDS = 300_000
-CACHED_PIECES = 400_000
+CACHED_WORDS = 200_000
+CACHED_PIECES = 300_000
+# Pairs of tokens of which a worker remembers whether they stay apart.
+CACHED_PAIRS = 300_000
 CHUNK_WORDS = 1 << 18
 LONG_TEXT = 1 << 20
 # A space between two white characters, or after one at the end of the text.
@@ -89,7 +91,7 @@ class Vocabulary:
                     node = self.back_edges[key]
                 self.back_token[node] = i
         self.size = {i: len(t) for i, t in self.bytes_of.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def fits(self, u: int, t: int, before: int = 1 << 60) -> bool:
         """Whether the encodings of two tokens stay apart when their bytes meet.
@@ -140,12 +142,12 @@ class Vocabulary:
                     start = end - size[token]
                     if not start:
                         break
-                    pair = last[start], token
+                    pair = last[start] << 32 | token
                     good = pairs.get(pair)
                     if good is None:
-                        if len(pairs) > 4 * CACHED_WORDS:
+                        if len(pairs) >= CACHED_PAIRS:
                             pairs.clear()
-                        good = pairs[pair] = self.fits(*pair)
+                        good = pairs[pair] = self.fits(last[start], token)
                     if good:
                         break
                 else:
