@@ -197,3 +197,15 @@ def csv_files(spark, d):
     path = scratch(spark)
     write_table(talk, path, "csv", source_path=f"{d}/conversations.parquet")
     return with_row_id(read_table(spark, path, "csv", with_position=True))
+
+
+@query(
+    "csv_quoted_breaks",
+    "SELECT row_number() OVER (ORDER BY doc_id) AS row_id, CAST(doc_id AS VARCHAR) AS doc_id, "
+    "nullif(text, '') AS text FROM documents",
+)
+def csv_quoted_breaks(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text").orderBy("doc_id")
+    path = scratch(spark)
+    write_table(docs, path, "csv", source_path=f"{d}/documents.parquet")
+    return with_row_id(read_table(spark, path, "csv", with_position=True, ranges=True))

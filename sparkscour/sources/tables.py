@@ -8,6 +8,12 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkscour.sources.csv_ranges import read_csv_ranges
+
+
+CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+UNITS = {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
 
 def read_table(
     spark: SparkSession,
@@ -15,25 +21,21 @@ def read_table(
     fmt: str = "csv",
     multi_line: bool = True,
     with_position: bool = False,
+    ranges: bool | None = None,
 ) -> DataFrame:
     """Read a table; CSV columns are all strings named by the header, blank lines are skipped.
 
-    A CSV file with line breaks inside quotes cannot be cut into splits, so ``multi_line=True``
-    reads one file per task: keep such inputs in many files, or pass ``False`` where no cell has
-    a line break. ``with_position`` adds ``_file``, ``_block`` and ``_pos``, whose order is the
-    order of the rows in the files (see ``operators.rows.with_row_id``).
+    With ``multi_line`` cells may have line breaks inside quotes. Spark reads such a file in one task;
+    where a file is larger than a task's share (``spark.sql.files.maxPartitionBytes``), or with
+    ``ranges=True``, its ranges are read side by side instead (``sources.csv_ranges``). Pass ``False``
+    where no cell has a line break, which saves a scan. ``with_position`` adds ``_file``, ``_block`` and
+    ``_pos``, whose order is the order of the rows in the files (see ``operators.rows.with_row_id``).
     """
     if fmt == "csv":
-        df = spark.read.csv(
-            path,
-            header=True,
-            inferSchema=False,
-            multiLine=multi_line,
-            quote='"',
-            escape='"',
-            ignoreLeadingWhiteSpace=False,
-            ignoreTrailingWhiteSpace=False,
-        )
+        df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, **CSV_OPTIONS)
+        if multi_line and (_has_large_file(spark, path) if ranges is None else ranges):
+            df = read_csv_ranges(spark, path, df.columns, {**CSV_OPTIONS, "multiLine": True})
+            return df if with_position else df.drop("_file", "_block", "_pos")
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:
@@ -48,6 +50,15 @@ def read_table(
     return df
 
 
+def _has_large_file(spark: SparkSession, path: str) -> bool:
+    """Whether a file is larger than a task's share; folders with partition columns are left to Spark."""
+    files = spark.read.format("binaryFile").load(path)
+    if set(files.columns) - {"path", "modificationTime", "length", "content"}:
+        return False
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return not files.filter(F.col("length") > int(number) * UNITS[unit]).select("length").isEmpty()
+
+
 def _plain(path: str) -> str:
     return posixpath.normpath(re.sub(r"^file:/+", "/", path))
 
