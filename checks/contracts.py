@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import duck, query, table
-from checks.inputs import MESSY_SQL, messy_customers
+from checks.inputs import MESSY_SQL, RULES, messy_customers
 from sparkscour.operators.columns import rename_by_contract
+from sparkscour.operators.patterns import induced_patterns
 from sparkscour.operators.profile import propose_contract
 from sparkscour.operators.reply_text import parse_contract, scope_contract
+from sparkscour.plans.preclean import preclean
 from sparkscour.sources.contracts import (
     ColumnRule,
     active_columns,
@@ -211,3 +213,19 @@ def propose_nation(spark, d):
 )
 def propose_messy(spark, d):
     return propose_contract(messy_customers(spark, d), MESSY_COLUMNS)
+
+
+PATTERNED = ["full name", "email", "phone", "signup", "Company", "balance"]
+
+
+@query("induced_patterns", f"WITH {duck.CLEANED}, {duck.patterns('named', PATTERNED)} SELECT * FROM learned")
+def induced_customer_patterns(spark, d):
+    return induced_patterns(rename_by_contract(preclean(messy_customers(spark, d)), RULES), PATTERNED)
+
+
+PART = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+
+@query("induced_patterns_part", f"WITH {duck.patterns('part', PART)} SELECT * FROM learned")
+def induced_part_patterns(spark, d):
+    return induced_patterns(table(spark, d, "part"), PART)

@@ -190,3 +190,33 @@ def forest(source: str, columns: list[str], seed: int = 42, trees: int = 100, sa
           FROM ({ends}) GROUP BY row_id) USING (row_id))"""
     )
     return ", ".join(parts)
+
+
+def patterns(source: str, columns: list[str], most_shapes: int = 8) -> str:
+    """CTEs of learned patterns of the columns of ``source``; the last is ``learned``."""
+    cells = " UNION ALL ".join(
+        f"SELECT {lit(c)} AS original_name, CAST(\"{c}\" AS VARCHAR) AS v FROM {source} WHERE NOT {empty(f'CAST(\"{c}\" AS VARCHAR)', 'unified')}" for c in columns
+    )
+    shape = "v"
+    for chars, sign in (("[0-9]", "0"), ("[A-Z]", "A"), ("[a-z]", "a")):
+        shape = f"regexp_replace({shape}, '{chars}+', '{sign}', 'g')"
+    kind = "CASE WHEN regexp_matches(first, '^[0-9]') THEN '[0-9]' WHEN regexp_matches(first, '^[A-Z]') THEN '[A-Z]' WHEN regexp_matches(first, '^[a-z]') THEN '[a-z]' END"
+    size = "CASE WHEN regexp_matches(first, '^[0-9]') THEN log2(10.0::DOUBLE) WHEN regexp_matches(first, '^[A-Za-z]') THEN log2(26.0::DOUBLE) ELSE 0 END"
+    times = "CASE WHEN longest = 1 THEN '' WHEN shortest = longest THEN '{' || shortest || '}' ELSE '{' || shortest || ',' || longest || '}' END"
+    escaped = r"regexp_replace(first, '([!-/:-@\[-`{-~])', '\\\1', 'g')"
+    return f"""p_cells AS ({cells}),
+    p_runs AS (SELECT original_name, shape, unnest(runs) AS run, unnest(generate_series(1, len(runs))) AS place FROM (
+      SELECT original_name, {shape} AS shape, regexp_extract_all(v, '[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]') AS runs FROM p_cells)),
+    p_seen AS (SELECT original_name, shape, place, count(*) AS n, min(length(run)) AS shortest, max(length(run)) AS longest,
+      sum(length(run)) AS chars, min(run) AS first, max(run) AS last FROM p_runs GROUP BY ALL),
+    p_pieces AS (SELECT *, CASE WHEN first = last THEN {escaped} ELSE {kind} || {times} END AS piece,
+      CASE WHEN first = last THEN 0 ELSE n * log2((longest - shortest + 1)::DOUBLE) + chars * {size} END AS bits FROM p_seen),
+    p_branches AS (SELECT original_name, shape, max(n) AS n, sum(chars) AS chars, sum(bits) AS bits,
+      string_agg(piece, '' ORDER BY place) AS branch FROM p_pieces GROUP BY ALL),
+    p_known AS (SELECT original_name, count(*) AS shapes, CAST(sum(n) AS BIGINT) AS filled_count FROM p_branches GROUP BY ALL),
+    p_found AS (SELECT original_name, shapes, filled_count, string_agg(branch, '|' ORDER BY n DESC, shape) AS branches,
+      sum(bits + n * log2(filled_count / n::DOUBLE)) AS bits, sum(chars) AS chars
+      FROM p_branches JOIN p_known USING (original_name) WHERE shapes <= {most_shapes} GROUP BY ALL),
+    learned AS (SELECT original_name, regex, shapes, filled_count FROM (
+      SELECT *, CASE WHEN shapes > 1 THEN '^(?:' || branches || ')$' ELSE '^' || branches || '$' END AS regex FROM p_found)
+      WHERE 8 * length(regex) + bits < chars * log2(95.0::DOUBLE))"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkscour.functions.text import as_col
 from sparkscour.functions.validity import ANY_VALUE, is_empty
+from sparkscour.operators.patterns import induced_patterns
 
 # Patterns of the recognized types, most specific first.
 TYPE_PATTERNS = {
@@ -134,5 +135,13 @@ def contract_from_profile(profile: DataFrame, type_share: float = TYPE_SHARE) ->
     )
 
 
-def propose_contract(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return contract_from_profile(profile_columns(df, columns))
+def propose_contract(df: DataFrame, columns: Sequence[str], learn_patterns: bool = False) -> DataFrame:
+    """A contract from one profile; with ``learn_patterns``, text columns get a pattern where one is found."""
+    contract = contract_from_profile(profile_columns(df, columns))
+    if not learn_patterns:
+        return contract
+    # One row per column of the table.
+    learned = induced_patterns(df, columns).select("original_name", F.col("regex").alias("_learned"))
+    open_text = (F.col("data_type") == "string") & F.col("_learned").isNotNull()
+    joined = contract.join(learned, "original_name", "left")
+    return joined.withColumn("regex", F.when(open_text, F.col("_learned")).otherwise(F.col("regex"))).select(*contract.columns)

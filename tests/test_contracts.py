@@ -1,8 +1,13 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from sparkscour.functions.validity import is_empty, leading_number, matches_contract, usable_pattern
 from sparkscour.operators.columns import clean_headers, drop_excluded, rename_by_contract
+from sparkscour.operators.patterns import induced_patterns
+from sparkscour.operators.profile import propose_contract
 from sparkscour.operators.reply_text import (
     parse_cell_patches,
     parse_contract,
@@ -129,3 +134,45 @@ def test_validation_counts(spark):
     assert (n["valid_pct"], stats["t"]["valid_pct"]) == (50.0, 100.0)
     assert {(r["row_id"], r["value"]) for r in invalid_cells(df, rules).collect()} == {(2, "x"), (3, "null")}
     assert validation_stats(df, []).isEmpty()
+
+
+def patterned(n=400):
+    rng = random.Random(6)
+    rows = []
+    for i in range(n):
+        phone = f"+1 ({rng.randrange(200, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}" if i % 3 else f"1-{rng.randrange(10**9, 10**10)}"
+        code = f"AB-{rng.choice('XYZ')}{rng.choice('pq')}{rng.randrange(100)}"
+        note = " ".join("".join(rng.choice("abcDEF ,.;") for _ in range(rng.randrange(1, 12))) for _ in range(3))
+        rows.append((phone, code, f"Customer#{i:09d}", note, None if i % 5 else "", rng.choice(["é-1", "é-22", r"\d+", "a|b"])))
+    return rows
+
+
+def test_induced_patterns_accept_all_rows_and_reject_others(spark):
+    rows = patterned()
+    names = ["phone", "code", "id", "note", "none", "odd"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in names)).repartition(3)
+    found = {r["original_name"]: r for r in induced_patterns(df, names).collect()}
+    assert set(found) == {"phone", "code", "id", "odd"}
+    for k, name in enumerate(names):
+        if name in found:
+            regex = re.compile(found[name]["regex"])
+            assert all(regex.fullmatch(r[k]) for r in rows)
+            assert df.filter(F.col(name).rlike(found[name]["regex"])).count() == len(rows)
+    assert found["id"]["regex"] == r"^Customer\#[0-9]{9}$" and found["phone"]["shapes"] == 2
+    bad = {
+        "phone": ["+1 (12) 345-6789", "+2 (212) 345-6789", "1-123456789", "x1-1234567890", "1 1234567890"],
+        "code": ["AC-Xp1", "AB-XP1", "AB-Xp", "AB-Xp123", "ab-xp1"],
+        "id": ["Customer#00000001", "Supplier#000000001", "Customer 000000001", "Customer#0000000011"],
+        "odd": ["d+", "a", "ab", "é-", "e-1"],
+    }
+    for name, values in bad.items():
+        assert not any(re.search(found[name]["regex"], v) for v in values), name
+
+
+def test_learned_patterns_replace_the_catch_all_of_text_only(spark):
+    df = spark.createDataFrame([(str(i), f"AB-{i:05d}", f"w{'x' * (i % 37)} {i}" * (i % 5)) for i in range(300)], "n string, code string, free string")
+    plain = {r["original_name"]: r for r in propose_contract(df, df.columns).collect()}
+    learned = {r["original_name"]: r for r in propose_contract(df, df.columns, learn_patterns=True).collect()}
+    assert learned["n"] == plain["n"] and plain["code"]["regex"] == "^.*$"
+    assert learned["code"]["regex"] == r"^AB\-[0-9]{5}$"
+    assert induced_patterns(df.limit(0), df.columns).count() == 0 and induced_patterns(df, []).count() == 0
