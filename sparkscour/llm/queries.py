@@ -108,7 +108,8 @@ def op7_edit_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     SELECT page_id, n AS payload_bytes, d AS payload_digest,
            CASE WHEN owner IS NULL OR owner IS NOT DISTINCT FROM page_id THEN 'response'
                 ELSE 'revisit' END AS record_type,
-           CASE WHEN owner IS DISTINCT FROM page_id THEN owner END AS refers_to
+           CASE WHEN owner IS DISTINCT FROM page_id THEN owner END AS refers_to,
+           TRUE AS whole, CAST(NULL AS VARCHAR) AS fault
     FROM p LEFT JOIN o USING (d, n)
     """,
 )
@@ -116,7 +117,7 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     archives = f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
     return warc.round_trip(pages, archives).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole", "fault"
     )
 
 

@@ -21,6 +21,8 @@ from sparkscour.llm.common import let, let_all, name, packed, text_of
 # Strings that are followed at once through a pattern, and characters of a class that are spelt out.
 MOST_STRINGS = 32
 MOST_CHARACTERS = 8
+# Matches of a text that are placed one after the other.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -246,13 +248,36 @@ def spans_of(text: Column, rule: Rule, place: int) -> Column:
                     F.when(long_enough, F.array_append(acc["spans"], span.cast(SPAN))).otherwise(acc["spans"]).alias("spans"),
                 )
 
-            begin = F.struct(F.lit(0).cast("long").alias("end"), empty.alias("spans"))
-            return F.aggregate(
-                F.sequence(F.lit(0), F.size(found) - 1),
-                begin,
-                lambda acc, i: let(step(acc, i), lambda s: F.struct(s["end"].cast("long").alias("end"), s["spans"].alias("spans"))),
-                lambda acc: acc["spans"],
-            )
+            def block(k: Column) -> Column:
+                """The spans of a block of matches, from the end of the match before it, and the block's length."""
+                begin = F.struct(F.lit(0).cast("long").alias("end"), empty.alias("spans"))
+                last = F.least((k + 1) * BLOCK, F.size(found)) - 1
+                return F.aggregate(
+                    F.sequence(k * BLOCK, last),
+                    begin,
+                    lambda acc, i: let(step(acc, i), lambda s: F.struct(s["end"].cast("long").alias("end"), s["spans"].alias("spans"))),
+                )
+
+            def placed(blocks: Column) -> Column:
+                begin = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<bigint>").alias("starts"))
+                starts = F.aggregate(
+                    blocks,
+                    begin,
+                    lambda acc, b: F.struct((acc["end"] + b["end"]).alias("end"), F.array_append(acc["starts"], acc["end"]).alias("starts")),
+                    lambda acc: acc["starts"],
+                )
+
+                def moved(s: Column, by: Column) -> Column:
+                    return F.struct((s["start"] + by).alias("start"), s["place"].alias("place"), s["kind"].alias("kind"), (s["end"] + by).alias("end"))
+
+                def shifted(at: Column) -> Column:
+                    return F.transform(blocks, lambda b, k: F.transform(b["spans"], lambda s: moved(s, F.get(at, k))))
+
+                return F.flatten(let(starts, shifted))
+
+            # Appending to an array copies it, so matches are placed in blocks, and blocks among each other.
+            count = F.floor((F.size(found) - 1) / BLOCK).cast("int")
+            return let(F.transform(F.sequence(F.lit(0), count), block), placed)
 
         between = F.split(text, rule.pattern, -1)
         values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found

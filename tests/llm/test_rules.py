@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,20 @@ def test_scan_against_a_plain_search(spark):
     assert secret_index.report(frame(spark, [])).count() == 0
 
 
+def test_many_matches_of_one_text_are_placed_in_linear_time(spark, monkeypatch):
+    text = "token=abcdefgh1 é " * 40_000
+    started = time.time()
+    row = secret_index.scan(frame(spark, [document(1, text)])).select("spans").first()
+    spans = [(s["start"], s["end"]) for s in row["spans"]]
+    assert spans == [(18 * i, 18 * i + 15) for i in range(40_000)]
+    assert time.time() - started < 60
+    # Blocks of any size give the same.
+    short = [document(1, text[:900] + "password: ab " + text[:300]), document(2, "AKIA" + "A" * 20)]
+    want = secret_index.report(frame(spark, short)).collect()
+    monkeypatch.setattr(secret_index, "BLOCK", 3)
+    assert secret_index.report(frame(spark, short)).collect() == want
+
+
 def test_needed_strings():
     needed = secret_index.needed
     assert needed("AKIA[A-Z0-9]{12,}") == [frozenset({"akia"})]
