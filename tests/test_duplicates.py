@@ -305,6 +305,24 @@ def test_candidates_grow_no_faster_than_the_keys(spark):
     assert met(8000) <= 5 * met(2000)
 
 
+@pytest.mark.parametrize("strategy", P.STRATEGIES)
+def test_plans_do_not_hold_what_was_measured(spark, monkeypatch, strategy):
+    """The driver keeps texts of all plans, so counts of 65,536 buckets mustn't be in them."""
+    monkeypatch.setattr(P, "CANDIDATE_COST", 1e9)
+    rng = random.Random(1)
+    keys = {i: "".join(rng.choice("0123456789abcdef") for _ in range(22)) + f" unit {i % 7}" for i in range(1200)}
+    plans = []
+
+    def noted(df):
+        plans.append(len(df._jdf.queryExecution().toString()))
+        return durable(df)
+
+    monkeypatch.setattr(P, "durable", noted)
+    found = P.row_pairs(frame(spark, keys), strategy=strategy, threshold=0.85)
+    plans.append(len(found._jdf.queryExecution().toString()))
+    assert len(plans) > 2 and max(plans) < 200_000
+
+
 def groups_frame(spark):
     rows = [(1, 1, "leader", 1.0, "a"), (1, 2, "duplicate", 0.9, "ab"), (5, 5, "leader", 1.0, "b"), (5, 7, "duplicate", 0.9, "b")]
     return spark.createDataFrame(rows, "leader_id long, row_id long, role string, similarity double, comparison_value string")
