@@ -10,8 +10,11 @@ add up, so a task sends one row per shape and run.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,9 @@ TEXT_CHARACTERS = 95
 PATTERN_BITS = 8
 # Branches of a pattern at most; columns with far more shapes by an estimate aren't looked at closer.
 MOST_SHAPES = 8
+# Shapes and runs that a task holds before it sends what it has seen of them.
+HELD_RUNS = 50_000
+SEEN = "original_name string, shape string, place int, n long, shortest int, longest int, chars long, first string, last string"
 
 
 def shape_of(value: Column) -> Column:
@@ -65,6 +71,49 @@ def _bits(n: Column, shortest: Column, longest: Column, chars: Column, first: Co
     return F.when(first == last, F.lit(0.0)).otherwise(n * F.log2((longest - shortest + 1).cast("double")) + chars * each)
 
 
+def _seen() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts, lengths, smallest and largest text of each shape and run, from rows of a name, a shape and its runs.
+
+    A closure, so executors need no module.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = [f.split() for f in SEEN.split(", ")]
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+        held: dict[tuple[str, str, int], list] = {}
+
+        def emit() -> pa.RecordBatch:
+            columns = list(zip(*((*key, *seen) for key, seen in held.items())))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [name for name, _ in fields])
+
+        for batch in batches:
+            names, shapes, runs = (batch.column(i) for i in range(3))
+            coded = [c.dictionary_encode() for c in (names, shapes)]
+            name, shape = (c.indices.to_numpy() for c in coded)
+            group = name.astype(np.int64) * max(len(coded[1].dictionary), 1) + shape
+            order = np.argsort(group, kind="stable")
+            cuts = np.flatnonzero(np.diff(group[order])) + 1
+            starts, texts = runs.offsets.to_numpy(), runs.values
+            for rows in np.split(order, cuts) if len(order) else []:
+                key = coded[0].dictionary[name[rows[0]]].as_py(), coded[1].dictionary[shape[rows[0]]].as_py()
+                sizes = starts[rows + 1] - starts[rows]
+                for place in range(int(sizes.max())):
+                    found = texts.take(pa.array(starts[rows[sizes > place]] + place))
+                    lengths, ends = pc.utf8_length(found).to_numpy(), pc.min_max(found)
+                    now = [len(found), int(lengths.min()), int(lengths.max()), int(lengths.sum()), ends["min"].as_py(), ends["max"].as_py()]
+                    was = held.get((*key, place))
+                    if was is not None:
+                        now = [how(x, y) for how, x, y in zip((int.__add__, min, max, int.__add__, min, max), was, now)]
+                    held[(*key, place)] = now
+            if len(held) >= HELD_RUNS:
+                yield emit()
+        if held:
+            yield emit()
+
+    return run
+
+
 def induced_patterns(df: DataFrame, columns: Sequence[str], most_shapes: int = MOST_SHAPES) -> DataFrame:
     """``original_name``, ``regex``, ``shapes`` and ``filled_count`` of the columns that have a pattern.
 
@@ -79,11 +128,11 @@ def induced_patterns(df: DataFrame, columns: Sequence[str], most_shapes: int = M
         return df.sparkSession.createDataFrame([], schema)
     named = [F.struct(F.lit(c).alias("original_name"), _filled(c).alias("value")) for c in chosen]
     cells = df.select(F.inline(F.array(*named))).filter("value IS NOT NULL")
-    runs = cells.select("original_name", shape_of(F.col("value")).alias("shape"), F.posexplode(F.regexp_extract_all("value", F.lit(RUN), F.lit(0))).alias("place", "run"))
-    length = F.length("run")
-    seen = runs.groupBy("original_name", "shape", "place").agg(
-        F.count(F.lit(1)).alias("n"), F.min(length).alias("shortest"), F.max(length).alias("longest"),
-        F.sum(length).alias("chars"), F.min("run").alias("first"), F.max("run").alias("last"),
+    runs = cells.select("original_name", shape_of(F.col("value")).alias("shape"), F.regexp_extract_all("value", F.lit(RUN), F.lit(0)).alias("runs"))
+    # Spark sorts all rows to find smallest and largest texts, so tasks add up what they hold before.
+    seen = runs.mapInArrow(_seen(), SEEN).groupBy("original_name", "shape", "place").agg(
+        F.sum("n").alias("n"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"),
+        F.sum("chars").alias("chars"), F.min("first").alias("first"), F.max("last").alias("last"),
     )
     shortest, longest, first, last = (F.col(c) for c in ("shortest", "longest", "first", "last"))
     pieces = seen.withColumn("piece", _piece(shortest, longest, first, last)).withColumn(

@@ -176,3 +176,16 @@ def test_learned_patterns_replace_the_catch_all_of_text_only(spark):
     assert learned["n"] == plain["n"] and plain["code"]["regex"] == "^.*$"
     assert learned["code"]["regex"] == r"^AB\-[0-9]{5}$"
     assert induced_patterns(df.limit(0), df.columns).count() == 0 and induced_patterns(df, []).count() == 0
+
+
+def test_runs_of_values_are_added_up_before_spark_sorts_them(spark, monkeypatch):
+    """Smallest and largest texts need a sort, which must not hold a row per run of each value."""
+    df = spark.range(4000, numPartitions=2).selectExpr("concat('AB-', id % 97, '/', id) AS code", "cast(id AS string) AS n")
+    df = df.union(spark.createDataFrame([("ab ", None), (None, ""), ("é-7", "12")], "code string, n string"))
+    found = induced_patterns(df, df.columns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "posexplode" not in plan
+    want = sorted(map(tuple, found.collect()))
+    assert [r[1] for r in want if r[0] == "n"] == [r"^[0-9]{1,4}$"]
+    monkeypatch.setattr("sparkscour.operators.patterns.HELD_RUNS", 1)
+    assert sorted(map(tuple, induced_patterns(df.repartition(7), df.columns).collect())) == want
