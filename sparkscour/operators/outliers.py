@@ -26,6 +26,8 @@ OUTLIER_SCORE = 0.7
 DRAW_BITS = 48
 # Values beyond this count as this, so that splits stay finite.
 LARGEST = 1e300
+# Rows that are scored together; what they need stays in a core's cache.
+SCORED_ROWS = 10_000
 
 NODE_SCHEMA = (
     "tree int, node int, feature int, split double, left int, right int, path double, sample int"
@@ -75,9 +77,10 @@ def iforest_fit(
     def draw(tree: Column) -> Column:
         return (F.col("_first") + tree * F.col("_second")).bitwiseAND(F.lit((1 << DRAW_BITS) - 1))
 
-    drawing = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < cut)
+    # Every row meets every tree, so draws are compared as rows of a loop, not by a function on arrays.
+    each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     numbered = values.withColumns({"_first": number(1), "_second": number(1 + DRAW_BITS // 4)})
-    drawn = numbered.withColumn("tree", F.explode(drawing)).withColumn("_draw", draw(F.col("tree")))
+    drawn = numbered.withColumn("tree", each).withColumn("_draw", draw(F.col("tree"))).filter(F.col("_draw") < cut)
     # Spark applies the limit of the rank in each task before the shuffle, then to what is left.
     order = Window.partitionBy("tree").orderBy("_draw", "row_id")
     picked = drawn.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
@@ -122,6 +125,17 @@ def iforest_fit(
     return picked.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def _levels(starts: np.ndarray, inner: np.ndarray, child: np.ndarray) -> list[int]:
+    """How many steps lead from each root to its deepest leaf."""
+    out = []
+    for root in starts:
+        at, n = np.array([root]), 0
+        while (at := at[inner[at]]).size:
+            at, n = np.concatenate([child[2 * at], child[2 * at + 1]]), n + 1
+        out.append(n)
+    return out
+
+
 def iforest_score(
     df: DataFrame,
     nodes: DataFrame,
@@ -140,35 +154,44 @@ def iforest_score(
     table = nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)
     starts = table.groupby("tree").cumcount().eq(0).to_numpy().nonzero()[0]
     base = np.repeat(starts, np.diff(np.append(starts, len(table))))
-    feature = table["feature"].to_numpy(np.int32)
+    inner = table["feature"].to_numpy() >= 0
+    own = np.arange(len(table))
+    # A leaf is its own child, so that all rows take the same steps.
+    feature = np.where(inner, table["feature"].to_numpy(), 0).astype(np.intp)
     split = table["split"].to_numpy(float)
-    left = np.where(feature >= 0, table["left"].to_numpy() + base, -1).astype(np.int32)
-    right = np.where(feature >= 0, table["right"].to_numpy() + base, -1).astype(np.int32)
+    left, right = (np.where(inner, table[side].to_numpy() + base, own) for side in ("left", "right"))
+    child = np.stack([right, left], axis=1).ravel().astype(np.intp)
     path = table["path"].to_numpy(float)
     norm = max(mean_path(int(table["sample"].max())), 1e-12) if len(table) else 1.0
-    forest = df.sparkSession.sparkContext.broadcast(
-        (starts.astype(np.int32), feature, split, left, right, path, norm)
-    )
+    steps = _levels(starts, inner, child)
+    forest = df.sparkSession.sparkContext.broadcast((starts.astype(np.intp), steps, feature, split, child, path, norm))
+    rows_at_once = SCORED_ROWS
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        roots, feat, cut, lo, hi, depth, scale = forest.value
+        roots, levels, feat, cut, after, depth, scale = forest.value
         for pdf in parts:
             x = pdf.to_numpy(dtype=float)
             total = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for root in roots:
-                at = np.full(len(x), root, dtype=np.int32)
-                live = rows
-                while len(live):
-                    here = at[live]
-                    inner = feat[here] >= 0
-                    live, here = live[inner], here[inner]
-                    if not len(live):
-                        break
-                    goes_left = x[live, feat[here]] <= cut[here]
-                    at[live] = np.where(goes_left, lo[here], hi[here])
-                total += depth[at]
+            for low in range(0, len(x), rows_at_once):
+                part = x[low : low + rows_at_once]
+                n = len(part)
+                flat, cells = part.ravel(), np.arange(n) * part.shape[1]
+                at, here, goes_left = np.empty(n, np.intp), np.empty(n, np.intp), np.empty(n, bool)
+                value, bound, summed = np.empty(n), np.empty(n), total[low : low + n]
+                # Places are always inside the arrays; "clip" spares a copy.
+                for root, level in zip(roots, levels):
+                    at.fill(root)
+                    for _ in range(level):
+                        np.take(feat, at, out=here, mode="clip")
+                        np.add(here, cells, out=here)
+                        np.take(flat, here, out=value, mode="clip")
+                        np.take(cut, at, out=bound, mode="clip")
+                        np.less_equal(value, bound, out=goes_left)
+                        np.add(at, at, out=at)
+                        np.add(at, goes_left, out=here)
+                        np.take(after, here, out=at, mode="clip")
+                    summed += np.take(depth, at, out=value, mode="clip")
             yield pd.Series(np.power(2.0, -total / max(len(roots), 1) / scale))
 
     features = F.struct(*[v.cast("double").alias(c) for v, c in zip(values, columns)])

@@ -208,3 +208,23 @@ def test_iso_split(spark):
 def test_a_score_at_the_threshold_stays(spark):
     scored = spark.createDataFrame([(1, 0.7), (2, np.nextafter(0.7, 1).item())], "row_id long, score double")
     assert [r["row_id"] for r in O.drop_outliers(scored).collect()] == [1]
+
+
+def test_draws_of_a_forest_need_no_function_per_row_and_tree(spark):
+    df = spark.range(500).selectExpr("id AS row_id", "cast(id AS double) AS x")
+    plan = O.iforest_fit(df, ["x"], trees=7, sample=16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "lambda" not in plan
+
+
+def test_scores_of_uneven_trees_and_missing_numbers(spark):
+    """A tree that is one long path, one that is a leaf, and values that compare with nothing."""
+    chain = [(0, 2 * k, 0, float(k), 2 * k + 1, 2 * k + 2, 0.0, 64) for k in range(30)]
+    chain += [(0, 2 * k + 1, -1, 0.0, -1, -1, k + 1.5, 64) for k in range(30)] + [(0, 60, -1, 0.0, -1, -1, 30.0, 64)]
+    nodes = spark.createDataFrame([*chain, (1, 0, -1, 0.0, -1, -1, 3.0, 64)], O.NODE_SCHEMA)
+    values = [*map(float, range(-2, 33)), float("nan"), float("inf"), None]
+    df = spark.createDataFrame(list(enumerate(values)), "row_id long, x double")
+    got = {r["row_id"]: r["score"] for r in O.iforest_score(df, nodes, ["x"]).collect()}
+    for i, x in enumerate(values):
+        first = next((k for k in range(30) if x is not None and x <= k), None)
+        path = (30.0 if first is None else first + 1.5) + 3.0
+        assert got[i] == pytest.approx(2.0 ** (-path / 2 / O.mean_path(64)), rel=1e-12)
