@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkscour.operators import components as C
 from sparkscour.operators import groups as G
@@ -305,6 +306,26 @@ def test_candidates_grow_no_faster_than_the_keys(spark):
     assert met(8000) <= 5 * met(2000)
 
 
+def test_texts_of_common_words_meet_without_being_compared(spark):
+    """Texts of one small vocabulary share rare words but aren't alike; near copies of short and long ones are."""
+    rng = random.Random(8)
+    keys = {i: " ".join(rng.sample([f"w{k}" for k in range(300)], 100)) for i in range(1, 200)}
+    near = {1000 + i: keys[i] + f" more{i}" for i in range(1, 10)}
+    long = [f"word{k}" for k in range(6000)]
+    near |= {2000: " ".join(long), 2001: " ".join(long[300:]), 2002: " ".join(long[:-1200]), 2003: " ".join(long[::2])}
+    df = frame(spark, keys | near)
+    ids = firsts(keys | near)
+    sets = {i: set(k.split()) for i, k in ids.items()}
+    want = {(i, j, s) for i in sets for j in sets if i < j and (s := len(sets[i] & sets[j]) / len(sets[i] | sets[j])) >= 0.8}
+    assert {tuple(r) for r in P.row_pairs(df, strategy="jaccard", threshold=0.8).collect()} == want and len(want) > 9
+    distinct = durable(P.distinct_keys(df))
+    plan = P.common_items(distinct, "jaccard", 0.8)
+    found = durable(P._candidates(distinct, distinct, plan, F.col("s_id") < F.col("r_id"), "jaccard", 0.8))
+    assert found.count() <= len(want) + 20
+    found = P._by_numbers(found, distinct, distinct, 0.8)
+    assert {tuple(sorted(r)) for r in found.collect()} >= {p[:2] for p in want}
+
+
 @pytest.mark.parametrize("strategy", P.STRATEGIES)
 def test_plans_do_not_hold_what_was_measured(spark, monkeypatch, strategy):
     """The driver keeps texts of all plans, so counts of 65,536 buckets mustn't be in them."""
