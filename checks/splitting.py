@@ -328,9 +328,9 @@ def run_splits(spark, d):
     WHERE NOT {duck.empty('body', 'cleaner')} AND NOT regexp_matches(body, '^[A-Z][a-z ]+')""")
 def stream_clean(spark, d):
     stream = (
+        # The table may be one file or a folder of part files. A stream takes a file by a pattern only.
         spark.readStream.schema(table(spark, d, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(d)
+        .parquet(f"{d}/document[s].parquet")
         .select(F.col("doc_id").alias("row_id"), "text", "source")
     )
     rules = [
@@ -340,4 +340,5 @@ def stream_clean(spark, d):
     invalid = clean_stream(stream, rules)[1]
     out = scratch(spark)
     write_available(invalid, f"{out}/rows", f"{out}/progress").awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    # A table without invalid cells leaves no file to take the columns from.
+    return spark.read.schema(invalid.schema).parquet(f"{out}/rows")

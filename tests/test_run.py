@@ -5,6 +5,7 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
+from checks import QUERIES, load_all
 from sparkscour.functions.standardize import COMPANY_SUFFIXES, company_name, iso_date, phone_e164, usd
 from sparkscour.operators.pairs import distinct_keys, similarity_pairs
 from sparkscour.operators.profile import propose_contract
@@ -15,6 +16,7 @@ from sparkscour.session import durable
 from sparkscour.sources.contracts import ColumnRule, rules_of
 from sparkscour.streaming.clean import clean_stream, write_available
 
+load_all()
 ROWS = [
     (1, "Ann  Lee", "(555) 123-4567", "10"),
     (2, "ann lee!", "5551234567", "11"),
@@ -127,6 +129,26 @@ def test_stream_equals_batch(spark, table, tmp_path):
         assert batch.count() > 0
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_query_reads_a_file_or_a_folder_of_parts(spark, tmp_path, parts):
+    texts = [(i, "Plain words" if i % 3 else "no capital", "web") for i in range(30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    for name, rows in (("some", df), ("none", df.filter("doc_id % 3 > 0"))):
+        stored, folder = str(tmp_path / f"{name}_stored"), tmp_path / name
+        rows.repartition(parts).write.parquet(stored)
+        folder.mkdir()
+        files = sorted((tmp_path / f"{name}_stored").glob("part-*"))
+        if parts == 1:
+            files[0].rename(folder / "documents.parquet")
+        else:
+            (folder / "documents.parquet").mkdir()
+            for file in files:
+                file.rename(folder / "documents.parquet" / file.name)
+        found = QUERIES["stream_clean"](spark, str(folder))
+        want = [(i, "body", "no capital") for i in range(0, 30, 3)] if name == "some" else []
+        assert sorted(map(tuple, found.collect())) == want
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
