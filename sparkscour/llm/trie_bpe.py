@@ -32,6 +32,8 @@ CACHED_PIECES = 300_000
 # Pairs of tokens of which a worker remembers whether they stay apart.
 CACHED_PAIRS = 300_000
 CHUNK_WORDS = 1 << 18
+# Texts of a batch whose ids are held at once.
+ROWS_AT_ONCE = 256
 LONG_TEXT = 1 << 20
 # A space between two white characters, or after one at the end of the text.
 ODD_SPACE = re.compile(r" (?<=\s )(?:\s|\Z)")
@@ -258,6 +260,31 @@ def encoder_for(spec: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], encoder: Encoder, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Ids and digests of ``(doc_id, text)``; few rows go out at a time, as ids take as much memory as texts."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    for batch in batches:
+        for low in range(0, max(batch.num_rows, 1), ROWS_AT_ONCE):
+            part = batch.slice(low, ROWS_AT_ONCE)
+            rows = []
+            for one in part.column(1):
+                n, ids_hash, text_hash, kept = 0, hashlib.sha256(), hashlib.sha256(), []
+                for ids in encoder.encode(one.as_py()):
+                    n += len(ids) // 4
+                    ids_hash.update(ids)
+                    text_hash.update(encoder.decode(ids))
+                    if with_ids:
+                        kept.append(ids)
+                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), b"".join(kept)))
+            columns = [
+                part.column(0),
+                pa.array([r[0] for r in rows], pa.int64()),
+                pa.array([r[1] for r in rows], pa.string()),
+                pa.array([r[2] for r in rows], pa.string()),
+            ]
+            if with_ids:
+                columns.append(pa.array([np.frombuffer(r[3], "<i4") for r in rows], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def encode(docs: DataFrame, vocabulary: str, with_ids: bool = False, text: str = "text") -> DataFrame:
@@ -276,29 +303,7 @@ def encode(docs: DataFrame, vocabulary: str, with_ids: bool = False, text: str =
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_for(spec.value)
-        for batch in batches:
-            rows = []
-            for one in batch.column(1):
-                n, ids_hash, text_hash, kept = 0, hashlib.sha256(), hashlib.sha256(), []
-                for ids in encoder.encode(one.as_py()):
-                    n += len(ids) // 4
-                    ids_hash.update(ids)
-                    text_hash.update(encoder.decode(ids))
-                    if with_ids:
-                        kept.append(ids)
-                rows.append((n, ids_hash.hexdigest(), text_hash.hexdigest(), b"".join(kept)))
-            columns = [
-                batch.column(0),
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.string()),
-                pa.array([r[2] for r in rows], pa.string()),
-            ]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array([np.frombuffer(r[3], "<i4") for r in rows], pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+        return _encoded(batches, encoder_for(spec.value), with_ids)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     chosen = docs.select(name("doc_id").cast("long").alias("doc_id"), text_of(docs, text).alias("text"))

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,6 +97,17 @@ def pages(spark):
     return rows, spark.createDataFrame([(*r, "r", "d", 1) for r in rows], PAGES)
 
 
+def test_ids_of_few_texts_are_held_at_once(encoder, library):
+    texts = [f"text {k} of many" * (k % 3) for k in range(700)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(700), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    parts = list(trie_bpe._encoded(iter([whole.slice(0, 0), whole]), encoder, True))
+    assert max(x.num_rows for x in parts) <= trie_bpe.ROWS_AT_ONCE < 700
+    made = pa.Table.from_batches(parts)
+    assert made["doc_id"].to_pylist() == list(range(700))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert made["ids"].to_pylist() == want and made["n_tokens"].to_pylist() == [len(x) for x in want]
+
+
 def test_round_trip(spark, tmp_path):
     rows, df = pages(spark)
     got = warc.round_trip(df, str(tmp_path / "warc")).collect()
