@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 
 from sparkscour.llm.common import name, text_of
 from sparkscour.llm.components import components
-from sparkscour.llm.jaccard_tiles import PAIR, _tiles
+from sparkscour.llm.jaccard_tiles import BLOCK, PAIR, _tiles
 from sparkscour.session import durable
 
 SAMPLES = 96
@@ -41,6 +41,11 @@ LEAST = 0.7
 # Partners of a text that are compared before all others, and bits of the filter of texts.
 BEST = 2
 FILTER_BITS = 1 << 24
+# Pairs of a block that are compared at once, and pairs that are held before they go out.
+AT_ONCE = 1 << 12
+HELD_PAIRS = 1 << 16
+# Characters that must agree where two texts are brought into step again, and how far that is looked for.
+STEP, REACH = 8, 200
 
 
 @lru_cache(maxsize=1)
@@ -384,6 +389,38 @@ def _near_pairs(least: float):
     return run
 
 
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scale and one bit of each sample of both scales."""
+    for batch in batches:
+        if batch.num_rows:
+            side = Side(batch.column(0), batch.column(1), batch.column(0), batch.column(2))
+            bits = np.packbits(side.samples & 1, axis=-1).reshape(batch.num_rows, -1)
+            rows = np.concatenate([side.scale[:, None].astype(np.uint8), bits], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "sketch"])
+
+
+def _maybe_alike(least: float):
+    """The pairs whose sketches do not rule out that their fingerprints are alike."""
+    # Samples with different bits differ, and all samples count at most.
+    most = SAMPLES * (1 - CHANCE) * (1 - least) + 1e-6
+
+    def side(sketches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(sketches), 1 + SAMPLES // 4)
+        return raw[:, 0].astype(np.int64), raw[:, 1:].reshape(-1, 2, SAMPLES // 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, (p, x), (q, y) = np.arange(batch.num_rows), side(batch.column(2)), side(batch.column(3))
+            level = np.maximum(p, q)
+            differ = x[at, np.minimum(level - p, 1)] ^ y[at, np.minimum(level - q, 1)]
+            good = (np.abs(p - q) <= 1) & (np.bitwise_count(differ).sum(axis=1) <= most)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
 def _alike(least: float):
     """The pairs whose fingerprints are alike, with their likeness."""
 
@@ -399,10 +436,36 @@ def _alike(least: float):
     return run
 
 
+def _met(left: Side, right: Side, least: float, best: int | None) -> tuple[np.ndarray, bool]:
+    """Pairs of one or two blocks, of different components, that are alike; whether ``best`` left any out."""
+
+    def alike(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        far = most_edits(np.maximum(left.n[i], right.n[j]), least)
+        good = (left.label[i] != right.label[j]) & (np.abs(left.n[i] - right.n[j]) <= far)
+        i, j = i[good], j[good]
+        near = likenesses(left, i, right, j)
+        good = near >= least
+        return i[good], j[good], near[good]
+
+    n, found, cut = len(left.node), [np.empty((0, 2), np.int64)], False
+    if left is right and n * (n - 1) // 2 <= AT_ONCE:
+        i, j, _ = alike(*np.triu_indices(n, 1))
+        if best is None or np.bincount(np.concatenate([i, j]), minlength=1).max() <= best:
+            return np.stack([left.node[i], left.node[j]], axis=1), False
+    every = np.arange(len(right.node))
+    for k in range(n):
+        i, j, near = alike(np.full(len(every), k), every)
+        if best is not None and len(j) > best:
+            i, j, cut = i[:best], j[np.argpartition(-near, best)[:best]], True
+        found.append(np.stack([left.node[i], right.node[j]], axis=1))
+    return np.concatenate(found), cut
+
+
 def _blocks(least: float, best: int | None):
     """Pairs of texts of different components in one or two blocks of a band that are alike.
 
-    With ``best``, of each text only so many, those that are most alike.
+    With ``best``, of each text only so many, those that are most alike; a third column then names the
+    bands (without pair) of which some were left out.
     """
 
     def side(rows: pa.Array) -> Side:
@@ -410,22 +473,29 @@ def _blocks(least: float, best: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, cuts = [], []
+
+            def emit() -> pa.RecordBatch:
+                pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+                gone, long = pa.nulls(len(cuts), pa.int64()), pa.int64()
+                columns = [pa.concat_arrays([pa.array(pairs[:, k], long), gone]) for k in (0, 1)]
+                if best is not None:
+                    columns.append(pa.concat_arrays([pa.nulls(len(pairs), long), pa.array(cuts, long)]))
+                found.clear()
+                cuts.clear()
+                return pa.RecordBatch.from_arrays(columns, ["a", "b", "tile"][: len(columns)])
+
             for k in range(batch.num_rows):
                 left = side(batch.column(0)[k].values)
                 right = side(batch.column(1)[k].values) if batch.column(1)[k].is_valid else left
-                found = []
-                for i in range(len(left.node)):
-                    n = np.maximum(left.n[i], right.n)
-                    good = (right.label != left.label[i]) & (np.abs(right.n - left.n[i]) <= most_edits(n, least))
-                    j = np.flatnonzero(good)
-                    near = likenesses(left, np.full(len(j), i), right, j)
-                    j, near = j[near >= least], near[near >= least]
-                    if best is not None and len(j) > best:
-                        j = j[np.argpartition(-near, best)[:best]]
-                    found.append(np.stack([np.full(len(j), left.node[i]), right.node[j]], axis=1))
-                pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-                if len(pairs):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                pairs, cut = _met(left, right, least, best)
+                found.append(pairs)
+                if cut:
+                    cuts.append(batch.column(2)[k].as_py())
+                if sum(map(len, found[-2:])) and sum(map(len, found)) >= HELD_PAIRS:
+                    yield emit()
+            if found:
+                yield emit()
 
     return run
 
@@ -486,15 +556,47 @@ def edits(a: str, b: str, most: int) -> int:
     return score if score <= most else -1
 
 
-def _within(least: float):
-    """The pairs of texts within the bound of edits, with their distance."""
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``.
+
+    Often a bound from above tells: what lies between the common beginning and end, or the edits made by
+    walking along both texts and bringing them into step again where they differ. Else the distance does.
+    """
+    if abs(len(a) - len(b)) > most:
+        return False
+    at = shared(a, 0, b, 0)
+    x, y = a[at:][::-1], b[at:][::-1]
+    at = shared(x, 0, y, 0)
+    x, y = x[at:], y[at:]
+    if max(len(x), len(y)) <= most:
+        return True
+    i = j = made = 0
+    while made <= most:
+        k = shared(x, i, y, j)
+        i, j = i + k, j + k
+        if i >= len(x) or j >= len(y):
+            break
+        ahead = x.find(y[j : j + STEP], i + 1, i + REACH)
+        back = y.find(x[i : i + STEP], j + 1, j + REACH)
+        if x[i + 1 : i + 1 + STEP] == y[j + 1 : j + 1 + STEP] or ahead < 0 and back < 0:
+            i, j, made = i + 1, j + 1, made + 1
+        elif back < 0 or 0 <= ahead and ahead - i <= back - j:
+            i, made = ahead, made + ahead - i
+        else:
+            j, made = back, made + back - j
+    return made + max(len(x) - i, len(y) - j) <= most or edits(x, y, most) >= 0
+
+
+def _within(least: float, measured: bool = True):
+    """The pairs of texts within the bound of edits, with their distance if that is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())
-            far = [edits(x, y, int(most_edits(max(len(x), len(y)), least))) for x, y in texts]
+            bounded = [(x, y, int(most_edits(max(len(x), len(y)), least))) for x, y in texts]
+            far = [edits(*z) if measured else None if within(*z) else -1 for z in bounded]
             made = [*batch.columns[:3], pa.array(far, pa.int32())]
-            good = pa.array([d >= 0 for d in far], pa.bool_())
+            good = pa.array([d is None or d >= 0 for d in far], pa.bool_())
             yield pa.RecordBatch.from_arrays(made, ["a", "b", "likeness", "distance"]).filter(good)
 
     return run
@@ -509,12 +611,13 @@ class Search:
     ``printed`` has ``doc_id``, ``node``, ``n_chars`` and ``print`` of each document, ``docs`` their texts.
     Texts of a band are first compared with the shortest one of a compatible length and the one before.
     Then, in bands whose texts are not all in one component, each text is compared with those of other
-    components that are most alike, and at last with all that are alike, block by block. So any two texts
-    that share a band key are in one component or were compared.
+    components that are most alike, and at last, in bands where that left some out, with all that are alike,
+    block by block. So any two texts that share a band key are in one component or were compared. Links have
+    a ``distance`` if it is ``measured``; else it is null, and only known to be within the bound.
     """
 
-    def __init__(self, docs: DataFrame, printed: DataFrame, least: float = LEAST, text: str = "text"):
-        self.least = least
+    def __init__(self, docs: DataFrame, printed: DataFrame, least: float = LEAST, text: str = "text", measured: bool = True):
+        self.least, self.measured = least, measured
         self.texts = docs.select(text_of(docs, text).alias("text")).select(F.xxhash64("text").alias("node"), "text")
         some = printed.filter(F.col("n_chars") > 0)
         self.nodes = durable(
@@ -524,6 +627,13 @@ class Search:
         )
         self.links, self.labels = self._found()
 
+    def _maybe_alike(self, pairs: DataFrame) -> DataFrame:
+        """The pairs without most that are not alike, so that few fingerprints are shuffled."""
+        bits = self.nodes.select("node", "n", "print").mapInArrow(_sketched, "node long, sketch binary")
+        side = lambda k, x: bits.select(F.col("node").alias(k), F.col("sketch").alias(x))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        return durable(both.select("a", "b", "x", "y").mapInArrow(_maybe_alike(self.least), PAIR))
+
     def _alike(self, pairs: DataFrame) -> DataFrame:
         side = lambda k, n, x: self.nodes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("print").alias(x))
         both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
@@ -554,13 +664,13 @@ class Search:
         return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs within the bound of edits, with their ``distance``."""
+        """The pairs within the bound of edits, with their ``distance`` if it is measured."""
         texts = self._texts_of(pairs)
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
             texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b"
         )
         columns = ("a", "b", "likeness", "x", "y")
-        return durable(both.select(*columns).mapInArrow(_within(self.least), f"{LINKS}, distance int"))
+        return durable(both.select(*columns).mapInArrow(_within(self.least, self.measured), f"{LINKS}, distance int"))
 
     def _open(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """The members of bands that hold several components."""
@@ -574,41 +684,62 @@ class Search:
         return durable(known.join(held, "tile"))
 
     def _meetings(self, members: DataFrame) -> DataFrame:
-        """Blocks with themselves (``other`` is null) and with later ones of their band."""
-        rows = members.join(self.nodes.select("node", "print"), "node").groupBy("tile", "block").agg(
-            F.min("n").alias("low"),
-            F.max("n").alias("high"),
-            F.collect_list(F.struct("node", "n", "label", "print")).alias("rows"),
-        )
-        inside = rows.select("rows", F.lit(None).cast(rows.schema["rows"].dataType).alias("other"))
-        many = durable(rows.join(members.filter(F.col("block") > 0).select("tile").distinct(), "tile", "left_semi"))
+        """Blocks with themselves (``other`` is null) and with later ones of their band, and its name."""
+        def blocks(some: DataFrame) -> DataFrame:
+            return some.join(self.nodes.select("node", "print"), "node").groupBy("tile", "block").agg(
+                F.min("n").alias("low"),
+                F.max("n").alias("high"),
+                F.collect_list(F.struct("node", "n", "label", "print")).alias("rows"),
+            )
+
+        rows = blocks(members)
+        inside = rows.select("rows", F.lit(None).cast(rows.schema["rows"].dataType).alias("other"), "tile")
+        long = members.filter(F.col("block") > 0).select("tile").distinct()
+        if long.isEmpty():
+            return inside
+        many = durable(blocks(members.join(long, "tile", "left_semi")))
         left = many.select("tile", F.col("block").alias("i"), F.col("high").alias("top"), "rows")
         right = many.select("tile", F.col("block").alias("j"), F.col("low").alias("bottom"), F.col("rows").alias("other"))
         # Blocks are in order of length, so only near ones are compatible.
         meet = (F.col("i") < F.col("j")) & (F.col("bottom") - F.col("top") <= F.floor(F.col("bottom") * F.lit(1 - self.least)))
-        return inside.unionByName(left.join(right, "tile").filter(meet).select("rows", "other"))
+        return inside.unionByName(left.join(right, "tile").filter(meet).select("rows", "other", "tile"))
 
     def _found(self) -> tuple[DataFrame, DataFrame]:
         postings = self.nodes.select("node", "n", "print").mapInArrow(_postings, "token long, node long, n long")
         ranged = postings.repartition("token").sortWithinPartitions("token", "n", "node")
         made = ranged.mapInArrow(_tiles, "tile long, block int, nodes array<long>, sizes array<long>")
         tiles = durable(made.dropDuplicates(["tile", "block"]))
-        near = tiles.select("nodes", "sizes").mapInArrow(_near_pairs(self.least), PAIR).distinct()
-        tried = self._alike(near)
+        near = tiles.select("nodes", "sizes").mapInArrow(_near_pairs(self.least), PAIR)
+        # Dealt by the column that they are joined by next, so that they are shuffled once.
+        tried = self._alike(self._maybe_alike(near.repartition("a").distinct()))
         links = self._verified(tried)
         labels = durable(components(links))
-        members = tiles.select("tile", "block", F.explode(F.arrays_zip("nodes", "sizes")).alias("x"))
+        # Tiles of up to three texts are never open.
+        wide = tiles.filter((F.col("block") > 0) | (F.size("nodes") > min(3, BLOCK - 1)))
+        members = wide.select("tile", "block", F.explode(F.arrays_zip("nodes", "sizes")).alias("x"))
         members = self._open(members.select("tile", "block", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n")), labels)
+        known = True  # whether the labels follow from all links
         for best in (BEST, None):
-            pairs = self._meetings(members).mapInArrow(_blocks(self.least, best), PAIR).distinct()
-            more = self._alike(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-            if more.isEmpty():
-                # Without a pair that is new among the best, there may be some among the others.
-                continue
-            tried = tried.unionByName(more)
-            links = links.unionByName(self._verified(more))
+            pairs = self._meetings(members).mapInArrow(_blocks(self.least, best), PAIR + ", tile long" * (best is not None))
+            cut = None
+            if best is not None:
+                met = durable(pairs)
+                pairs = met.filter(F.col("a").isNotNull()).select("a", "b")
+                # A band of which nothing was left out has no pair that wasn't compared.
+                cut = met.select("tile").filter(F.col("tile").isNotNull()).distinct()
+                cut = None if cut.isEmpty() else cut
+            more = self._alike(pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+            if not more.isEmpty():
+                tried = tried.unionByName(more)
+                links = links.unionByName(self._verified(more))
+                known = False
+            if cut is None:
+                break
+            if not known:
+                labels, known = durable(components(links)), True
+            members = self._open(members.join(cut, "tile", "left_semi"), labels)
+        if not known:
             labels = durable(components(links))
-            members = self._open(members, labels)
         return links, labels
 
     def classes(self) -> DataFrame:
@@ -627,7 +758,7 @@ def fingerprints_with_classes(docs: DataFrame, least: float = LEAST, text: str =
     An empty text is of its own class.
     """
     found = fingerprints(docs, text)
-    classes = Search(docs, found, least, text).classes()
+    classes = Search(docs, found, least, text, measured=False).classes()
     own = F.when(F.col("n_chars") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     return found.join(classes, "node", "left").withColumn("class_id", own).drop("node")
 

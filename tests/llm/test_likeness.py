@@ -223,6 +223,59 @@ def test_edits_within_a_bound():
         assert E.edits(a, "".join(b), most) == (want if want <= most else -1)
 
 
+def test_within_a_bound_is_what_the_distance_says():
+    rnd = random.Random(15)
+    for _ in range(600):
+        a = "".join(rnd.choice("abcdefg🙂") for _ in range(rnd.choice([0, 1, 5, 30, 90, 300])))
+        b = list(a) if rnd.random() < 0.8 else [rnd.choice("abc") for _ in range(rnd.randrange(90))]
+        for _ in range(rnd.choice([0, 1, 4, 30])):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + 1] = rnd.choice([[], ["c"], ["a", "b"], list(a[:20])])
+        far = E.edits(a, "".join(b), 1000)
+        for most in {0, 3, 20, max(0, far - 1), far, far + 1}:
+            assert E.within(a, "".join(b), most) == (far <= most)
+
+
+def test_scattered_edits_within_a_bound_need_no_distance(monkeypatch):
+    text = speech(random.Random(16), "bb", 400)
+    edited = "".join("#" if k % 40 == 0 else c for k, c in enumerate(text))
+    monkeypatch.setattr(E, "edits", None)
+    assert E.within(text, edited, len(text) * 3 // 10)
+
+
+def test_sketches_keep_all_pairs_that_are_alike_and_few_others():
+    texts = [r[1] for r in drifting(13)] + [speech(random.Random(i), "bb", 40 + i) for i in range(60)] + ["a", "ab"]
+    prints = [p for p, _ in E.prints_of(texts, [None] * len(texts))]
+    n, kept = pa.array(range(len(texts)), pa.int64()), pa.array(prints, pa.binary())
+    made = next(E._sketched(iter([pa.RecordBatch.from_arrays([n, n, kept], ["node", "n", "print"])])))
+    a, b = np.triu_indices(len(texts), 1)
+    sides = [made.column(1).take(pa.array(k)) for k in (a, b)]
+    batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *sides], ["a", "b", "x", "y"])
+    for least in (0.5, 0.7, 0.95):
+        found = next(E._maybe_alike(least)(iter([batch])))
+        got = set(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+        want = {(i, j) for i, j in zip(a.tolist(), b.tolist()) if E.likeness(prints[i], prints[j]) >= least}
+        assert want <= got and want
+    assert len(got) < len(a) / 2
+
+
+def test_only_bands_that_were_cut_are_named():
+    texts = [r[1] for r in drifting(13)]
+    prints = [p for p, _ in E.prints_of(texts, [None] * len(texts))]
+    rows = [{"node": i, "n": len(t), "label": i, "print": p} for i, (t, p) in enumerate(zip(texts, prints))]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("print", pa.binary())]))
+
+    def met(best):
+        sides = pa.array([rows, rows[:2], rows[:20]], kind), pa.array([None, None, rows[20:]], kind)
+        batch = pa.RecordBatch.from_arrays([*sides, pa.array([7, 8, 9], pa.int64())], ["rows", "other", "tile"])
+        return [r for b in E._blocks(0.7, best)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+
+    every = set(met(None))
+    some, whole = met(2), met(10**6)
+    assert {r[:2] for r in whole if r[2] is None} == every and all(r[2] is None for r in whole)
+    assert {r[2] for r in some} == {None, 7, 9} and {r[:2] for r in some if r[2] is None} < every
+
+
 def test_blocks_compare_all_of_other_components():
     texts = [r[1] for r in drifting(13)]
     prints = [p for p, _ in E.prints_of(texts, [None] * len(texts))]
