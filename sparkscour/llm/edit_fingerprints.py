@@ -46,6 +46,8 @@ AT_ONCE = 1 << 12
 HELD_PAIRS = 1 << 16
 # Characters that must agree where two texts are brought into step again, and how far that is looked for.
 STEP, REACH = 8, 200
+# Columns of a text's sketch.
+SKETCH = ["sketch0", "sketch1", "sketch2"]
 
 
 @lru_cache(maxsize=1)
@@ -318,6 +320,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
         .select("part", "doc_id", "node", "text", "after", "after_text")
         .mapInArrow(_at_ends, SCHEMA)
     )
+    ends = durable(ends)
     return along.filter(F.col("role") == DONE).unionByName(ends).drop("role", "part", "text")
 
 
@@ -345,12 +348,29 @@ def likenesses(a: Side, i: np.ndarray, b: Side, j: np.ndarray) -> np.ndarray:
     return np.where(same, 1.0, np.where((np.abs(p - q) <= 1) & (n > 0), near, 0.0))
 
 
+def sketches(side: Side) -> np.ndarray:
+    """One bit of each sample of both scales, eight to a byte."""
+    return np.packbits(side.samples & 1, axis=-1)
+
+
+def most_differing(least: float) -> float:
+    # Samples with different bits differ, and all samples count at most.
+    return SAMPLES * (1 - CHANCE) * (1 - least) + 1e-6
+
+
+def may_be_alike(p: np.ndarray, x: np.ndarray, q: np.ndarray, y: np.ndarray, most: float) -> np.ndarray:
+    """Whether the sketches ``x`` and ``y`` of scales ``p`` and ``q`` leave open that texts are alike."""
+    at, level = np.arange(len(p)), np.maximum(p, q)
+    differ = x[at, np.minimum(level - p, 1)] ^ y[at, np.minimum(level - q, 1)]
+    return (np.abs(p - q) <= 1) & (np.bitwise_count(differ).sum(axis=1) <= most)
+
+
 def most_edits(n, least: float):
     return np.floor(n * (1 - least)).astype(np.int64)
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text and band key: the keys of ``band_keys`` as numbers."""
+    """A row per text and band key, the keys of ``band_keys`` as numbers, with the text's sketch as numbers."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -364,25 +384,33 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key |= place << 4 * (SAMPLES // BANDS)
         full = 3 * np.count_nonzero(dealt, axis=2) >= 2 * (SAMPLES // BANDS)
         rows = np.nonzero(full)[0]
+        sketch = sketches(side).reshape(len(side.node), -1).view(np.int64)[rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key[full]), pa.array(side.node[rows]), pa.array(side.n[rows])], ["token", "node", "n"]
+            [pa.array(x) for x in (key[full], side.node[rows], side.n[rows], *sketch.T.copy())],
+            ["token", "node", "n", *SKETCH],
         )
 
 
 def _near_pairs(least: float):
-    """Each text of a block with the shortest of a compatible length, and with the one before it."""
+    """Each text of a block with the shortest of a compatible length, and with the one before it.
+
+    Pairs whose sketches rule out that they are alike are left out, so that they aren't shuffled.
+    """
+    most = most_differing(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.empty((0, 2), np.int64)]
-            for nodes, sizes in zip(batch.column(0), batch.column(1)):
-                ids, n = nodes.values.to_numpy(), sizes.values.to_numpy()
+            for row in zip(*batch.columns):
+                ids, n, *sketch = (x.values.to_numpy() for x in row)
+                bits = np.stack(sketch, axis=1).view(np.uint8).reshape(len(n), 2, -1)
+                scale = np.frexp(n.astype(np.float64))[1].astype(np.int64)
                 at, low = np.arange(len(n)), n - most_edits(n, least)
                 first = np.searchsorted(n, low)
-                far = first < at
-                found.append(np.stack([ids[first[far]], ids[at[far]]], axis=1))
-                next_ = n[:-1] >= low[1:]
-                found.append(np.stack([ids[:-1][next_], ids[1:][next_]], axis=1))
+                far, next_ = first < at, np.flatnonzero(n[:-1] >= low[1:])
+                i, j = np.concatenate([first[far], next_]), np.concatenate([at[far], next_ + 1])
+                good = may_be_alike(scale[i], bits[i], scale[j], bits[j], most)
+                found.append(np.stack([ids[i[good]], ids[j[good]]], axis=1))
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
@@ -394,15 +422,14 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             side = Side(batch.column(0), batch.column(1), batch.column(0), batch.column(2))
-            bits = np.packbits(side.samples & 1, axis=-1).reshape(batch.num_rows, -1)
+            bits = sketches(side).reshape(batch.num_rows, -1)
             rows = np.concatenate([side.scale[:, None].astype(np.uint8), bits], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "sketch"])
 
 
 def _maybe_alike(least: float):
     """The pairs whose sketches do not rule out that their fingerprints are alike."""
-    # Samples with different bits differ, and all samples count at most.
-    most = SAMPLES * (1 - CHANCE) * (1 - least) + 1e-6
+    most = most_differing(least)
 
     def side(sketches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(len(sketches), 1 + SAMPLES // 4)
@@ -412,10 +439,7 @@ def _maybe_alike(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, (p, x), (q, y) = np.arange(batch.num_rows), side(batch.column(2)), side(batch.column(3))
-            level = np.maximum(p, q)
-            differ = x[at, np.minimum(level - p, 1)] ^ y[at, np.minimum(level - q, 1)]
-            good = (np.abs(p - q) <= 1) & (np.bitwise_count(differ).sum(axis=1) <= most)
+            good = may_be_alike(*side(batch.column(2)), *side(batch.column(3)), most)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good))
 
     return run
@@ -436,8 +460,8 @@ def _alike(least: float):
     return run
 
 
-def _met(left: Side, right: Side, least: float, best: int | None) -> tuple[np.ndarray, bool]:
-    """Pairs of one or two blocks, of different components, that are alike; whether ``best`` left any out."""
+def _met(left: Side, right: Side, least: float, best: int | None) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of one or two blocks, of different components, that are alike; how much; whether ``best`` left any out."""
 
     def alike(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         far = most_edits(np.maximum(left.n[i], right.n[j]), least)
@@ -447,25 +471,27 @@ def _met(left: Side, right: Side, least: float, best: int | None) -> tuple[np.nd
         good = near >= least
         return i[good], j[good], near[good]
 
-    n, found, cut = len(left.node), [np.empty((0, 2), np.int64)], False
+    n, found, likes, cut = len(left.node), [np.empty((0, 2), np.int64)], [np.empty(0)], False
     if left is right and n * (n - 1) // 2 <= AT_ONCE:
-        i, j, _ = alike(*np.triu_indices(n, 1))
+        i, j, near = alike(*np.triu_indices(n, 1))
         if best is None or np.bincount(np.concatenate([i, j]), minlength=1).max() <= best:
-            return np.stack([left.node[i], left.node[j]], axis=1), False
+            return np.stack([left.node[i], left.node[j]], axis=1), near, False
     every = np.arange(len(right.node))
     for k in range(n):
         i, j, near = alike(np.full(len(every), k), every)
         if best is not None and len(j) > best:
-            i, j, cut = i[:best], j[np.argpartition(-near, best)[:best]], True
+            most = np.argpartition(-near, best)[:best]
+            i, j, near, cut = i[:best], j[most], near[most], True
         found.append(np.stack([left.node[i], right.node[j]], axis=1))
-    return np.concatenate(found), cut
+        likes.append(near)
+    return np.concatenate(found), np.concatenate(likes), cut
 
 
-def _blocks(least: float, best: int | None):
+def _blocks(least: float, best: int | None, liked: bool = False):
     """Pairs of texts of different components in one or two blocks of a band that are alike.
 
     With ``best``, of each text only so many, those that are most alike; a third column then names the
-    bands (without pair) of which some were left out.
+    bands (without pair) of which some were left out. With ``liked``, a last column has the likeness.
     """
 
     def side(rows: pa.Array) -> Side:
@@ -473,23 +499,28 @@ def _blocks(least: float, best: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, cuts = [], []
+            found, likes, cuts = [], [], []
 
             def emit() -> pa.RecordBatch:
-                pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+                pairs, at = np.unique(np.sort(np.concatenate(found), axis=1), axis=0, return_index=True)
                 gone, long = pa.nulls(len(cuts), pa.int64()), pa.int64()
-                columns = [pa.concat_arrays([pa.array(pairs[:, k], long), gone]) for k in (0, 1)]
+                columns = {x: pa.concat_arrays([pa.array(pairs[:, k], long), gone]) for k, x in enumerate("ab")}
                 if best is not None:
-                    columns.append(pa.concat_arrays([pa.nulls(len(pairs), long), pa.array(cuts, long)]))
+                    columns["tile"] = pa.concat_arrays([pa.nulls(len(pairs), long), pa.array(cuts, long)])
+                if liked:
+                    near = pa.array(np.concatenate(likes)[at])
+                    columns["likeness"] = pa.concat_arrays([near, pa.nulls(len(cuts), pa.float64())])
                 found.clear()
+                likes.clear()
                 cuts.clear()
-                return pa.RecordBatch.from_arrays(columns, ["a", "b", "tile"][: len(columns)])
+                return pa.RecordBatch.from_pydict(columns)
 
             for k in range(batch.num_rows):
                 left = side(batch.column(0)[k].values)
                 right = side(batch.column(1)[k].values) if batch.column(1)[k].is_valid else left
-                pairs, cut = _met(left, right, least, best)
+                pairs, near, cut = _met(left, right, least, best)
                 found.append(pairs)
+                likes.append(near)
                 if cut:
                     cuts.append(batch.column(2)[k].as_py())
                 if sum(map(len, found[-2:])) and sum(map(len, found)) >= HELD_PAIRS:
@@ -627,13 +658,6 @@ class Search:
         )
         self.links, self.labels = self._found()
 
-    def _maybe_alike(self, pairs: DataFrame) -> DataFrame:
-        """The pairs without most that are not alike, so that few fingerprints are shuffled."""
-        bits = self.nodes.select("node", "n", "print").mapInArrow(_sketched, "node long, sketch binary")
-        side = lambda k, x: bits.select(F.col("node").alias(k), F.col("sketch").alias(x))
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        return durable(both.select("a", "b", "x", "y").mapInArrow(_maybe_alike(self.least), PAIR))
-
     def _alike(self, pairs: DataFrame) -> DataFrame:
         side = lambda k, n, x: self.nodes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("print").alias(x))
         both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
@@ -641,7 +665,7 @@ class Search:
 
     def _texts_of(self, pairs: DataFrame) -> DataFrame:
         """One text of each node in the pairs; a bitmap of hashes keeps most others out of the shuffle."""
-        wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
         place = F.pmod("node", F.lit(FILTER_BITS)) + 1
         maps = (
             wanted.groupBy(F.bitmap_bucket_number(place).alias("part"))
@@ -661,7 +685,7 @@ class Search:
                 yield batch.filter(pa.array((known[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
 
         texts = self.texts.mapInArrow(likely, "node long, text string")
-        return texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+        return texts.join(wanted.distinct(), "node", "left_semi").dropDuplicates(["node"])
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs within the bound of edits, with their ``distance`` if it is measured."""
@@ -705,41 +729,53 @@ class Search:
         return inside.unionByName(left.join(right, "tile").filter(meet).select("rows", "other", "tile"))
 
     def _found(self) -> tuple[DataFrame, DataFrame]:
-        postings = self.nodes.select("node", "n", "print").mapInArrow(_postings, "token long, node long, n long")
+        long = "".join(f", {x} %s" for x in SKETCH)
+        postings = self.nodes.select("node", "n", "print").mapInArrow(
+            _postings, "token long, node long, n long" + long.replace("%s", "long")
+        )
         ranged = postings.repartition("token").sortWithinPartitions("token", "n", "node")
-        made = ranged.mapInArrow(_tiles, "tile long, block int, nodes array<long>, sizes array<long>")
+        made = ranged.mapInArrow(
+            _tiles, "tile long, block int, nodes array<long>, sizes array<long>" + long.replace("%s", "array<long>")
+        )
         tiles = durable(made.dropDuplicates(["tile", "block"]))
-        near = tiles.select("nodes", "sizes").mapInArrow(_near_pairs(self.least), PAIR)
+        near = tiles.select("nodes", "sizes", *SKETCH).mapInArrow(_near_pairs(self.least), PAIR)
         # Dealt by the column that they are joined by next, so that they are shuffled once.
-        tried = self._alike(self._maybe_alike(near.repartition("a").distinct()))
+        tried = self._alike(near.repartition("a").distinct())
         links = self._verified(tried)
         labels = durable(components(links))
         # Tiles of up to three texts are never open.
         wide = tiles.filter((F.col("block") > 0) | (F.size("nodes") > min(3, BLOCK - 1)))
         members = wide.select("tile", "block", F.explode(F.arrays_zip("nodes", "sizes")).alias("x"))
         members = self._open(members.select("tile", "block", F.col("x.nodes").alias("node"), F.col("x.sizes").alias("n")), labels)
-        known = True  # whether the labels follow from all links
+
+        def joined(fresh: DataFrame) -> DataFrame:
+            """The labels, once links that they don't follow from are added."""
+            old = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            return durable(components(old.unionByName(fresh.select("a", "b"))))
+
+        fresh = None  # links that the labels don't follow from
         for best in (BEST, None):
-            pairs = self._meetings(members).mapInArrow(_blocks(self.least, best), PAIR + ", tile long" * (best is not None))
+            kind = PAIR + ", tile long" * (best is not None) + ", likeness double"
+            pairs = self._meetings(members).mapInArrow(_blocks(self.least, best, True), kind)
             cut = None
             if best is not None:
                 met = durable(pairs)
-                pairs = met.filter(F.col("a").isNotNull()).select("a", "b")
+                pairs = met.filter(F.col("a").isNotNull()).drop("tile")
                 # A band of which nothing was left out has no pair that wasn't compared.
                 cut = met.select("tile").filter(F.col("tile").isNotNull()).distinct()
                 cut = None if cut.isEmpty() else cut
-            more = self._alike(pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+            more = durable(pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"))
             if not more.isEmpty():
                 tried = tried.unionByName(more)
-                links = links.unionByName(self._verified(more))
-                known = False
+                fresh = self._verified(more)
+                links = links.unionByName(fresh)
             if cut is None:
                 break
-            if not known:
-                labels, known = durable(components(links)), True
+            if fresh is not None:
+                labels, fresh = joined(fresh), None
             members = self._open(members.join(cut, "tile", "left_semi"), labels)
-        if not known:
-            labels = durable(components(links))
+        if fresh is not None:
+            labels = joined(fresh)
         return links, labels
 
     def classes(self) -> DataFrame:

@@ -201,55 +201,51 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tiles of a partition of postings that is sorted by shingle, size and node.
 
     A tile is a row per block of its nodes. Of equal tiles, most are written once. Only the current
-    shingle's nodes are held, and written as soon as a block is full.
+    shingle's nodes are held, and written as soon as a block is full. Further columns of numbers, which
+    follow from the node, become further arrays.
     """
     seen: set[int] = set()
     out: list[tuple] = []
-    token, serial = None, 0
-    nodes: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
+    names: list[str] = []
+    token = None
+    rows: list[tuple[np.ndarray, ...]] = []  # nodes, sizes and further columns
     held = blocks = 0
-    last: tuple[int, int] | None = None
 
     def block(final: bool) -> None:
-        nonlocal nodes, sizes, held, blocks, last
+        nonlocal rows, held, blocks
         if not held or (final and not blocks and held < 2):
             return
-        all_nodes, all_sizes = np.concatenate(nodes), np.concatenate(sizes)
-        for low in range(0, len(all_nodes), BLOCK):
-            part, size = all_nodes[low : low + BLOCK], all_sizes[low : low + BLOCK]
-            if not final and len(part) < BLOCK:
-                nodes, sizes, held = [part], [size], len(part)
+        every = [np.concatenate(column) for column in zip(*rows)]
+        for low in range(0, held, BLOCK):
+            part = tuple(column[low : low + BLOCK] for column in every)
+            if not final and len(part[0]) < BLOCK:
+                rows, held = [part], len(part[0])
                 return
             # One short tile has one row, named by its nodes; a long one is named by its shingle.
-            one = final and not blocks and len(all_nodes) <= BLOCK
-            name_ = xxhash.xxh3_64_intdigest(part.tobytes()) if one else xxhash.xxh3_64_intdigest(f"long {token}")
+            one = final and not blocks and len(every[0]) <= BLOCK
+            name_ = xxhash.xxh3_64_intdigest(part[0].tobytes()) if one else xxhash.xxh3_64_intdigest(f"long {token}")
             if one and name_ in seen:
                 continue
             if one:
                 if len(seen) >= SEEN_TILES:
                     seen.clear()
                 seen.add(name_)
-            out.append((name_ - (1 << 63), blocks, part, size))
+            out.append((name_ - (1 << 63), blocks, *part))
             blocks += 1
-        nodes, sizes, held = [], [], 0
+        rows, held = [], 0
 
     def batch_out() -> pa.RecordBatch:
-        long = pa.int64()
+        tile, number, *arrays = zip(*out)
         made = pa.RecordBatch.from_arrays(
-            [
-                pa.array([x[0] for x in out], long),
-                pa.array([x[1] for x in out], pa.int32()),
-                pa.array([x[2] for x in out], pa.list_(long)),
-                pa.array([x[3] for x in out], pa.list_(long)),
-            ],
-            ["tile", "block", "nodes", "sizes"],
+            [pa.array(tile, pa.int64()), pa.array(number, pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in arrays)],
+            ["tile", "block", "nodes", "sizes", *names],
         )
         out.clear()
         return made
 
     for batch in batches:
-        tokens, ids, ns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        tokens, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        names = batch.schema.names[3:]
         if not len(tokens):
             continue
         cuts = np.flatnonzero(tokens[1:] != tokens[:-1]) + 1
@@ -260,9 +256,8 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if token is None or tokens[a] != token:
                 block(True)
                 token, blocks = tokens[a], 0
-                nodes, sizes, held = [], [], 0
-            nodes.append(ids[a:b])
-            sizes.append(ns[a:b])
+                rows, held = [], 0
+            rows.append(tuple(c[a:b] for c in columns))
             held += b - a
             if held >= 2 * BLOCK:
                 block(False)

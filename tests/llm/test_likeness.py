@@ -259,6 +259,51 @@ def test_sketches_keep_all_pairs_that_are_alike_and_few_others():
     assert len(got) < len(a) / 2
 
 
+def test_sketches_go_along_with_bands_and_drop_pairs_before_a_shuffle():
+    texts = sorted([r[1] for r in drifting(13)] + [speech(random.Random(i), "bb", 40 + i) for i in range(60)], key=len)
+    prints = [p for p, _ in E.prints_of(texts, [None] * len(texts))]
+    sizes = [len(t) for t in texts]
+    n = pa.array(range(len(texts)), pa.int64())
+    posted = next(E._postings(iter([pa.RecordBatch.from_arrays([n, pa.array(sizes), pa.array(prints, pa.binary())], ["node", "n", "print"])])))
+    first = posted.to_pandas().drop_duplicates("node")
+    one = pa.RecordBatch.from_pandas(first.assign(token=1), preserve_index=False)
+    (tile,) = J._tiles(iter([one]))
+    assert tile.schema.names == ["tile", "block", "nodes", "sizes", *E.SKETCH]
+    nodes, kept = tile.column(2)[0].as_py(), [s for s in tile.column(3)[0].as_py()]
+    assert nodes == first["node"].tolist() and kept == [sizes[i] for i in nodes] and len(nodes) > 60
+    for least in (0.5, 0.7):
+        found = next(E._near_pairs(least)(iter([tile.select(["nodes", "sizes", *E.SKETCH])])))
+        got = set(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+        low = [min(k for k, m in enumerate(kept) if m >= size - int(size * (1 - least) + 1e-9)) for size in kept]
+        tried = {tuple(sorted((nodes[k], nodes[low[k]]))) for k in range(len(nodes)) if low[k] < k}
+        tried |= {tuple(sorted((nodes[k - 1], nodes[k]))) for k in range(1, len(nodes)) if low[k] <= k - 1}
+        want = {(i, j) for i, j in tried if E.likeness(prints[i], prints[j]) >= least}
+        assert want <= got <= tried and want and len(got) < len(tried)
+
+
+def test_pairs_of_blocks_bring_their_likeness():
+    texts = [r[1] for r in drifting(13)]
+    prints = [p for p, _ in E.prints_of(texts, [None] * len(texts))]
+    rows = [{"node": i, "n": len(t), "label": i, "print": p} for i, (t, p) in enumerate(zip(texts, prints))]
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("n", pa.int64()), ("label", pa.int64()), ("print", pa.binary())]))
+    sides = pa.array([rows, rows[:2], rows[:20]], kind), pa.array([None, None, rows[20:]], kind)
+    batch = pa.RecordBatch.from_arrays([*sides, pa.array([7, 8, 9], pa.int64())], ["rows", "other", "tile"])
+    for best in (None, 2):
+        (made,) = E._blocks(0.7, best, True)(iter([batch]))
+        assert made.schema.names == ["a", "b", *["tile"] * (best is not None), "likeness"]
+        found = [r for r in made.to_pylist() if r["a"] is not None]
+        assert found and all(r["likeness"] == E.likeness(prints[r["a"]], prints[r["b"]]) for r in found)
+        assert all(r["likeness"] is None for r in made.to_pylist() if r["a"] is None)
+
+
+def test_few_components_come_from_one_task(spark):
+    links = spark.createDataFrame([(3, 4), (4, 5), (1, 9), (9, 1), (7, 7), (None, 2)], "a long, b long").repartition(9)
+    found = components(links, "a", "b")
+    assert found.rdd.getNumPartitions() == 1
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (3, 3), (4, 3), (5, 3), (9, 1)]
+    assert components(links.limit(0), "a", "b").collect() == []
+
+
 def test_only_bands_that_were_cut_are_named():
     texts = [r[1] for r in drifting(13)]
     prints = [p for p, _ in E.prints_of(texts, [None] * len(texts))]
