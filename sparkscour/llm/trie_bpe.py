@@ -31,6 +31,8 @@ CACHED_WORDS = 200_000
 CACHED_PIECES = 300_000
 # Pairs of tokens of which a worker remembers whether they stay apart.
 CACHED_PAIRS = 300_000
+# Steps from a node of the tokens' trie by a byte that a worker remembers.
+CACHED_MOVES = 300_000
 CHUNK_WORDS = 1 << 18
 # Texts of a batch whose ids are held at once.
 ROWS_AT_ONCE = 256
@@ -77,24 +79,45 @@ class Vocabulary:
             self.rank[ids[a], ids[b]] = place
             if made not in self.left:
                 self.born[made], self.left[made], self.right[made] = place, ids[a], ids[b]
-        # Tokens by their bytes read backwards, as a trie: (node * 256 + byte) -> node.
-        self.back_edges: dict[int, int] = {}
-        self.back_token: list[int] = [-1]
+        # Tokens as a trie of their bytes: (node * 256 + byte) -> node.
+        self.edges: dict[int, int] = {}
+        spelled, depths = [-1], [0]
+        node_of: dict[int, int] = {}
         for i, token in self.bytes_of.items():
             if i in self.left or len(token) == 1:
                 if i in self.left and not self.fits(self.left[i], self.right[i], self.born[i]):
                     continue  # its parts merge with each other in another way first
                 node = 0
-                for b in reversed(token):
+                for b in token:
                     key = node << 8 | b
-                    if key not in self.back_edges:
-                        self.back_edges[key] = len(self.back_token)
-                        self.back_token.append(-1)
-                    node = self.back_edges[key]
-                self.back_token[node] = i
+                    if key not in self.edges:
+                        self.edges[key] = len(spelled)
+                        spelled.append(-1)
+                        depths.append(depths[node] + 1)
+                    node = self.edges[key]
+                spelled[node] = i
+                node_of[i] = node
+        # The node of the longest shorter end of a node's bytes, the longest token that ends a node's
+        # bytes, and the longest shorter one that ends a token's.
+        self.back = [0] * len(spelled)
+        self.ending = spelled
+        for key in sorted(self.edges, key=lambda k: depths[k >> 8]):
+            if key >> 8:
+                self.back[self.edges[key]] = self.step(self.back[key >> 8], key & 255)
+        for node in sorted(range(1, len(spelled)), key=depths.__getitem__):
+            if spelled[node] < 0:
+                spelled[node] = spelled[self.back[node]]
+        self.shorter = {i: spelled[self.back[node]] for i, node in node_of.items()}
+        self.moves: dict[int, int] = {}
         self.size = {i: len(t) for i, t in self.bytes_of.items()}
         self.pairs: dict[int, bool] = {}
 
+    def step(self, node: int, byte: int) -> int:
+        """The node of the longest end of a node's bytes and one more that the trie has."""
+        while (found := self.edges.get(node << 8 | byte)) is None and node:
+            node = self.back[node]
+        return found or 0
+
     def fits(self, u: int, t: int, before: int = 1 << 60) -> bool:
         """Whether the encodings of two tokens stay apart when their bytes meet.
 
@@ -123,24 +146,25 @@ class Vocabulary:
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, tuple[int, ...]]]:
         """Encodings of distinct words; the states of shared prefixes are computed once."""
-        edges, tokens, size, pairs = self.back_edges, self.back_token, self.size, self.pairs
-        last = [-1]  # last[d]: the last token of the path's first d bytes
+        moves, ending, shorter, size, pairs = self.moves, self.ending, self.shorter, self.size, self.pairs
+        # Of the path's first d bytes: the last token, and the node of the longest end that the trie has.
+        last, nodes = [-1], [0]
         before = b""
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], nodes[shared + 1 :]
+            node = nodes[shared]
             for end in range(shared + 1, len(word) + 1):
-                node, at, found = 0, end, []
-                while at:
-                    at -= 1
-                    node = edges.get(node << 8 | word[at], -1)
-                    if node < 0:
-                        break
-                    if tokens[node] >= 0:
-                        found.append(tokens[node])
-                for token in reversed(found):
+                key = node << 8 | word[end - 1]
+                node = moves.get(key, -1)
+                if node < 0:
+                    if len(moves) >= CACHED_MOVES:
+                        moves.clear()
+                    node = moves[key] = self.step(key >> 8, key & 255)
+                token = ending[node]
+                while token >= 0:
                     start = end - size[token]
                     if not start:
                         break
@@ -152,9 +176,11 @@ class Vocabulary:
                         good = pairs[pair] = self.fits(last[start], token)
                     if good:
                         break
+                    token = shorter[token]
                 else:
                     raise ValueError("the vocabulary lacks a byte")
                 last.append(token)
+                nodes.append(node)
             ids, at = [], len(word)
             while at:
                 ids.append(last[at])

@@ -70,6 +70,27 @@ def test_every_token_that_is_reached_encodes_to_itself(encoder, library):
             assert ids_of(encoder, text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_step_for_each_byte_finds_the_tokens_that_end_there(encoder, library, monkeypatch):
+    vocabulary, rnd = encoder.vocabulary, random.Random(5)
+    known = {vocabulary.bytes_of[i] for i in vocabulary.shorter}
+    for _ in range(300):
+        raw = "".join(rnd.choice(["the", "ing", " ", "e", "é", "中", "🙂", "==", "Tok", "0"]) for _ in range(rnd.randrange(1, 9))).encode()
+        node = 0
+        for end in range(1, len(raw) + 1):
+            node = vocabulary.step(node, raw[end - 1])
+            token, found = vocabulary.ending[node], []
+            while token >= 0:
+                found.append(vocabulary.bytes_of[token])
+                token = vocabulary.shorter[token]
+            assert found == [raw[k:end] for k in range(end) if raw[k:end] in known]
+    monkeypatch.setattr(trie_bpe, "CACHED_MOVES", 5)
+    monkeypatch.setattr(trie_bpe, "CACHED_PAIRS", 5)
+    texts = ["".join(rnd.choice("abcdeé中 ") for _ in range(60)) for _ in range(50)]
+    for text in texts:
+        assert ids_of(encoder, text) == library.encode(text, add_special_tokens=False).ids
+    assert len(vocabulary.moves) <= 5
+
+
 def test_awkward_documents(spark, library):
     got = trie_bpe.encode(frame(spark), PATH, with_ids=True).collect()
     want = []
