@@ -25,6 +25,17 @@ def test_hot_keys_are_spread_and_nothing_is_lost(spark):
     assert by_weight.count() == many.join(one, "k").count()
 
 
+def test_no_side_of_a_hot_join_is_sent_whole(spark):
+    """Both sides are tiny here, as rows that were listed from a small file are to Spark's estimate."""
+    many = spark.range(300).selectExpr("id AS i", "id % 7 AS k")
+    one = spark.range(5).selectExpr("id AS k", "concat('v', id) AS v")
+    for hot_rows in (10, 1000):
+        for how in ("inner", "left", "left_semi", "left_anti"):
+            joined = join_hot(many, one, "k", how, spread_by=F.col("i"), hot_rows=hot_rows)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan, (how, hot_rows)
+
+
 def test_salts_grow_with_the_bucket():
     assert salts_of({1: 10, 2: 101, 3: 450}, 100) == {2: [2], 8: [3]}
 
