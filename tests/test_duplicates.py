@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from sparkscour.operators import components as C
 from sparkscour.operators import groups as G
 from sparkscour.operators import pairs as P
-from sparkscour.operators.survivors import decide_survivors, invalid_decisions, removals_from_replies
+from sparkscour.operators.survivors import (
+    decide_survivors,
+    dedupe_stats,
+    invalid_decisions,
+    keep_policy,
+    remove_rows,
+    removals_from_replies,
+)
 from sparkscour.plans.dedupe import dedupe, dedupe_report, removals_by_decider
 from sparkscour.session import durable
 from sparkscour.sources.contracts import ColumnRule
@@ -381,3 +388,22 @@ def test_dedupe_stops_early_with_a_reason(spark):
     report = dedupe_report(done)
     assert report["statistics"].first()["duplicates_removed"] == 1
     assert [r[0] for r in report["removed"].collect()] == [3]
+
+
+def test_groups_and_survivors_send_no_table_whole(spark):
+    """Keys, claims, members and requests grow with the table, however small Spark takes them for."""
+    text = "concat(repeat(substring('abcdef', CAST(1 + id % 6 AS INT), 1), 8), lpad(id % 12, 4, '0'))"
+    rows = durable(spark.range(60).selectExpr("id AS row_id", f"{text} AS comparison_value"))
+    table = rows.withColumn("note", F.lit("x"))
+    groups = durable(G.leader_groups(rows))
+    kept = keep_policy(groups, "most_complete", table)
+    removed = durable(decide_survivors(groups, kept))
+    for name, out in {
+        "pairs": P.row_pairs(rows), "combined": P.row_pairs(rows, strategy="combined", threshold=0.8),
+        "words": P.row_pairs(rows, strategy="jaccard"), "groups": G.leader_groups(rows), "kept": kept,
+        "requests": G.group_requests(groups, table), "survivors": decide_survivors(groups, kept),
+        "invalid": invalid_decisions(groups, kept), "removed": remove_rows(table, removed),
+        "stats": dedupe_stats(table, groups, removed),
+    }.items():
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
