@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from sparkscour.functions.text import as_col
 from sparkscour.functions.validity import percent
-from sparkscour.session import join_hot
+from sparkscour.session import join_hot, unsent
 from sparkscour.sources.contracts import Contract, rules_of
 
 # Fixed value: the source of entries that only validation has.
@@ -72,7 +72,7 @@ def apply_row_patches(
     patch = latest_row_patches(row_patches).withColumnsRenamed(
         {"row_id": row_id, "values": "_values"}
     )
-    return df.join(patch, row_id, "left").select(row_id, *_row_patched(names, types))
+    return df.join(unsent(patch), row_id, "left").select(row_id, *_row_patched(names, types))
 
 
 def apply_cell_patches(
@@ -81,7 +81,7 @@ def apply_cell_patches(
     """Replace patched cells; unknown rows and columns have no effect."""
     names, types = _data_columns(df, row_id)
     patch = _cell_map(cell_patches, names).withColumnRenamed("row_id", row_id)
-    return df.join(patch, row_id, "left").select(row_id, *_cell_patched(names, types))
+    return df.join(unsent(patch), row_id, "left").select(row_id, *_cell_patched(names, types))
 
 
 def patched_side_by_side(
@@ -98,7 +98,7 @@ def patched_side_by_side(
         .join(_cell_map(cell_patches, names), "row_id", "full_outer")
         .withColumnRenamed("row_id", row_id)
     )
-    joined = df.join(patch, row_id, "left").select(
+    joined = df.join(unsent(patch), row_id, "left").select(
         row_id, *_row_patched(names, types), "_cells"
     )
     return joined.select(
@@ -205,7 +205,7 @@ def flag_unresolved(
         F.coalesce("_reason", F.lit("")).alias("flag_reason"),
         F.col("_reason").isNotNull().alias("unable_to_fix"),
     )
-    added = failing.join(change_log.select(*cell).distinct(), cell, "left_anti").select(
+    added = failing.join(unsent(change_log.select(*cell).distinct()), cell, "left_anti").select(
         *cell,
         F.lit(VALIDATION_SOURCE).alias("source"),
         F.lit(0).cast("long").alias("seq"),
