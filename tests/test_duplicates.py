@@ -407,3 +407,39 @@ def test_groups_and_survivors_send_no_table_whole(spark):
     }.items():
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
+def test_no_pair_of_texts_takes_a_set_along(spark, monkeypatch):
+    """A cluster's sets go to tasks by parts of it: far fewer copies than pairs, and the same pairs."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(80)]
+    base = [rng.sample(words, 30) for _ in range(3)]
+    keys = {}
+    for i in range(1, 121):
+        changed = list(base[i % 3])
+        changed[rng.randrange(30)] = rng.choice(words)
+        keys[i] = " ".join(changed)
+    kept = {i: set(k.split()) for i, k in firsts(keys).items()}
+    want = {}
+    for a in kept:
+        for b in kept:
+            score = len(kept[a] & kept[b]) / len(kept[a] | kept[b])
+            if a < b and score >= 0.85:
+                want[a, b] = score
+    assert len(want) > 10 * len(kept)
+    sent = []
+    joined = P.join_hot
+
+    def seen(many, one, on, *rest, **more):
+        if "held_by" in many.columns:
+            sent.append(many.count())
+        return joined(many, one, on, *rest, **more)
+
+    monkeypatch.setattr(P, "join_hot", seen)
+    for size, copies in ((2048, 1), (8, 12)):
+        sent.clear()
+        monkeypatch.setattr(P, "TILE_KEYS", size)
+        monkeypatch.setattr(P, "PAIRS_AT_ONCE", size)
+        got = P.row_pairs(frame(spark, keys), strategy="jaccard")
+        assert {(r[0], r[1]): r[2] for r in got.collect()} == want
+        assert len(sent) == 2 and all(n <= copies * len(kept) for n in sent)
